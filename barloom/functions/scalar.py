@@ -105,7 +105,7 @@ def json_number(doc, key: str) -> Column:
 
 
 def fmt_pct(x, places: int = 1) -> Column:
-    return F.concat(F.format_string(f"%.{places}f", col(x) * 100.0), F.lit("%"))
+    return F.concat(F.format_string(f"%.{places}f", F.bround(col(x) * 100.0, places)), F.lit("%"))
 
 
 def fmt_dollar(x) -> Column:
@@ -114,7 +114,7 @@ def fmt_dollar(x) -> Column:
 
 
 def fmt_number(x, places: int = 2) -> Column:
-    return F.format_string(f"%.{places}f", col(x))
+    return F.format_string(f"%.{places}f", F.bround(col(x), places))
 
 
 def add_months_clamped(date, months) -> Column:

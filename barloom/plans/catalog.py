@@ -2,6 +2,7 @@
 from barloom.plans import (  # noqa: F401
     catalog_bars,
     catalog_indicators,
+    catalog_ml,
     catalog_trades,
 )
 from barloom.plans.registry import ORACLES, QUERIES  # noqa: F401
