@@ -180,3 +180,28 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     pos = F.col("p") * (F.col("__n") - 1)
     res = at.groupBy(*keys, "p").agg(F.min_by("__v", "__rank").alias("__a"), F.max_by("__v", "__rank").alias("__z"), F.max("__n").alias("__n"))
     return res.select(*[k for k in keys if k != "__k"], "p", (F.col("__a") + (F.col("__z") - F.col("__a")) * (pos - F.floor(pos))).alias(out))
+
+
+def ordered_walk(df: DataFrame, group: Sequence[str], order: Sequence[str], fresh: Callable[[], dict], step: Callable, out: str) -> DataFrame:
+    """Sequential state machine per group over sorted partitions, in constant memory.
+
+    ``step(state, row)`` returns the tuple of new columns declared in ``out``. Groups are hashed over tasks
+    and streamed; no group is collected. Only for rules whose next state depends on the previous one.
+    """
+    columns, marks = list(df.columns), list(group)
+    names = [c.strip().split()[0] for c in out.split(",")]
+
+    def walk(batches):
+        current, state = None, None
+        for pdf in batches:
+            rows = []
+            for row in pdf.itertuples(index=False):
+                mark = tuple(getattr(row, g) for g in marks)
+                if mark != current:
+                    current, state = mark, fresh()
+                rows.append(step(state, row))
+            extra = list(zip(*rows)) if rows else [[] for _ in names]
+            yield pdf[columns].assign(**{n: list(v) for n, v in zip(names, extra)})
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", " + out
+    return df.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(walk, schema)

@@ -71,7 +71,10 @@ def outcomes(spark: SparkSession, sf: str) -> DataFrame:
         ((k % 4 + 1) / 10.0).alias("erp"), ((F.floor(k / 4) % 4 + 1) / 10.0).alias("frp"), k.alias("path"),
         (F.col("o_orderstatus") == "F").alias("passed"), (F.col("o_custkey") % 30 + 1).cast("int").alias("eval_days"),
         F.greatest(F.lit(0.0), F.col("o_totalprice") - 200000.0).alias("withdrawn"), (k % 5).cast("int").alias("n_payouts"),
-        (F.col("o_custkey") % 60 + 10).cast("double").alias("funded_days"))
+        (F.col("o_custkey") % 60 + 10).cast("double").alias("funded_days")).withColumns({
+        "payout_days": F.when(F.col("n_payouts") > 0, F.transform(F.sequence(F.lit(1), F.col("n_payouts")), lambda i: (i * 8 + F.col("path") % 6).cast("double"))).otherwise(F.array().cast("array<double>")),
+        "payout_amounts": F.when(F.col("n_payouts") > 0, F.transform(F.sequence(F.lit(1), F.col("n_payouts")), lambda i: (i * 50 + F.col("path") % 900 + 500).cast("double"))).otherwise(F.array().cast("array<double>")),
+    })
 
 
 cte("ticks", "SELECT event_type AS symbol, ts, event_id, user_id, value AS price FROM events")

@@ -3,6 +3,8 @@ from barloom.plans import (  # noqa: F401
     catalog_bars,
     catalog_indicators,
     catalog_ml,
+    catalog_stats,
+    catalog_sweeps,
     catalog_trades,
 )
 from barloom.plans.registry import ORACLES, QUERIES  # noqa: F401
