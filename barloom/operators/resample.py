@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalar import hash_long, unit_hash
 from barloom.operators.perf import equity_curve
-from barloom.operators.scan import with_ordinal
+from barloom.operators.scan import day_of, with_ordinal
+from barloom.session import cut
 
 DRAWS_PER_BLOCK = 4096
 
 
 def _numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | None) -> DataFrame:
-    from barloom.operators.scan import day_of
-
+    """Rows with position and group size, written once because both sides of the draw read them."""
+    df = cut(df)
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return with_ordinal(df, keys, order, day_of(order[0]) if block is None else block, "__k").join(n, list(keys))
+    return cut(with_ordinal(df, keys, order, day_of(order[0]) if block is None else block, "__k").join(n, list(keys)))
 
 
 def bootstrap_draws(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n_sims: int, seed: int = 42, block: Column | None = None) -> DataFrame:
@@ -33,13 +34,13 @@ def shuffle_draws(df: DataFrame, keys: Sequence[str], value: str, ident: str, n_
     """Every trade once per simulation in hashed order, as (keys, sim, draw, x)."""
     d = df.select(*keys, ident, F.col(value).alias("x")).withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))))
     d = d.withColumn("__h", hash_long(F.lit(seed), F.col("sim"), F.col(ident)))
-    d = with_ordinal(d, [*keys, "sim"], ["__h", ident], F.shiftright("__h", 42), "draw")
+    d = with_ordinal(cut(d), [*keys, "sim"], ["__h", ident], F.shiftright("__h", 42), "draw")
     return d.select(*keys, "sim", "draw", "x")
 
 
 def simulated_paths(draws: DataFrame, keys: Sequence[str], capital: float) -> DataFrame:
     """Equity and drawdown of every simulation after every draw."""
-    return equity_curve(draws, [*keys, "sim"], ["draw"], "x", capital, F.floor(F.col("draw") / DRAWS_PER_BLOCK))
+    return equity_curve(cut(draws), [*keys, "sim"], ["draw"], "x", capital, F.floor(F.col("draw") / DRAWS_PER_BLOCK))
 
 
 def path_summary(paths: DataFrame, keys: Sequence[str]) -> DataFrame:

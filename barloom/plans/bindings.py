@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barloom.operators.bars import resample_ticks
 from barloom.operators.scan import framed, hour_of
 from barloom.plans.registry import cte
+from barloom.session import cut
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -21,6 +22,11 @@ def bars(spark: SparkSession, sf: str, minutes: int = 30) -> DataFrame:
     return resample_ticks(ticks(spark, sf), minutes, offset=0)
 
 
+def stored_bars(spark: SparkSession, sf: str, minutes: int = 30) -> DataFrame:
+    """The bars written once, as a bar table would be, for queries that read them in several places."""
+    return cut(bars(spark, sf, minutes))
+
+
 def daily(spark: SparkSession, sf: str) -> DataFrame:
     """Multi-year day bars of order totals, one series per priority class."""
     o = table(spark, sf, "orders").select(

@@ -3,6 +3,7 @@ from barloom.plans import (  # noqa: F401
     catalog_bars,
     catalog_indicators,
     catalog_ml,
+    catalog_patterns,
     catalog_stats,
     catalog_sweeps,
     catalog_trades,

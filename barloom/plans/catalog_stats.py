@@ -119,10 +119,10 @@ def series_labels(spark, sf):
 cte("slabels", "SELECT symbol, date, CASE WHEN (close - open) / open < -0.1 THEN 0 WHEN (close - open) / open > 0.1 THEN 2 ELSE 1 END AS label FROM daily")
 
 
-@query("transition_matrix", "symbol from:i to:i n:i p:r stay_days:r", """SELECT symbol, f AS "from", t AS "to", n, p, CASE WHEN f = t THEN 1 / (1 - p) END AS stay_days FROM (SELECT symbol, f, t, n, n / sum(n) OVER (PARTITION BY symbol, f) AS p FROM (SELECT s.symbol, f, t, count(x.symbol) AS n FROM (SELECT DISTINCT symbol FROM slabels) s, range(0, 3) a(f), range(0, 3) b(t)
+@query("transition_matrix", "symbol from_label:i to_label:i n:i p:r stay_days:r", """SELECT symbol, f AS from_label, t AS to_label, n, p, CASE WHEN f = t THEN 1 / (1 - p) END AS stay_days FROM (SELECT symbol, f, t, n, n / sum(n) OVER (PARTITION BY symbol, f) AS p FROM (SELECT s.symbol, f, t, count(x.symbol) AS n FROM (SELECT DISTINCT symbol FROM slabels) s, range(0, 3) a(f), range(0, 3) b(t)
     LEFT JOIN (SELECT symbol, label, lead(label) OVER (PARTITION BY symbol ORDER BY date) AS nxt FROM slabels) x ON x.symbol = s.symbol AND x.label = f AND x.nxt = t GROUP BY 1, 2, 3))""")
 def _(spark, sf):
-    return G.transition_matrix(series_labels(spark, sf), ["symbol"], 3)
+    return G.transition_matrix(series_labels(spark, sf), ["symbol"], 3).withColumnsRenamed({"from": "from_label", "to": "to_label"})
 
 
 @query("initial_distribution", "symbol label:i share:r", "SELECT symbol, label, count(*) / sum(count(*)) OVER (PARTITION BY symbol) AS share FROM slabels GROUP BY 1, 2")
@@ -148,8 +148,8 @@ def _(spark, sf):
 
 
 @query("block_bootstrap", "symbol sim:i step:i pos:i", f"""WITH d AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS step, count(*) OVER (PARTITION BY symbol) AS n FROM daily),
-    e AS (SELECT *, max(CASE WHEN step = 0 OR {hx("'42:break:' || sim || ':' || step")} / 281474976710656.0::DOUBLE < 0.1::DOUBLE THEN step END) OVER (PARTITION BY symbol, sim ORDER BY step) AS at FROM d, range(0, 5) r(sim))
-    SELECT symbol, sim, step, ({hx("'42:start:' || sim || ':' || at")} % n + step - at) % n AS pos FROM e""")
+    e AS (SELECT *, max(CASE WHEN step = 0 OR {hx("'42:break:' || sim || ':' || step")} / 281474976710656.0::DOUBLE < 0.1::DOUBLE THEN step END) OVER (PARTITION BY symbol, sim ORDER BY step) AS b0 FROM d, range(0, 5) r(sim))
+    SELECT symbol, sim, step, ({hx("'42:start:' || sim || ':' || b0")} % n + step - b0) % n AS pos FROM e""")
 def _(spark, sf):
     return RS.block_bootstrap(daily(spark, sf), ["symbol"], "date", 5, 10.0)
 
