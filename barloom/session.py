@@ -31,14 +31,19 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or a private one where it is unset."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably in the shared checkpoint folder.
+    """Materialise ``df`` reliably in the shared folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; a private one is made only where that is
-    unset. Used where a result feeds several branches, so that a lost executor costs a re-read.
+    Used where a result feeds several branches, so that a lost executor costs a re-read.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
