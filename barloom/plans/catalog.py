@@ -7,6 +7,7 @@ from barloom.plans import (  # noqa: F401
     catalog_patterns,
     catalog_signals,
     catalog_stats,
+    catalog_streaming,
     catalog_sweeps,
     catalog_trades,
 )

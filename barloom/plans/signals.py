@@ -329,6 +329,7 @@ def overnight_momentum(bars: DataFrame, open_at: int = 510, enter_at: int = 900,
     lv = I.lag_features(B.daily_bars(bars, regular_hours=False)).select("symbol", "date", "prev_close", "prev2_close")
     op = bars.where(minute_of_day() == open_at).select("symbol", F.to_date("ts").alias("date"), F.col("open").alias("day_open"))
     d = I.atr(bars, "truncated").where(minute_of_day() == enter_at).withColumn("date", F.to_date("ts")).join(lv, ["symbol", "date"]).join(op, ["symbol", "date"])
+    d = d.where(F.col("prev_close") > 0)
     r = F.col("day_open") / F.col("prev_close") - 1.0
     way = F.when(F.abs(r) < threshold, 0).otherwise(F.when(r > 0, 1).otherwise(-1))
     if dual:

@@ -4,43 +4,52 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom.operators.bars import session_tag
 
 
+def timed(df: DataFrame, late: str) -> DataFrame:
+    """Event-time watermark on ``ts`` (watermarks need an instant, not a wall-clock time)."""
+    return df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
+def wall(c: str) -> Column:
+    return F.col(c).cast("timestamp_ntz")
+
+
 def stream_resample(ticks: DataFrame, minutes: int, late: str = "10 minutes") -> DataFrame:
     """Ticks to bars; rows later than the watermark are dropped."""
     at = F.struct("ts", "event_id")
     return (
-        ticks.withWatermark("ts", late).groupBy(F.window("ts", f"{minutes} minutes"), "symbol")
+        timed(ticks, late).groupBy(F.window("ts", f"{minutes} minutes"), "symbol")
         .agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.count(F.lit(1)).cast("double").alias("volume"))
-        .select("symbol", F.col("window.start").alias("ts"), "open", "high", "low", "close", "volume")
+        .select("symbol", wall("window.start").alias("ts"), "open", "high", "low", "close", "volume")
     )
 
 
 def stream_dedup(bars: DataFrame, late: str = "10 minutes") -> DataFrame:
-    return bars.withWatermark("ts", late).dropDuplicatesWithinWatermark(["symbol", "ts"])
+    return timed(bars, late).dropDuplicatesWithinWatermark(["symbol", "ts"]).withColumn("ts", wall("ts"))
 
 
 def stream_session_levels(bars: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Running high and low per symbol, day and session (update mode)."""
-    return bars.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "symbol", session_tag().alias("session")).agg(F.max("high").alias("high"), F.min("low").alias("low")).select(
+    return timed(bars, late).groupBy(F.window("ts", "1 day").alias("w"), "symbol", session_tag().alias("session")).agg(F.max("high").alias("high"), F.min("low").alias("low")).select(
         "symbol", F.to_date("w.start").alias("date"), "session", "high", "low")
 
 
 def stream_sliding_vwap(bars: DataFrame, size: str, slide: str, late: str = "10 minutes") -> DataFrame:
     tp = (F.col("high") + F.col("low") + F.col("close")) / 3.0
-    return bars.withWatermark("ts", late).groupBy(F.window("ts", size, slide), "symbol").agg((F.sum(tp * F.col("volume")) / F.nullif(F.sum("volume"), F.lit(0.0))).alias("vwap")).select(
-        "symbol", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "vwap")
+    return timed(bars, late).groupBy(F.window("ts", size, slide), "symbol").agg((F.sum(tp * F.col("volume")) / F.nullif(F.sum("volume"), F.lit(0.0))).alias("vwap")).select(
+        "symbol", wall("window.start").alias("start"), wall("window.end").alias("end"), "vwap")
 
 
 def stream_trade_sessions(trades: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:
     """Bursts of activity closed by a quiet gap."""
-    return trades.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("total")).select(
-        "symbol", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n", "total")
+    return timed(trades, late).groupBy(F.session_window("ts", gap), "symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("total")).select(
+        "symbol", wall("session_window.start").alias("start"), wall("session_window.end").alias("end"), "n", "total")
 
 
 def stream_asof_enrich(bars: DataFrame, levels: DataFrame) -> DataFrame:
