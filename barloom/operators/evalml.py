@@ -1,7 +1,7 @@
 """Thresholds, votes, selections and models over scored trades."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +14,10 @@ from barloom.operators.scan import exact_quantiles, framed, islands, prefix
 from barloom.session import cut
 
 
+def by_day(ts: Column) -> Column:
+    return F.date_trunc("day", ts)
+
+
 def evaluate_filter(df: DataFrame, by: Sequence[str], keep: Column, r: str = "r") -> DataFrame:
     """Metrics of the taken trades next to those of all trades, in one pass."""
     n, k = F.count(F.lit(1)), F.sum(F.when(keep, 1).otherwise(0))
@@ -83,7 +87,7 @@ def ensemble_summary(df: DataFrame, taken: DataFrame, signal: Sequence[str]) ->
     return taken.agg(F.count(F.lit(1)).alias("n_taken"), *all_metrics(F.col("r"))).withColumn("n_signals", n).withColumn("take_rate", F.col("n_taken") / F.greatest(F.col("n_signals"), F.lit(1)))
 
 
-def greedy_non_overlap(df: DataFrame, keys: Sequence[str], start: str, end: str, score: str, ident: str, block: Column | None = None, long_cluster: int = 2_000_000) -> DataFrame:
+def greedy_non_overlap(df: DataFrame, keys: Sequence[str], start: str, end: str, score: str, ident: str, block: Callable[[Column], Column] = by_day, long_cluster: int = 2_000_000) -> DataFrame:
     """One position at a time: best score per start, skipping starts inside the position just taken.
 
     A trade that no earlier trade overlaps opens a new cluster, and the choice inside a cluster never
@@ -93,8 +97,8 @@ def greedy_non_overlap(df: DataFrame, keys: Sequence[str], start: str, end: str,
     keys = list(keys)
     rest = [c for c in df.columns if c not in (*keys, start)]
     one = df.groupBy(*keys, start).agg(F.max_by(F.struct(*rest), F.struct(F.col(score), (-F.col(ident)).alias("__i"))).alias("__r")).select(*keys, start, "__r.*")
-    d = prefix(one, keys, [start], {"__reach": ("max", F.col(end))}, block, exclusive=True)
-    d = cut(islands(d, keys, [start], F.col("__reach").isNull() | (F.col(start) > F.col("__reach")), block, "__cluster").drop("__reach"))
+    d = prefix(one, keys, [start], {"__reach": ("max", F.col(end))}, block(F.col(start)), exclusive=True)
+    d = cut(islands(d, keys, [start], F.col("__reach").isNull() | (F.col(start) > F.col("__reach")), block(F.col(start)), "__cluster").drop("__reach"))
     group = [*keys, "__cluster"]
     long = d.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > long_cluster)
     if long.isEmpty():
@@ -123,11 +127,11 @@ def _walk_clusters(d: DataFrame, group: Sequence[str], start: str, end: str) ->
     return placed.mapInPandas(walk, d.schema)
 
 
-def _chase_pointers(d: DataFrame, group: Sequence[str], start: str, end: str, ident: str, block: Column | None) -> DataFrame:
+def _chase_pointers(d: DataFrame, group: Sequence[str], start: str, end: str, ident: str, block: Callable[[Column], Column]) -> DataFrame:
     """The same selection by pointer doubling: each trade points at the first one after its exit."""
-    nodes = framed(d.select(*group, start, end, ident), group, [start], lambda x, w: x.withColumn("__next", F.lead(ident).over(w)), after=1, block=block)
+    nodes = framed(d.select(*group, start, end, ident), group, [start], lambda x, w: x.withColumn("__next", F.lead(ident).over(w)), after=1, block=block(F.col(start)))
     right = nodes.select(*group, F.col(start).alias("__at"), "__next")
-    jump = asof_join(d.select(*group, end, ident), right, group, end, "__at", ["__next"]).select(*group, ident, F.col("__next").alias("__to")).where(F.col("__to").isNotNull())
+    jump = asof_join(d.select(*group, end, ident), right, group, end, "__at", ["__next"], block=block).select(*group, ident, F.col("__next").alias("__to")).where(F.col("__to").isNotNull())
     levels = [cut(jump)]
     while not levels[-1].isEmpty():
         a, b = levels[-1], levels[-1].withColumnsRenamed({ident: "__to", "__to": "__to2"})
@@ -138,7 +142,7 @@ def _chase_pointers(d: DataFrame, group: Sequence[str], start: str, end: str, id
     return d.join(taken, [*group, ident], "left_semi")
 
 
-def threshold_sweep_selection(df: DataFrame, keys: Sequence[str], thresholds: Sequence[float], start: str, end: str, ident: str, block: Column | None = None) -> DataFrame:
+def threshold_sweep_selection(df: DataFrame, keys: Sequence[str], thresholds: Sequence[float], start: str, end: str, ident: str, block: Callable[[Column], Column] = by_day) -> DataFrame:
     """Non-overlapping selection at each threshold (strictly above): count and points."""
     d = df.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))).where(F.col("pred") > F.col("threshold"))
     sel = greedy_non_overlap(d, [*keys, "threshold"], start, end, "pred", ident, block)

@@ -1,7 +1,7 @@
 """As-of, interval and neighbourhood joins as equi joins on bounded buckets."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,11 +18,12 @@ def asof_join(
     payload: Sequence[str],
     strict: bool = False,
     unit: str = "day",
+    block: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Last right row at or before (``strict``: before) each left row; NULL payload if none.
 
     Both sides are merged once by (key, time block) and the last value is carried across blocks, so a
-    hot key is spread over its blocks.
+    hot key is spread over its blocks (``unit`` of time, or ``block`` of the ordering value).
     """
     r_ts = F.col(right_ts) if isinstance(right_ts, str) else right_ts
     lt = left.schema[left_ts].dataType
@@ -31,7 +32,7 @@ def asof_join(
     r = right.select(*keys, r_ts.cast(lt).alias("__t"), F.lit(1 if strict else 0).alias("__side"),
                      F.struct(*payload).alias("__r"))
     both = l.unionByName(r, allowMissingColumns=True)
-    both = prefix(both, keys, ["__t", "__side"], {"__m": ("last", F.col("__r"))}, F.date_trunc(unit, F.col("__t")))
+    both = prefix(both, keys, ["__t", "__side"], {"__m": ("last", F.col("__r"))}, F.date_trunc(unit, F.col("__t")) if block is None else block(F.col("__t")))
     return both.where(F.col("__l").isNotNull()).select("__l.*", *[F.col(f"__m.{p}").alias(p) for p in payload])
 
 

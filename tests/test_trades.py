@@ -76,7 +76,7 @@ def test_greedy_selection_matches_brute_force(spark, limit):
     rng = np.random.default_rng(5)
     rows = [(i, int(s), int(s + rng.integers(0, 12)), float(rng.random())) for i, s in enumerate(rng.integers(0, 300, 200))]
     df = spark.createDataFrame(rows, "id long, s long, e long, score double").withColumn("k", F.lit("x"))
-    got = E.greedy_non_overlap(df, ["k"], "s", "e", "score", "id", F.floor(F.col("s") / 50), long_cluster=limit)
+    got = E.greedy_non_overlap(df, ["k"], "s", "e", "score", "id", lambda c: F.floor(c / 50), long_cluster=limit)
     assert sorted(r.id for r in got.collect()) == brute_greedy(rows)
 
 
