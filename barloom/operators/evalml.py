@@ -134,7 +134,8 @@ def _chase_pointers(d: DataFrame, group: Sequence[str], start: str, end: str, id
     jump = asof_join(d.select(*group, end, ident), right, group, end, "__at", ["__next"], block=block).select(*group, ident, F.col("__next").alias("__to")).where(F.col("__to").isNotNull())
     levels = [cut(jump)]
     while not levels[-1].isEmpty():
-        a, b = levels[-1], levels[-1].withColumnsRenamed({ident: "__to", "__to": "__to2"})
+        a = levels[-1]
+        b = a.select(*group, F.col(ident).alias("__to"), F.col("__to").alias("__to2"))
         levels.append(cut(a.join(b, [*group, "__to"]).select(*group, ident, F.col("__to2").alias("__to"))))
     taken = d.groupBy(*group).agg(F.min_by(ident, start).alias(ident))
     for level in reversed(levels):
