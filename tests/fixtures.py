@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 
 
-def walk(spark, n=100, start="2024-01-02 09:30:00", base=17000.0, seed=42, symbol="NQ"):
+def walk(spark, n=100, start="2024-01-02 09:30:00", base=17000.0, seed=42, symbol="AAA"):
     rng = np.random.default_rng(seed)
     close = base + rng.normal(0, 2, n).cumsum()
     open_ = close + rng.normal(0, 0.5, n)

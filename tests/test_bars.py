@@ -46,7 +46,7 @@ def test_completed_bar_is_inclusive_and_never_ahead(spark):
 
 def test_interval_join_matches_brute_force(spark):
     pdf, df = walk(spark, 400)
-    spans = spark.createDataFrame([(i, "NQ", t("2024-01-02 09:30:00").replace(minute=30 + i % 20), t("2024-01-02 12:00:00").replace(minute=i % 60)) for i in range(40)], "id int, symbol string, s timestamp_ntz, e timestamp_ntz")
+    spans = spark.createDataFrame([(i, "AAA", t("2024-01-02 09:30:00").replace(minute=30 + i % 20), t("2024-01-02 12:00:00").replace(minute=i % 60)) for i in range(40)], "id int, symbol string, s timestamp_ntz, e timestamp_ntz")
     got = {r.id: r.n for r in interval_join(spans, df, ["symbol"], "s", "e", "ts", unit="hour", salts=3).groupBy("id").agg(F.count("*").alias("n")).collect()}
     for r in spans.collect():
         assert got[r.id] == int(((pdf.ts >= r.s) & (pdf.ts <= r.e)).sum())
@@ -54,7 +54,7 @@ def test_interval_join_matches_brute_force(spark):
 
 def test_range_extremes_over_many_days(spark):
     pdf, df = walk(spark, 6000)
-    spans = spark.createDataFrame([(1, "NQ", t("2024-01-02 10:00:00"), t("2024-01-05 15:00:00")), (2, "NQ", t("2024-01-03 10:00:00"), t("2024-01-03 10:05:00"))], "id int, symbol string, s timestamp_ntz, e timestamp_ntz")
+    spans = spark.createDataFrame([(1, "AAA", t("2024-01-02 10:00:00"), t("2024-01-05 15:00:00")), (2, "AAA", t("2024-01-03 10:00:00"), t("2024-01-03 10:05:00"))], "id int, symbol string, s timestamp_ntz, e timestamp_ntz")
     for r in range_extremes(spans, df, ["symbol"], "id", "s", "e", "ts").join(spans, "id").collect():
         m = pdf[(pdf.ts >= r.s) & (pdf.ts <= r.e)]
         assert np.isclose(r.span_high, m.high.max()) and np.isclose(r.span_low, m.low.min())
@@ -62,12 +62,12 @@ def test_range_extremes_over_many_days(spark):
 
 def test_bar_text(spark, tmp_path):
     (tmp_path / "f.csv").write_text("Date, Time, Open, High, Low, Last, Volume, NumberOfTrades\n2024/01/02, 09:30:00, 1, 2, 0.5, 1.5, 10, 3\n2024/01/02, 09:31:00, x, 2, 0.5, 1.5, 10, 3\n")
-    got = SB.read_bar_text(spark, str(tmp_path / "f.csv"), "NQ").orderBy("ts").collect()
+    got = SB.read_bar_text(spark, str(tmp_path / "f.csv"), "AAA").orderBy("ts").collect()
     assert got[0].ts == t("2024-01-02 09:30:00") and got[0].close == 1.5 and got[1].open is None
 
 
 def test_localize_repeated_and_missing_hour(spark):
-    rows = [(i, "NQ", t(x), 1.0) for i, x in enumerate(("2024-11-03 00:30:00", "2024-11-03 01:30:00", "2024-11-03 01:00:00", "2024-11-03 01:30:00", "2024-11-03 02:00:00"))]
+    rows = [(i, "AAA", t(x), 1.0) for i, x in enumerate(("2024-11-03 00:30:00", "2024-11-03 01:30:00", "2024-11-03 01:00:00", "2024-11-03 01:30:00", "2024-11-03 02:00:00"))]
     df = spark.createDataFrame(rows, "ingest_id long, symbol string, ts timestamp_ntz, close double")
     got = [str(r.utc)[11:16] for r in SB.localize(df).orderBy("ingest_id").collect()]
     assert got == ["04:30", "05:30", "06:00", "06:30", "07:00"]

@@ -26,8 +26,8 @@ def test_r_metrics_edges(spark):
 
 
 def one_exit(spark, direction, sl, tp, bars):
-    e = spark.createDataFrame([(1, "NQ", t("2024-01-02 09:30:00"), direction, sl, tp, t("2024-01-02 16:00:00"))], "entry_id int, symbol string, ts timestamp_ntz, direction int, sl_price double, tp_price double, end_ts timestamp_ntz")
-    b = spark.createDataFrame([("NQ", t(f"2024-01-02 09:{31 + i}:00"), *map(float, x)) for i, x in enumerate(bars)], "symbol string, ts timestamp_ntz, open double, high double, low double, close double")
+    e = spark.createDataFrame([(1, "AAA", t("2024-01-02 09:30:00"), direction, sl, tp, t("2024-01-02 16:00:00"))], "entry_id int, symbol string, ts timestamp_ntz, direction int, sl_price double, tp_price double, end_ts timestamp_ntz")
+    b = spark.createDataFrame([("AAA", t(f"2024-01-02 09:{31 + i}:00"), *map(float, x)) for i, x in enumerate(bars)], "symbol string, ts timestamp_ntz, open double, high double, low double, close double")
     r = X.first_touch_exit(e, b).first()
     return r.exit_reason, r.exit_price
 
