@@ -6,6 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm.exact_dedup import exact_dedup
+from barloom.llm.mixing import mix_report
+from barloom.llm.packing import packed
 from barloom.llm.quality import quality_report
 from barloom.llm.secrets import secret_report
 
@@ -27,6 +29,16 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op2_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
+@query("op6_mixing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
 @query("op8_quality_rules", """
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
