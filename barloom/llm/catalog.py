@@ -10,6 +10,7 @@ from barloom.llm.mixing import mix_report
 from barloom.llm.packing import packed
 from barloom.llm.quality import quality_report
 from barloom.llm.secrets import secret_report
+from barloom.llm.simhash import near_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +35,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+@query("op4_simhash")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_report(table(spark, sf_dir, "documents"))
+
+
 @query("op6_mixing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
