@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm.exact_dedup import exact_dedup
+from barloom.llm.line_dedup import line_dedup
 from barloom.llm.mixing import mix_report
 from barloom.llm.packing import packed
 from barloom.llm.quality import quality_report
@@ -30,6 +31,13 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_line_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document what line dedup leaves: doc_id, text, n_dropped."""
+    docs = table(spark, sf_dir, "documents")
+    return line_dedup(docs, count="n_dropped").select("doc_id", "text", "n_dropped")
+
+
 @query("op2_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
