@@ -6,12 +6,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm.exact_dedup import exact_dedup
+from barloom.llm.html_text import page_text
 from barloom.llm.line_dedup import line_dedup
 from barloom.llm.mixing import mix_report
 from barloom.llm.packing import packed
 from barloom.llm.quality import quality_report
 from barloom.llm.secrets import secret_report
 from barloom.llm.simhash import near_report
+from barloom.llm.token_counts import section_tokens
+from barloom.llm.url_filter import url_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,16 +46,32 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+@query("op3_html_extraction")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text(table(spark, sf_dir, "pages"))
+
+
 @query("op4_simhash")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_report(table(spark, sf_dir, "documents"))
 
 
+@query("op5_url_filter")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages")).drop("score")
+
+
 @query("op6_mixing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+@query("op7_token_counts")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document; a token over a line's end goes to the line with most of it."""
+    return section_tokens(table(spark, sf_dir, "documents"))
+
+
 @query("op8_quality_rules", """
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
