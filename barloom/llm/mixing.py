@@ -26,7 +26,8 @@ def knapsack(lengths: Sequence[int], free: Sequence[int], budget: int) -> np.nda
     usable = (lengths > 0) & (free > 0)
     if budget <= 0 or not usable.any():
         return used
-    top = budget + int(lengths[usable].min())  # a nearer sum above the budget is shorter than this
+    # A nearest sum is no farther from the budget than no item at all, and without one of its items no longer above it.
+    top = budget + min(budget, int(lengths[usable].max()))
     via = np.full(top + 1, -1, dtype=np.int64)  # the bundle that first reached a sum
     reached = np.zeros(top + 1, dtype=bool)
     reached[0] = True
