@@ -54,21 +54,31 @@ def knapsack(lengths: Sequence[int], free: Sequence[int], budget: int) -> np.nda
 
 
 def fit_budget(lengths: Sequence[int], counts: Sequence[int], budget: int, rest: int = REST) -> list[int]:
-    """Documents to take of each length, so that their words come as near to ``budget`` as lengths allow."""
+    """Documents to take of each length, so that their words come near to ``budget``.
+
+    The same share of every length first; where few long documents leave that off the mark, without those shares.
+    """
     lengths, counts = [int(x) for x in lengths], [int(x) for x in counts]
     total = sum(a * n for a, n in zip(lengths, counts))
     if budget <= 0 or not total:
         return [0] * len(lengths)
     if budget >= total:
         return counts
-    taken = [n * budget // total if a else 0 for a, n in zip(lengths, counts)]
-    left = budget - sum(a * n for a, n in zip(lengths, taken))
-    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
-        if lengths[k]:
-            more = min(counts[k] - taken[k], max(left - rest, 0) // lengths[k])
-            taken[k] += more
-            left -= more * lengths[k]
-    return [n + int(m) for n, m in zip(taken, knapsack(lengths, [n - t for n, t in zip(counts, taken)], left))]
+
+    def filled(taken: list[int]) -> list[int]:
+        left = budget - sum(a * n for a, n in zip(lengths, taken))
+        for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+            if lengths[k]:
+                more = min(counts[k] - taken[k], max(left - rest, 0) // lengths[k])
+                taken[k] += more
+                left -= more * lengths[k]
+        return [n + int(m) for n, m in zip(taken, knapsack(lengths, [n - t for n, t in zip(counts, taken)], left))]
+
+    def off(taken: list[int]) -> int:
+        return abs(sum(a * n for a, n in zip(lengths, taken)) - budget)
+
+    even = filled([n * budget // total if a else 0 for a, n in zip(lengths, counts)])
+    return even if not off(even) else min(even, filled([0] * len(lengths)), key=off)
 
 
 def source_targets(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
