@@ -1,114 +1,15 @@
-"""Account rules replayed over a real trade stream."""
+"""Rules whose next decision depends on the trades already taken."""
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from barloom.functions.trade import MICRO_POINT_VALUE, MICRO_ROUND_TRIP, MINI_ROUND_TRIP, POINT_VALUE
+from barloom.functions.trade import POINT_VALUE
 from barloom.operators.scan import ordered_walk
 
-# Account terms (start balance, target, allowed drawdown, micro cap, fees, payout cap, winning day).
-ACCOUNTS = {
-    "25K": dict(start=25000.0, target=1250.0, drawdown=1000.0, micros=20, fee=70.0, reset=60.0, payout_cap=1000.0, win_day=100.0),
-    "50K": dict(start=50000.0, target=3000.0, drawdown=2000.0, micros=40, fee=98.0, reset=105.0, payout_cap=2000.0, win_day=150.0),
-    "100K": dict(start=100000.0, target=6000.0, drawdown=3000.0, micros=60, fee=157.5, reset=140.0, payout_cap=2500.0, win_day=200.0),
-    "150K": dict(start=150000.0, target=9000.0, drawdown=4500.0, micros=100, fee=294.0, reset=225.0, payout_cap=3000.0, win_day=250.0),
-}
-
-
-MAX_PAYOUTS = 5
-
-
-def _risk(scheme: str, pct: float, a: dict, s: dict) -> float:
-    base, left = pct * a["drawdown"], max(1.0, s["balance"] - s["floor"])
-    if scheme == "pct_balance":
-        return s["balance"] * base / a["start"]
-    if scheme == "frac_dd":
-        return left * pct
-    if scheme == "floor_aware":
-        return base * min(2.0, max(0.25, 2.0 * left / a["drawdown"]))
-    if scheme == "max_size":
-        return 1e9
-    if scheme == "martingale":
-        return base if s["won"] else min(2.0 * s["risk"], 4.0 * base)
-    return base
-
-
-def _dollars(points: float, sl: float, risk: float, micros: int) -> float:
-    sl, minis = max(0.25, sl), micros // 10
-    if minis > 0 and sl * POINT_VALUE <= risk:
-        return max(1, min(minis, int(risk / (sl * POINT_VALUE)))) * (points * POINT_VALUE - MINI_ROUND_TRIP)
-    return max(1, min(micros, int(risk / (sl * MICRO_POINT_VALUE)))) * (points * MICRO_POINT_VALUE - MICRO_ROUND_TRIP)
-
-
-def _fresh() -> dict:
-    return {"day": None, "status": "OPEN"}
-
-
-def _close_day(s: dict, a: dict, phase: str) -> None:
-    """End of day: move the floor, test it, then test for passing or pay out."""
-    if s["day"] is None or s["status"] != "OPEN":
-        return
-    day, lock = s["day_pnl"], a["start"] + 100.0
-    s["balance"] += day
-    s["peak"] = max(s["peak"], s["balance"])
-    s["floor"] = max(s["floor"], min(s["peak"] - a["drawdown"], lock))
-    s["days"] += 1
-    if s["balance"] <= s["floor"]:
-        s["status"] = "BREACHED"
-    elif phase == "eval":
-        s["good_days"] += day > 0
-        s["best_day"] = max(s["best_day"], day)
-        profit = s["balance"] - a["start"]
-        if profit >= a["target"] and s["best_day"] <= 0.5 * profit and s["good_days"] >= 2:
-            s["status"] = "PASSED"
-    else:
-        s["good_days"] += day >= a["win_day"]
-        gross = min(0.5 * max(0.0, s["balance"] - a["start"]), a["payout_cap"])
-        if s["good_days"] >= 5 and gross >= 500.0:
-            s["balance"] -= gross
-            s["withdrawn"] += 0.9 * gross
-            s["payouts"] += 1
-            s["good_days"], s["floor"] = 0, lock
-            if s["payouts"] >= MAX_PAYOUTS:
-                s["status"] = "COMPLETE"
-
-
-def account_ledger_replay(trades: DataFrame, runs: Sequence[str], order: Sequence[str], accounts: Sequence[str], schemes: Sequence[str], risk_pcts: Sequence[float], phase: str = "eval") -> DataFrame:
-    """State of each account after every trade day of every run, per scheme and risk level.
-
-    Trades carry ``date``, ``points`` and ``sl_distance``. The next size depends on the balance, so each
-    (run, account, scheme, risk) is walked in order; the walks are independent and streamed. Returns the
-    closing row of each walk.
-    """
-    grid = F.explode(F.array(*[F.struct(F.lit(a).alias("account"), F.lit(s).alias("scheme"), F.lit(float(p)).alias("risk_pct")) for a in accounts for s in schemes for p in risk_pcts]))
-    d = trades.withColumn("__g", grid).select(*runs, *order, "date", "points", "sl_distance", "__g.*")
-    group = [*runs, "account", "scheme", "risk_pct"]
-
-    def step(s: dict, row) -> tuple:
-        a = ACCOUNTS[row.account]
-        if "balance" not in s:
-            s.update(balance=a["start"], floor=a["start"] - a["drawdown"], peak=a["start"], won=True, risk=row.risk_pct * a["drawdown"], days=0, good_days=0, best_day=0.0, payouts=0, withdrawn=0.0, day_pnl=0.0)
-        if row.date != s["day"]:
-            _close_day(s, a, phase)
-            if s["status"] == "OPEN":
-                s["day"], s["day_pnl"] = row.date, 0.0
-                s["risk_today"] = _risk(row.scheme, row.risk_pct, a, s)
-        if s["status"] == "OPEN":
-            x = _dollars(row.points, row.sl_distance, s["risk_today"], a["micros"])
-            s["day_pnl"] += x
-            s["won"], s["risk"] = x > 0, s["risk_today"]
-            if s["balance"] + s["day_pnl"] <= s["floor"]:
-                s["status"] = "BREACHED"
-        view = dict(s)
-        _close_day(view, a, phase)
-        return view["status"], view["balance"], view["floor"], view["days"], view["payouts"], view["withdrawn"]
-
-    walked = ordered_walk(d, group, ["date", *[c for c in order if c != "date"]], _fresh, step, "status string, balance double, floor double, days long, payouts long, withdrawn double")
-    last = F.struct("date", *[c for c in order if c != "date"])
-    return walked.groupBy(*group).agg(F.max_by(F.struct("status", "balance", "floor", "days", "payouts", "withdrawn"), last).alias("__r"), F.count(F.lit(1)).alias("n_trades")).select(*group, "n_trades", "__r.*")
+# Account fees (first evaluation, reset).
+FEES = {"25K": (70.0, 60.0), "50K": (98.0, 105.0), "100K": (157.5, 140.0), "150K": (294.0, 225.0)}
 
 
 def dynamic_sizing(trades: DataFrame, runs: Sequence[str], order: Sequence[str], capital: float, risk: float, slippage: float = 0.0, commission: float = 0.0) -> DataFrame:
@@ -125,16 +26,21 @@ def dynamic_sizing(trades: DataFrame, runs: Sequence[str], order: Sequence[str],
     return ordered_walk(trades, runs, order, fresh, step, "contracts long, net double, equity double")
 
 
-def session_pnl_gate(trades: DataFrame, sessions: Sequence[str], order: Sequence[str], max_trades: int, stop_if_positive: bool) -> DataFrame:
-    """Which signals of a session would be traded: none past the count, none once the session is up."""
+def session_pnl_gate(trades: DataFrame, sessions: Sequence[str], max_trades: int, stop_if_positive: bool, entry: str = "entry_ts", exit: str = "exit_ts", ident: str = "trade_id") -> DataFrame:
+    """Which signals of a session occurrence would be traded: none past the count, none once the session is up.
+
+    A signal knows only what has closed by its own time: of the trades taken before it, those whose exit is not later
+    than its entry. Still open trades count as taken and as no P&L.
+    """
     def fresh():
-        return {"n": 0, "pnl": 0.0}
+        return {"taken": []}
 
     def step(s, row):
-        ok = s["n"] < max_trades and not (stop_if_positive and s["pnl"] > 0)
+        now = getattr(row, entry)
+        closed = sum(points for end, points in s["taken"] if end <= now)
+        ok = len(s["taken"]) < max_trades and not (stop_if_positive and closed > 0)
         if ok:
-            s["n"] += 1
-            s["pnl"] += row.points
+            s["taken"].append((getattr(row, exit), row.points))  # at most max_trades of them
         return (ok,)
 
-    return ordered_walk(trades, sessions, order, fresh, step, "allowed boolean")
+    return ordered_walk(trades, sessions, [entry, ident], fresh, step, "allowed boolean")

@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +84,17 @@ def daily_pnl(trades: DataFrame, keys: Sequence[str], exit_ts: str = "exit_ts",
     return trades.groupBy(*keys, F.to_date(exit_ts).alias("date")).agg(F.sum(net).alias("pnl"), F.count(F.lit(1)).alias("n"))
 
 
+def on_calendar(daily: DataFrame, calendar: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """P&L of days outside the calendar moved to the next calendar day (after its end: to its last), summed per day."""
+    days = daily.select("date").union(calendar.select("date")).distinct().join(calendar.select("date", F.lit(True).alias("__open")), "date", "left")
+    # A row per calendar date of the whole history: small whatever the number of trades.
+    over = Window.orderBy("date")
+    mine = F.when(F.col("__open"), F.col("date"))
+    to = F.coalesce(F.first(mine, ignorenulls=True).over(over.rowsBetween(0, Window.unboundedFollowing)), F.last(mine, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    moved = days.select("date", to.alias("__to"))
+    return daily.join(moved, "date").where("__to is not null").groupBy(*keys, F.col("__to").alias("date")).agg(F.sum("pnl").alias("pnl"))
+
+
 def risk_ratios(daily: DataFrame, calendar: DataFrame, keys: Sequence[str], capital: float) -> DataFrame:
     """Sharpe, Sortino, CAGR from daily P&L over all trading days; days without trades count as 0.
 
@@ -92,7 +102,7 @@ def risk_ratios(daily: DataFrame, calendar: DataFrame, keys: Sequence[str], capi
     """
     days = calendar.agg(F.count(F.lit(1))).scalar()
     neg = F.when(F.col("pnl") < 0, F.col("pnl"))
-    g = daily.join(calendar, "date", "left_semi").groupBy(*keys).agg(F.sum("pnl").alias("__s"), F.sum(F.col("pnl") * F.col("pnl")).alias("__q"), F.count(neg).alias("__nn"), F.stddev_pop(neg).alias("__dn"))
+    g = on_calendar(daily, calendar, keys).groupBy(*keys).agg(F.sum("pnl").alias("__s"), F.sum(F.col("pnl") * F.col("pnl")).alias("__q"), F.count(neg).alias("__nn"), F.stddev_pop(neg).alias("__dn"))
     g = g.withColumn("__nd", days)
     mean = F.col("__s") / F.col("__nd")
     sd = F.sqrt(F.greatest(F.col("__q") / F.col("__nd") - mean * mean, F.lit(0.0)))
@@ -135,32 +145,35 @@ def buy_hold_fixed(bars: DataFrame, keys: Sequence[str], capital: float, slippag
 
 
 def buy_hold_compounding(bars: DataFrame, keys: Sequence[str], capital: float, slippage: float = 0.0, commission: float = 0.0) -> DataFrame:
-    """Buy-and-hold that adds whole contracts as the balance allows.
+    """Buy-and-hold that adds whole contracts when a day's open makes the balance worth more of them.
 
-    Only commissions change the balance, so the position is folded over one row per day and the daily
-    state is joined to the bars.
+    With h contracts held, ``capital - commission * h`` buys ``floor(that / (open * POINT_VALUE))``. A day can only add
+    contracts if its open is worth more of them without any commission than an earlier day's was with the largest
+    possible commission; these few days alone are folded, and each day takes the state of the last one before it.
     """
     keys = list(keys)
+    worth = lambda cash: F.greatest(F.lit(0), F.floor(cash / (F.col("day_open") * POINT_VALUE)))
     days = bars.groupBy(*keys, F.to_date("ts").alias("date")).agg(F.min_by("open", "ts").alias("day_open"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date").reset_index(drop=True)
-        cash, held, cost, rows = float(capital), 0, 0.0, []
-        for price in pdf["day_open"]:
-            want = max(0, int(cash / (price * POINT_VALUE)))
-            if want > held:
-                cost = (cost * held + (price + slippage) * (want - held)) / want
-                cash -= (want - held) * commission
-                held = want
-            rows.append((cash, held, cost))
-        state = pd.DataFrame(rows, columns=["cash", "held", "avg_cost"])
-        return pd.concat([pdf[[*keys, "date"]], state], axis=1)
-
-    fields = {f.name: f.dataType.simpleString() for f in days.schema.fields}
-    schema = ", ".join(f"`{k}` {fields[k]}" for k in [*keys, "date"]) + ", cash double, held long, avg_cost double"
-    state = days.groupBy(*keys).applyInPandas(fold, schema)
-    d = bars.withColumn("date", F.to_date("ts")).join(state, [*keys, "date"])
-    return d.withColumn("equity", F.col("cash") + (F.col("close") - F.col("avg_cost")) * F.col("held") * POINT_VALUE).drop("cash", "held", "avg_cost")
+    upper = worth(F.lit(float(capital)))
+    most = days.groupBy(*keys).agg(F.max(upper).alias("__most"))
+    past = Window.partitionBy(*keys).orderBy("date").rowsBetween(*ROWS_BEFORE)
+    days = days.join(most, keys).withColumn("__sure", F.max(worth(capital - commission * F.col("__most"))).over(past))
+    buys = days.where(upper > F.coalesce("__sure", F.lit(0))).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("date", "day_open"))).alias("__days"))
+    state = "struct<held:bigint,cost:double,path:array<struct<date:date,held:bigint,cost:double>>>"
+
+    def buy(s: Column, day: Column) -> Column:
+        want = F.floor((capital - commission * s["held"]) / (day["day_open"] * POINT_VALUE))
+        held = F.greatest(s["held"], want)
+        cost = s["cost"] + (day["day_open"] + slippage) * (held - s["held"])
+        return F.struct(held.alias("held"), cost.alias("cost"), F.concat(s["path"], F.array(F.struct(day["date"].alias("date"), held.alias("held"), cost.alias("cost")))).alias("path"))
+
+    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0.0).alias("cost"), F.array().cast("array<struct<date:date,held:bigint,cost:double>>").alias("path")).cast(state)
+    path = buys.select(*keys, F.explode(F.aggregate("__days", start, buy)["path"]).alias("__s")).select(*keys, "__s.date", F.col("__s.held").alias("__h"), F.col("__s.cost").alias("__c"))
+    here = Window.partitionBy(*keys).orderBy("date").rowsBetween(*ROWS_TO_HERE)
+    days = days.join(path, [*keys, "date"], "left")
+    days = days.select(*keys, "date", *[F.coalesce(F.last(c, ignorenulls=True).over(here), F.lit(0)).alias(c) for c in ("__h", "__c")])
+    d = bars.withColumn("date", F.to_date("ts")).join(days, [*keys, "date"])
+    return d.withColumn("equity", capital - commission * F.col("__h") + (F.col("close") * F.col("__h") - F.col("__c")) * POINT_VALUE).drop("__h", "__c")
 
 
 def curve_stats(curve: DataFrame, keys: Sequence[str], capital: float) -> DataFrame:
@@ -180,16 +193,28 @@ def curve_stats(curve: DataFrame, keys: Sequence[str], capital: float) -> DataFr
 
 
 def benchmark_compare(strategy: DataFrame, fixed: DataFrame, compounding: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(metric, strategy, fixed, compounding, verdict) rows from three one-row-per-key tables."""
+    """(metric, strategy, fixed, compounding, verdict) rows from three one-row-per-key tables.
+
+    Metrics: pnl, cagr, sharpe, max_dd_pct (the smaller drop is the better one), calmar, and the alpha of the strategy's
+    CAGR over either benchmark. verdict: better than both benchmarks, than the worse of them alone (between), or worse;
+    of an alpha its sign.
+    """
     keys = list(keys)
-    metrics = ["pnl", "cagr", "sharpe", "max_dd_pct"]
+    metrics = ["pnl", "cagr", "sharpe", "max_dd_pct", "calmar"]
 
     def long(df: DataFrame, name: str) -> DataFrame:
+        d = df.withColumn("calmar", F.when(F.col("max_dd_pct") != 0, F.col("cagr") / F.abs("max_dd_pct")).otherwise(0.0))
         pairs = ", ".join(f"'{m}', CAST({m} AS double)" for m in metrics)
-        return df.select(*keys, F.expr(f"stack({len(metrics)}, {pairs}) AS (metric, {name})"))
+        return d.select(*keys, F.expr(f"stack({len(metrics)}, {pairs}) AS (metric, {name})"))
 
     d = long(strategy, "strategy").join(long(fixed, "fixed"), [*keys, "metric"]).join(long(compounding, "compounding"), [*keys, "metric"])
-    return d.withColumn("alpha", F.col("strategy") - F.col("fixed")).withColumn("verdict", F.when(F.col("alpha") > 0, "better").when(F.col("alpha") < 0, "worse").otherwise("equal"))
+    own, a, b = F.col("strategy"), F.col("fixed"), F.col("compounding")  # drops are negative: the higher is the better for all
+    verdict = F.when(own > F.greatest(a, b), "better").when(own > F.least(a, b), "between").otherwise("worse")
+    alpha = d.where("metric = 'cagr'").select(*keys, F.explode(F.array(
+        F.struct(F.lit("alpha_fixed").alias("metric"), (own - a).alias("strategy")), F.struct(F.lit("alpha_compounding").alias("metric"), (own - b).alias("strategy")))).alias("__a"))
+    none = F.lit(None).cast("double")
+    alpha = alpha.select(*keys, "__a.metric", "__a.strategy", none.alias("fixed"), none.alias("compounding"), F.when(F.col("__a.strategy") > 0, "better").otherwise("worse").alias("verdict"))
+    return d.select(*keys, "metric", "strategy", "fixed", "compounding", verdict.alias("verdict")).union(alpha)
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int) -> DataFrame:

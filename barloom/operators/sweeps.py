@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.rmetrics import INF
 from barloom.functions.scalar import div, hash_long, unit_hash
-from barloom.operators.ledger import ACCOUNTS
+from barloom.operators.ledger import FEES
 from barloom.operators.scan import exact_quantiles, with_ordinal
 
 SORTED_DAYS = 5
@@ -102,7 +102,7 @@ CELL = ["account", "scheme", "erp", "frp"]
 
 
 def _fee(field: str) -> Column:
-    lookup = F.create_map(*[F.lit(x) for a, t in ACCOUNTS.items() for x in (a, float(t[field]))])
+    lookup = F.create_map(*[F.lit(x) for a, fees in FEES.items() for x in (a, fees[("fee", "reset").index(field)])])
     return F.element_at(lookup, F.col("account"))
 
 

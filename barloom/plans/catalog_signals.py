@@ -91,7 +91,7 @@ SQL = {
     "every_n_bars": emit("SELECT * FROM nbars WHERE n % 20 = 0", "CASE WHEN (n // 20) % 2 = 0 THEN 1 ELSE -1 END", "close", "10.0::DOUBLE", "2.0", "every_n"),
 }
 
-PARAMS = {"anchored_reversion": {"n": 3}, "rsi_cross": {"low": 45.0, "high": 55.0}, "vwap_band_fade": {"k": 0.5, "ema": 40, "structure": 100.0}, "ibs_rsi_close": {"trend": False}, "trend_following": {"lookback": 2}}
+PARAMS = {"anchored_reversion": {"n": 3}, "rsi_cross": {"low": 45.0, "high": 55.0}, "vwap_band_fade": {"k": 0.5, "ema": 40, "structure": 100.0}, "ibs_rsi_close": {"trend": False, "at": 930, "ema": 50}, "trend_following": {"fast": 3, "slow": 8, "lookback": 2}, "orb_trend": {"fast": 3, "slow": 8}}
 for _name, _fn in Q.SIGNALS.items():
     def _make(name, fn):
         return lambda spark, sf: fn(stored_bars(spark, sf), **PARAMS.get(name, {}))

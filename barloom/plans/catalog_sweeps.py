@@ -1,4 +1,4 @@
-"""Queries over parameter grids, outcome tables and account ledgers."""
+"""Queries over parameter grids, outcome tables and trade sequences."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
@@ -227,21 +227,11 @@ def _(spark, sf):
     return U.filter_meta(trades(spark, sf), bars(spark, sf))
 
 
-# --- account replay ----------------------------------------------------------------------------------
+# --- trade sequences ----------------------------------------------------------------------------------
 
 def run_trades(spark, sf):
     t = trades(spark, sf)
-    return t.select("run_id", "trade_id", "entry_ts", F.to_date("entry_ts").alias("date"), ((F.col("exit_price") - F.col("entry_price")) * F.col("direction")).alias("points"), F.abs(F.col("entry_price") - F.col("initial_sl_price")).alias("sl_distance"))
-
-
-@query("account_ledger_replay", "run_id:i account:s scheme:s risk_pct:r n_trades:i status:s balance:r floor:r days:i payouts:i withdrawn:r")
-def _(spark, sf):
-    return L.account_ledger_replay(run_trades(spark, sf), ["run_id"], ["entry_ts", "trade_id"], ["25K", "50K"], ["fixed_dollar", "floor_aware", "martingale"], [0.1, 0.3])
-
-
-@query("funded_ledger_replay", "run_id:i account:s scheme:s risk_pct:r n_trades:i status:s balance:r floor:r days:i payouts:i withdrawn:r")
-def _(spark, sf):
-    return L.account_ledger_replay(run_trades(spark, sf), ["run_id"], ["entry_ts", "trade_id"], ["25K"], ["frac_dd"], [0.1, 0.3], phase="funded")
+    return t.select("run_id", "trade_id", "entry_ts", "exit_ts", F.to_date("entry_ts").alias("date"), ((F.col("exit_price") - F.col("entry_price")) * F.col("direction")).alias("points"), F.abs(F.col("entry_price") - F.col("initial_sl_price")).alias("sl_distance"))
 
 
 @query("dynamic_sizing", "trade_id:i contracts:i net:r equity:r", """WITH RECURSIVE t AS (SELECT run_id, trade_id, pnl_points AS p, abs(entry_price - initial_sl_price) AS sl, row_number() OVER (PARTITION BY run_id ORDER BY entry_ts, trade_id) AS n FROM pnl),
@@ -252,11 +242,18 @@ def _(spark, sf):
     return L.dynamic_sizing(run_trades(spark, sf), ["run_id"], ["entry_ts", "trade_id"], 100000.0, 0.01, commission=2.0)
 
 
-@query("session_pnl_gate", "trade_id:i allowed:b", """WITH RECURSIVE t AS (SELECT run_id, CAST(entry_ts AS DATE) AS d, trade_id, pnl_points AS p, row_number() OVER (PARTITION BY run_id, CAST(entry_ts AS DATE) ORDER BY entry_ts, trade_id) AS n FROM pnl),
-    w AS (SELECT run_id, d, trade_id, n, true AS allowed, 1 AS k, p AS s FROM t WHERE n = 1 UNION ALL SELECT t.run_id, t.d, t.trade_id, t.n, w.k < 2 AND w.s <= 0, w.k + (w.k < 2 AND w.s <= 0)::INT, w.s + CASE WHEN w.k < 2 AND w.s <= 0 THEN t.p ELSE 0 END FROM w JOIN t ON t.run_id = w.run_id AND t.d = w.d AND t.n = w.n + 1)
+_GATE = "w.k < 2 AND coalesce(list_sum(list_transform(list_filter(w.taken, lambda x: x.e <= t.entry_ts), lambda x: x.p)), 0) <= 0"
+
+
+@query("session_pnl_gate", "trade_id:i allowed:b", f"""WITH RECURSIVE t AS (SELECT run_id, CAST(entry_ts AS DATE) AS d, hour(entry_ts) // 8 AS session, trade_id, entry_ts, exit_ts, pnl_points AS p,
+      row_number() OVER (PARTITION BY run_id, CAST(entry_ts AS DATE), hour(entry_ts) // 8 ORDER BY entry_ts, trade_id) AS n FROM pnl),
+    w AS (SELECT run_id, d, session, trade_id, n, true AS allowed, 1 AS k, [{{'e': exit_ts, 'p': p}}] AS taken FROM t WHERE n = 1
+      UNION ALL SELECT t.run_id, t.d, t.session, t.trade_id, t.n, {_GATE}, w.k + ({_GATE})::INT, CASE WHEN {_GATE} THEN list_append(w.taken, {{'e': t.exit_ts, 'p': t.p}}) ELSE w.taken END
+      FROM w JOIN t ON t.run_id = w.run_id AND t.d = w.d AND t.session = w.session AND t.n = w.n + 1)
     SELECT * FROM w""")
 def _(spark, sf):
-    return L.session_pnl_gate(run_trades(spark, sf), ["run_id", "date"], ["entry_ts", "trade_id"], 2, True)
+    t = run_trades(spark, sf).withColumn("session", F.floor(F.hour("entry_ts") / 8))
+    return L.session_pnl_gate(t, ["run_id", "date", "session"], 2, True)
 
 
 @query("daily_r_matrix", "slot:i date:d sum_r:r mean_sl:r n:i fired:b dollars:r", """WITH c AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM bars WHERE hour(ts) * 60 + minute(ts) BETWEEN 570 AND 1020), g AS (SELECT run_id % 4 AS slot, CAST(entry_ts AS DATE) AS date, sum(r_multiple) AS sum_r, avg(abs(entry_price - initial_sl_price)) AS mean_sl, count(*) AS n FROM pnl GROUP BY 1, 2)

@@ -274,7 +274,8 @@ def _(spark, sf):
 
 cte("cal", "SELECT DISTINCT CAST(ts AS DATE) AS date FROM bars WHERE hour(ts) * 60 + minute(ts) BETWEEN 570 AND 1020")
 cte("dpnl", "SELECT run_id, CAST(exit_ts AS DATE) AS date, sum(net) AS pnl, count(*) AS n FROM pnl GROUP BY 1, 2")
-cte("dense_pnl", "SELECT r.run_id, c.date, coalesce(d.pnl, 0) AS pnl FROM (SELECT DISTINCT run_id FROM pnl) r CROSS JOIN cal c LEFT JOIN dpnl d ON d.run_id = r.run_id AND d.date = c.date")
+cte("on_cal", """SELECT run_id, date, sum(pnl) AS pnl FROM (SELECT d.run_id, coalesce((SELECT min(c.date) FROM cal c WHERE c.date >= d.date), (SELECT max(c.date) FROM cal c)) AS date, d.pnl FROM dpnl d) GROUP BY 1, 2""")
+cte("dense_pnl", "SELECT r.run_id, c.date, coalesce(d.pnl, 0) AS pnl FROM (SELECT DISTINCT run_id FROM pnl) r CROSS JOIN cal c LEFT JOIN on_cal d ON d.run_id = r.run_id AND d.date = c.date")
 
 
 @query("daily_pnl", "run_id:i date:d pnl:r n:i", "SELECT * FROM dpnl")
@@ -319,12 +320,18 @@ def _(spark, sf):
     return P.buy_hold_fixed(bars(spark, sf), ["symbol"], 100000.0, 0.25, 2.0)
 
 
-@query("buy_hold_compounding", "symbol ts equity:r")
+_compounding = """WITH RECURSIVE o AS (SELECT symbol, CAST(ts AS DATE) AS date, arg_min(open, ts) AS o FROM bars GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n FROM o),
+    f AS (SELECT symbol, date, n, floor(100000.0::DOUBLE / (o * 20)) AS h, floor(100000.0::DOUBLE / (o * 20)) * (o + {s}) AS c FROM k WHERE n = 1
+      UNION ALL SELECT k.symbol, k.date, k.n, greatest(f.h, floor((100000.0::DOUBLE - {m} * f.h) / (k.o * 20))), f.c + (greatest(f.h, floor((100000.0::DOUBLE - {m} * f.h) / (k.o * 20))) - f.h) * (k.o + {s}) FROM f JOIN k ON k.symbol = f.symbol AND k.n = f.n + 1)
+    SELECT b.symbol, b.ts, 100000.0::DOUBLE - {m} * h + (b.close * h - c) * 20 AS equity FROM bars b JOIN f ON f.symbol = b.symbol AND f.date = CAST(b.ts AS DATE)"""
+
+
+@query("buy_hold_compounding", "symbol ts equity:r", _compounding.format(s="0.25::DOUBLE", m="2.0::DOUBLE"))
 def _(spark, sf):
     return P.buy_hold_compounding(bars(spark, sf), ["symbol"], 100000.0, 0.25, 2.0)
 
 
-@query("benchmark_compare", "symbol metric:s strategy:r fixed:r compounding:r alpha:r verdict:s")
+@query("benchmark_compare", "symbol metric:s strategy:r fixed:r compounding:r verdict:s")
 def _(spark, sf):
     b = bars(spark, sf)
     fixed = P.curve_stats(P.buy_hold_fixed(b, ["symbol"], 100000.0), ["symbol"], 100000.0)

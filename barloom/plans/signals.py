@@ -173,7 +173,7 @@ def ibs_open(bars: DataFrame, low: float = 0.2, high: float = 0.8, mult: float =
 
 
 @register_signal("ibs_rsi_close")
-def ibs_rsi_close(bars: DataFrame, at: int = 930, ema: int = 50, ibs_low: float = 0.3, rsi_low: float = 40.0, rr: float = 1.5, trend: bool = True) -> DataFrame:
+def ibs_rsi_close(bars: DataFrame, at: int = 959, ema: int = 200, ibs_low: float = 0.3, rsi_low: float = 40.0, rr: float = 1.5, trend: bool = True) -> DataFrame:
     def add(d, w):
         return d.withColumns({"rsi2": I.short_rsi_col(w, 2), "ema": I.ema_col(w, "close", ema, 4 * ema), "ibs": ibs()})
 
@@ -197,7 +197,7 @@ def orb_atr(bars: DataFrame, mult: float = 0.1, start: int = 600, end: int = 930
 
 
 @register_signal("orb_trend")
-def orb_trend(bars: DataFrame, mult: float = 0.1, fast: int = 3, slow: int = 8, sl_pct: float = 0.1, rr: float = 2.0) -> DataFrame:
+def orb_trend(bars: DataFrame, mult: float = 0.1, fast: int = 20, slow: int = 100, sl_pct: float = 0.1, rr: float = 2.0) -> DataFrame:
     """Jump of a share of the daily ATR over the last close, with the daily trend; first of the day."""
     def daily(x):
         w = Window.partitionBy(*SYM).orderBy("date")
@@ -239,11 +239,11 @@ def enhanced_orb(bars: DataFrame, minutes: int = 60, candles: int = 2, reverse:
 
 
 @register_signal("trend_following")
-def trend_following(bars: DataFrame, fast: int = 3, slow: int = 8, lookback: int = 5, mult: float = 2.0) -> DataFrame:
+def trend_following(bars: DataFrame, fast: int = 50, slow: int = 100, lookback: int = 200, mult: float = 2.0) -> DataFrame:
     """Daily trend with a close beyond the prior days' extreme; trailed from the day before, no target."""
     def daily(x):
         w = Window.partitionBy(*SYM).orderBy("date")
-        x = I.atr(x, "rolling", 5, order="date", out="atr14").withColumns({"sf": I.sma_col(w, "close", fast), "ss": I.sma_col(w, "close", slow)})
+        x = I.atr(x, "rolling", 14, order="date", out="atr14").withColumns({"sf": I.sma_col(w, "close", fast), "ss": I.sma_col(w, "close", slow)})
         f = w.rowsBetween(-lookback, -1)
         ok = F.count(F.lit(1)).over(f) == lookback
         return x.withColumns({"hh": F.when(ok, F.max("high").over(f)), "ll": F.when(ok, F.min("low").over(f)), "ph": F.lag("high").over(w), "pl": F.lag("low").over(w), "dc": F.col("close")})
@@ -259,7 +259,7 @@ def trend_following(bars: DataFrame, fast: int = 3, slow: int = 8, lookback: int
 
 @register_signal("turtle_soup")
 def turtle_soup(bars: DataFrame, lookback: int = 5, rr: float = 1.5, atr: int = 14) -> DataFrame:
-    """Fade of a completed 4-hour extreme: close back inside, first per side of each 4-hour bar."""
+    """Fade of a completed 4-hour extreme: close back inside, first of each 4-hour bar."""
     four = B.resample_ohlcv(bars, 240, offset=0)
 
     def mark(d, w):

@@ -7,7 +7,8 @@ from barloom.functions import trade as T
 from barloom.operators import evalml as E
 from barloom.operators import exits as X
 from barloom.operators import perf as P
-from barloom.operators.ledger import account_ledger_replay
+from barloom.operators.ledger import session_pnl_gate
+from barloom.operators.perf import on_calendar
 from tests.fixtures import t
 
 
@@ -86,17 +87,18 @@ def test_search_threshold_prefers_profitable_tail(spark):
     assert best.expectancy == 1.0 and 0.49 < best.threshold < 0.55
 
 
-def ledger(spark, days, points, sl=5.0):
-    rows = [("run", i, t(f"2024-01-{2 + d:02d} 10:00:00"), t(f"2024-01-{2 + d:02d} 10:00:00").date(), float(p), sl) for i, (d, p) in enumerate(zip(days, points))]
-    df = spark.createDataFrame(rows, "run string, trade_id int, entry_ts timestamp_ntz, date date, points double, sl_distance double")
-    return account_ledger_replay(df, ["run"], ["entry_ts", "trade_id"], ["25K"], ["fixed_dollar"], [0.2]).first()
+def test_session_gate_knows_only_closed_trades(spark):
+    rows = [("run", 1, t("2024-01-02 10:00:00"), t("2024-01-02 11:00:00"), 5.0), ("run", 2, t("2024-01-02 10:05:00"), t("2024-01-02 10:10:00"), -1.0), ("run", 3, t("2024-01-02 10:30:00"), t("2024-01-02 10:40:00"), 1.0),
+            ("run", 4, t("2024-01-02 11:00:00"), t("2024-01-02 11:10:00"), 1.0)]
+    df = spark.createDataFrame(rows, "run string, trade_id int, entry_ts timestamp_ntz, exit_ts timestamp_ntz, points double")
+    allowed = lambda n, stop: [r.allowed for r in session_pnl_gate(df, ["run"], n, stop).orderBy("trade_id").collect()]
+    assert allowed(9, True) == [True, True, True, False]
+    assert allowed(2, True) == [True, True, False, False]
+    assert allowed(9, False) == [True] * 4
 
 
-def test_account_passes_with_consistent_days(spark):
-    assert ledger(spark, range(4), [5.0] * 4).status == "OPEN"
-    assert ledger(spark, range(12), [10.0] * 12).status == "PASSED"
-
-
-def test_account_breaches_at_the_floor(spark):
-    r = ledger(spark, [0] * 8, [-10.0] * 8)
-    assert r.status == "BREACHED"
+def test_pnl_outside_the_calendar_moves_to_the_next_day(spark):
+    d = lambda k: t(f"2024-01-{k:02d} 00:00:00").date()
+    daily = spark.createDataFrame([("a", d(5), 1.0), ("a", d(6), 2.0), ("a", d(8), 4.0), ("a", d(10), 8.0)], "run string, date date, pnl double")
+    calendar = spark.createDataFrame([(d(5),), (d(8),), (d(9),)], "date date")
+    assert sorted(map(tuple, on_calendar(daily, calendar, ["run"]).collect())) == [("a", d(5), 1.0), ("a", d(8), 6.0), ("a", d(9), 8.0)]
