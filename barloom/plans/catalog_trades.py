@@ -331,7 +331,30 @@ def _(spark, sf):
     return P.buy_hold_compounding(bars(spark, sf), ["symbol"], 100000.0, 0.25, 2.0)
 
 
-@query("benchmark_compare", "symbol metric:s strategy:r fixed:r compounding:r verdict:s")
+def _curve(source: str) -> str:
+    """SQL of the P&L, CAGR, Sharpe and deepest drawdown of a curve of equity from 100,000."""
+    return f"""SELECT symbol, arg_max(eod, date) - 100000 AS pnl, CASE WHEN arg_max(eod, date) <= 0 THEN -1 ELSE pow(arg_max(eod, date) / 100000.0::DOUBLE, 252.0::DOUBLE / count(*)) - 1 END AS cagr,
+      CASE WHEN stddev_pop(chg) > 0 THEN avg(chg) / stddev_pop(chg) * sqrt(252) ELSE 0 END AS sharpe, least(0, min(dd)) AS max_dd_pct
+      FROM (SELECT *, eod - lag(eod, 1, 100000.0::DOUBLE) OVER (PARTITION BY symbol ORDER BY date) AS chg FROM (
+        SELECT symbol, CAST(ts AS DATE) AS date, arg_max(equity, ts) AS eod, min((equity - peak) / peak) AS dd FROM (SELECT *, greatest(100000.0::DOUBLE, max(equity) OVER (PARTITION BY symbol ORDER BY ts)) AS peak FROM ({source})) GROUP BY 1, 2)) GROUP BY 1"""
+
+
+_benchmarks = f"""WITH f AS ({_curve("SELECT symbol, ts, 100000.0::DOUBLE + (close - first_value(open) OVER (PARTITION BY symbol ORDER BY ts)) * 20 AS equity FROM bars")}),
+    c AS ({_curve(_compounding.format(s="0.0::DOUBLE", m="0.0::DOUBLE"))}),
+    d AS (SELECT symbol, coalesce((SELECT min(c.date) FROM cal c WHERE c.date >= x.date), (SELECT max(c.date) FROM cal c)) AS date, x.pnl FROM (SELECT symbol, CAST(exit_ts AS DATE) AS date, sum(net) AS pnl FROM pnl GROUP BY 1, 2) x),
+    e AS (SELECT s.symbol, k.date, coalesce(sum(d.pnl), 0) AS pnl FROM (SELECT DISTINCT symbol FROM pnl) s CROSS JOIN cal k LEFT JOIN d ON d.symbol = s.symbol AND d.date = k.date GROUP BY 1, 2),
+    p AS (SELECT *, greatest(100000.0::DOUBLE, max(equity) OVER (PARTITION BY symbol ORDER BY exit_ts, trade_id)) AS peak FROM (SELECT symbol, exit_ts, trade_id, 100000.0::DOUBLE + sum(net) OVER (PARTITION BY symbol ORDER BY exit_ts, trade_id) AS equity FROM pnl)),
+    o AS (SELECT e.symbol, sum(e.pnl) AS pnl, CASE WHEN 100000 + sum(e.pnl) <= 0 THEN -1 ELSE pow((100000 + sum(e.pnl)) / 100000, 252.0::DOUBLE / count(*)) - 1 END AS cagr, CASE WHEN stddev_pop(e.pnl) > 0 THEN avg(e.pnl) / stddev_pop(e.pnl) * sqrt(252) ELSE 0 END AS sharpe,
+      (SELECT min((equity - peak) / peak) FROM p WHERE p.symbol = e.symbol) AS max_dd_pct FROM e GROUP BY 1),
+    a AS (SELECT symbol, m AS metric, v AS x, w FROM (SELECT 'o' AS w, * FROM o UNION ALL SELECT 'f', * FROM f UNION ALL SELECT 'c', * FROM c) t,
+      LATERAL (VALUES ('pnl', t.pnl), ('cagr', t.cagr), ('sharpe', t.sharpe), ('max_dd_pct', t.max_dd_pct), ('calmar', CASE WHEN t.max_dd_pct <> 0 THEN t.cagr / abs(t.max_dd_pct) ELSE 0 END)) r(m, v)),
+    b AS (SELECT symbol, metric, max(x) FILTER (w = 'o') AS strategy, max(x) FILTER (w = 'f') AS fixed, max(x) FILTER (w = 'c') AS compounding FROM a GROUP BY 1, 2)
+    SELECT *, CASE WHEN strategy > greatest(fixed, compounding) THEN 'better' WHEN strategy > least(fixed, compounding) THEN 'between' ELSE 'worse' END AS verdict FROM b
+    UNION ALL SELECT symbol, 'alpha_fixed', strategy - fixed, NULL, NULL, CASE WHEN strategy > fixed THEN 'better' ELSE 'worse' END FROM b WHERE metric = 'cagr'
+    UNION ALL SELECT symbol, 'alpha_compounding', strategy - compounding, NULL, NULL, CASE WHEN strategy > compounding THEN 'better' ELSE 'worse' END FROM b WHERE metric = 'cagr'"""
+
+
+@query("benchmark_compare", "symbol metric:s strategy:r fixed:r compounding:r verdict:s", _benchmarks)
 def _(spark, sf):
     b = bars(spark, sf)
     fixed = P.curve_stats(P.buy_hold_fixed(b, ["symbol"], 100000.0), ["symbol"], 100000.0)
