@@ -9,6 +9,7 @@ from barloom.operators import mlset as M
 from barloom.operators.joins import asof_join
 from barloom.plans.bindings import bars, r_trades, table, trades
 from barloom.plans.registry import cte, query
+from barloom.session import cut
 
 CFG, ORD = ["config_idx"], ["date", "trade_id"]
 
@@ -252,27 +253,37 @@ def model_rows(spark, sf):
         F.month("o_orderdate").cast("double").alias("month"), ((F.col("o_totalprice") - 250000.0) / 100000.0 + (F.col("o_orderkey") % 7) / 10.0).alias("r")).withColumn("win", (F.col("r") > 0).cast("int"))
 
 
-FAST = {"trees": 5, "depth": 3}
+# The classifier's and the folds' queries fit 8 and more models; they keep few trees, as the README says.
+FEW = {"trees": 3, "depth": 3}
+_fitted: dict[tuple, object] = {}
+
+
+def regressor(spark, sf, weighted=False):
+    """The operator's own 300 trees of depth 4; one fit serves all queries of a session that score with it."""
+    key = (spark.sparkContext.applicationId, sf, weighted)
+    if key not in _fitted:
+        d = cut(M.config_weights(model_rows(spark, sf), "config_idx") if weighted else model_rows(spark, sf))
+        _fitted[key] = E.fit_regressor(d, FEATURES, weight="weight" if weighted else None)
+    return _fitted[key]
 
 
 @query("fit_regressor_predict", "trade_id:i r:r pred:r")
 def _(spark, sf):
-    d = M.config_weights(model_rows(spark, sf), "config_idx")
-    return E.fit_regressor(d, FEATURES, weight="weight", **FAST).transform(d)
+    return regressor(spark, sf, weighted=True).transform(M.config_weights(model_rows(spark, sf), "config_idx"))
 
 
 @query("fit_win_probability", "trade_id:i p_win:r")
 def _(spark, sf):
     d = model_rows(spark, sf)
-    model, calibration = E.fit_win_probability(d, FEATURES, "win", folds=3, trees=3, depth=3)
+    model, calibration = E.fit_win_probability(d, FEATURES, "win", folds=3, **FEW)
     return E.win_probability(model, calibration, d)
 
 
 @query("ensemble_score", "trade_id:i pred:r p_win:r score:r")
 def _(spark, sf):
     d = model_rows(spark, sf)
-    model, calibration = E.fit_win_probability(d, FEATURES, "win", folds=3, trees=3, depth=3)
-    reg = E.fit_regressor(d, FEATURES, **FAST)
+    model, calibration = E.fit_win_probability(d, FEATURES, "win", folds=3, **FEW)
+    reg = regressor(spark, sf)
     both = E.win_probability(model, calibration, reg.transform(d).drop("features"))
     return both.withColumn("score", F.col("pred") * F.col("p_win"))
 
@@ -280,7 +291,7 @@ def _(spark, sf):
 @query("best_execution_candidate", "trade_id:i cand:i pred:r price:r")
 def _(spark, sf):
     d = model_rows(spark, sf)
-    return E.best_execution(d, E.fit_regressor(d, FEATURES, **FAST), [{"price": 100.0}, {"price": 200.0}, {"price": 300.0}], "trade_id")
+    return E.best_execution(d, regressor(spark, sf), [{"price": 100.0}, {"price": 200.0}, {"price": 300.0}], "trade_id")
 
 
 @query("target_index", "trade_id:i idx:i", "SELECT trade_id, CASE WHEN trade_id % 4 > 1 AND r_multiple > 0 AND r_multiple >= (10 + 14) / 2 / abs(entry_price - initial_sl_price) THEN 1 ELSE 0 END AS idx FROM pnl")
@@ -292,20 +303,19 @@ def _(spark, sf):
 
 @query("top_features", "feature:s importance:r")
 def _(spark, sf):
-    return E.top_features(E.feature_importance(E.fit_regressor(model_rows(spark, sf), FEATURES, **FAST), FEATURES, spark))
+    return E.top_features(E.feature_importance(regressor(spark, sf), FEATURES, spark))
 
 
 @query("feature_share", "kind:s importance:r share:r")
 def _(spark, sf):
-    d = model_rows(spark, sf).withColumnRenamed("month", "cfg_month")
-    feats = [f if f != "month" else "cfg_month" for f in FEATURES]
-    return E.feature_share(E.feature_importance(E.fit_regressor(d, feats, **FAST), feats, spark))
+    names = [f if f != "month" else "cfg_month" for f in FEATURES]
+    return E.feature_share(E.feature_importance(regressor(spark, sf), names, spark))
 
 
 @query("walk_forward_fit", "fold:i threshold:r n_all:i n_taken:i taken_sortino:r all_sortino:r")
 def _(spark, sf):
     d = model_rows(spark, sf)
     folds = [f.asDict() for f in M.walk_forward_folds(d, "date", 36, 12, 1).orderBy("fold").collect()]  # a few rows
-    return E.walk_forward_fit(d, folds, FEATURES, "date", trees=3, depth=3)
+    return E.walk_forward_fit(d, folds, FEATURES, "date", **FEW)
 
 

@@ -181,12 +181,13 @@ def _(spark, sf):
     return P.untouched_levels(s, b, SYM, ["symbol", "ts", "kind"], "confirmed_ts", "until", "price")
 
 
-@query("level_zone_match", "symbol ts price:r zone_ts level:r", """SELECT s.symbol, s.ts, s.price, z.ts AS zone_ts, z.near AS level FROM swings s LEFT JOIN LATERAL (SELECT f.ts, f.near FROM fvg f WHERE s.kind = 'H' AND f.symbol = s.symbol AND abs(f.near - s.price) <= 0.5 AND f.ts < s.ts AND f.direction = -1 ORDER BY f.ts LIMIT 1) z ON true WHERE s.kind = 'H'""")
+@query("level_zone_match", "symbol ts kind:s price:r zone_ts level:r", """SELECT s.symbol, s.ts, s.kind, s.price, z.ts AS zone_ts, z.near AS level FROM swings s LEFT JOIN LATERAL (
+    SELECT f.ts, f.near FROM fvg f WHERE f.symbol = s.symbol AND abs(f.near - s.price) <= 0.5 AND f.ts < s.ts AND f.direction = CASE WHEN s.kind = 'H' THEN -1 ELSE 1 END ORDER BY f.ts LIMIT 1) z ON true""")
 def _(spark, sf):
     b = stored_bars(spark, sf)
-    s = P.swings(b, 3).where("kind = 'H'").select("symbol", "ts", "price")
-    z = P.fvg_zones(b).where("direction = -1").select("symbol", F.col("ts").alias("zone_ts"), F.col("near").alias("level"))
-    return level_match(s, z, SYM, "price", "level", 0.5, F.col("zone_ts") < F.col("ts"), F.col("zone_ts"), ["zone_ts", "level"], ["symbol", "ts"])
+    s = P.swings(b, 3).select("symbol", F.when(F.col("kind") == "H", -1).otherwise(1).alias("direction"), "kind", "ts", "price")
+    z = P.fvg_zones(b).select("symbol", F.col("direction").cast("int").alias("direction"), F.col("ts").alias("zone_ts"), F.col("near").alias("level"))
+    return level_match(s, z, [*SYM, "direction"], "price", "level", 0.5, F.col("zone_ts") < F.col("ts"), F.col("zone_ts"), ["zone_ts", "level"], ["symbol", "ts", "kind"])
 
 
 @query("confluence_targets", "symbol ts target:r confluent:b", """WITH a AS (SELECT *, abs(entry - sl) AS risk, CASE WHEN direction = 1 THEN zone_top - extreme ELSE extreme - zone_bot END AS rng, CASE WHEN direction = 1 THEN zone_top ELSE zone_bot END AS base FROM afz2),
