@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -231,36 +230,42 @@ def heikin_ashi(bars: DataFrame, keys: Sequence[str] = SYM) -> DataFrame:
 
 
 def parabolic_sar(bars: DataFrame, initial: float = 0.02, step: float = 0.02, limit: float = 0.2, keys: Sequence[str] = SYM) -> DataFrame:
-    """Stop-and-reverse state machine, folded per series.
+    """Stop-and-reverse state machine: psar and trend (1, -1; 0 on a series' first bar).
 
-    The recurrence is not associative, so one series is one group; apply it to resampled bars, whose number
-    per series is bounded by the calendar (288 five-minute bars a day).
+    The recurrence is not associative. Series are hashed over tasks, sorted and streamed; a task remembers the last two
+    bars and the state of the series it is in, however long that is.
     """
-    cols = list(bars.columns)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        hi, lo, cl = (pdf[c].to_numpy(float) for c in ("high", "low", "close"))
-        n = len(pdf)
-        sar, side = np.zeros(n), np.zeros(n, dtype=np.int32)
-        if n > 1:
-            up = cl[1] > cl[0]
-            level, peak, af = (lo[0], hi[1], initial) if up else (hi[0], lo[1], initial)
-            sar[1], side[1] = level, 1 if up else -1
-            for i in range(2, n):
-                level += af * (peak - level)
-                level = min(level, lo[i - 1], lo[i - 2]) if up else max(level, hi[i - 1], hi[i - 2])
-                extreme = hi[i] if up else lo[i]
-                if (level > lo[i]) if up else (level < hi[i]):
-                    level, up, af = peak, not up, initial
-                    peak = hi[i] if up else lo[i]
-                elif (extreme > peak) if up else (extreme < peak):
-                    peak, af = extreme, min(limit, af + step)
-                sar[i], side[i] = level, 1 if up else -1
-        return pdf.assign(psar=sar, trend=side)[[*cols, "psar", "trend"]]
+    columns = list(bars.columns)
+
+    def walk(batches):
+        current, n, level, side, peak, af, before = None, 0, 0.0, 0, 0.0, 0.0, ()
+        for pdf in batches:
+            levels, sides = [], []
+            for mark, hi, lo, close in zip(zip(*[pdf[k] for k in keys]), pdf["high"].to_numpy(float), pdf["low"].to_numpy(float), pdf["close"].to_numpy(float)):
+                n = 0 if mark != current else n
+                if n == 0:
+                    current, level, side = mark, 0.0, 0
+                elif n == 1:
+                    _, hi1, lo1, close1 = before[-1]
+                    side = 1 if close > close1 else -1
+                    level, peak, af = (lo1, hi, initial) if side > 0 else (hi1, lo, initial)
+                else:
+                    bound = min(x[2] for x in before) if side > 0 else max(x[1] for x in before)
+                    moved = level + af * (peak - level)
+                    level = min(moved, bound) if side > 0 else max(moved, bound)
+                    if (level > lo) if side > 0 else (level < hi):  # through the stop: reverse at the extreme
+                        level, side, af = peak, -side, initial
+                        peak = hi if side > 0 else lo
+                    elif (hi > peak) if side > 0 else (lo < peak):
+                        peak, af = (hi if side > 0 else lo), min(limit, af + step)
+                before = (*before[-1:], (n, hi, lo, close)) if n else ((n, hi, lo, close),)
+                n += 1
+                levels.append(level)
+                sides.append(side)
+            yield pdf[columns].assign(psar=levels, trend=np.array(sides, dtype=np.int32))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields) + ", psar double, trend int"
-    return bars.groupBy(*keys).applyInPandas(fold, schema)
+    return bars.repartition(*keys).sortWithinPartitions(*keys, "ts").mapInPandas(walk, schema)
 
 
 def lag_features(daily: DataFrame, keys: Sequence[str] = SYM, order: str = "date") -> DataFrame:

@@ -137,7 +137,22 @@ def _(spark, sf):
     return I.heikin_ashi(bars(spark, sf))
 
 
-@query("parabolic_sar", "symbol ts psar:r trend:i")
+def sar_sql(source: str) -> str:
+    """The parabolic stop of ``source`` (symbol, n, ts, high, low, close) by recursion over its rows."""
+    return f"""SELECT * FROM (WITH RECURSIVE t AS ({source}),
+    w AS (SELECT symbol, n, ts, 0.0::DOUBLE AS psar, 0 AS trend, 0.0::DOUBLE AS peak, 0.0::DOUBLE AS af, high AS h1, low AS l1, high AS h2, low AS l2, close AS c1 FROM t WHERE n = 1
+      UNION ALL SELECT symbol, n, ts, CASE WHEN trend = 0 THEN CASE WHEN c > c1 THEN l1 ELSE h1 END WHEN turn THEN peak ELSE lv END,
+        CASE WHEN trend = 0 THEN CASE WHEN c > c1 THEN 1 ELSE -1 END WHEN turn THEN -trend ELSE trend END,
+        CASE WHEN trend = 0 THEN CASE WHEN c > c1 THEN hi ELSE lo END WHEN turn THEN CASE WHEN trend = 1 THEN lo ELSE hi END WHEN trend = 1 THEN greatest(peak, hi) ELSE least(peak, lo) END,
+        CASE WHEN trend = 0 OR turn THEN 0.02::DOUBLE WHEN (trend = 1 AND hi > peak) OR (trend = -1 AND lo < peak) THEN least(0.2::DOUBLE, af + 0.02::DOUBLE) ELSE af END, hi, lo, h1, l1, c
+      FROM (SELECT *, CASE WHEN trend = 1 THEN lv > lo ELSE lv < hi END AS turn FROM (
+        SELECT t.symbol, t.n, t.ts, t.high AS hi, t.low AS lo, t.close AS c, w.trend, w.peak, w.af, w.h1, w.l1, w.c1,
+          CASE WHEN w.trend = 1 THEN least(w.psar + w.af * (w.peak - w.psar), w.l1, w.l2) ELSE greatest(w.psar + w.af * (w.peak - w.psar), w.h1, w.h2) END AS lv
+        FROM w JOIN t ON t.symbol = w.symbol AND t.n = w.n + 1)))
+    SELECT * FROM w)"""
+
+
+@query("parabolic_sar", "symbol ts psar:r trend:i", sar_sql("SELECT symbol, n, ts, high, low, close FROM nbars"))
 def _(spark, sf):
     return I.parabolic_sar(bars(spark, sf))
 
