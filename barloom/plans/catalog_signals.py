@@ -65,8 +65,20 @@ cte("fairp", f"""SELECT *, first_value(open) OVER (PARTITION BY symbol, CAST(ts
 cte("amr", f"""SELECT f.*, bh, bl, {M.replace('(ts)', '(f.ts)')} - CASE session WHEN 'ASIA' THEN 1200 WHEN 'LONDON' THEN 120 ELSE 570 END AS el FROM fairp f JOIN bos_bars x ON x.symbol = f.symbol AND x.ts = f.ts JOIN atr_tr a ON a.symbol = f.symbol AND a.n = f.n WHERE a.x > 0""")
 cte("asia_src", f"""SELECT b.*, a.x AS atr, pre_high, pre_low, sign(pre_close - pre_open) AS w FROM bars b JOIN atr_trunc a ON a.symbol = b.symbol AND a.ts = b.ts JOIN asia_range r ON r.symbol = b.symbol AND r.date = CAST(b.ts AS DATE) WHERE a.x > 0 AND pre_high - pre_low BETWEEN 0.1 * a.x AND 50 * a.x""")
 cte("vwsrc", f"SELECT v.*, a.x AS atr FROM vwap v JOIN atr_first a ON a.symbol = v.symbol AND a.n = v.n WHERE a.x > 0 AND hour(v.ts) * 60 + minute(v.ts) BETWEEN 600 AND 929")
+cte("trend_days", """SELECT symbol, date, close AS dc, CASE WHEN k >= 14 THEN avg(tr) OVER (w ROWS 13 PRECEDING) END AS atr14, CASE WHEN k >= 5 THEN avg(tr) OVER (w ROWS 4 PRECEDING) END AS atr5, CASE WHEN k >= 3 THEN avg(close) OVER (w ROWS 2 PRECEDING) END AS sf,
+    CASE WHEN k >= 8 THEN avg(close) OVER (w ROWS 7 PRECEDING) END AS ss, CASE WHEN k >= 3 THEN max(high) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) END AS hh, CASE WHEN k >= 3 THEN min(low) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) END AS ll,
+    lag(high) OVER w AS ph, lag(low) OVER w AS pl FROM fdl WINDOW w AS (PARTITION BY symbol ORDER BY date)""")
+cte("trend_src", "SELECT b.*, d.* EXCLUDE (symbol, date) FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS pc, row_number() OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts) AS rn FROM bars) b ASOF JOIN trend_days d ON d.symbol = b.symbol AND CAST(b.ts AS DATE) > d.date")
+cte("orb60", f"SELECT symbol, CAST(ts AS DATE) AS date, max(high) AS oh, min(low) AS ol, arg_min(open, ts) AS oo, arg_max(close, ts) AS oc FROM bars WHERE {M} >= 570 AND {M} < 630 GROUP BY 1, 2")
+cte("orb_stop_src", f"""SELECT f.*, a.x AS atr, oh, ol, oo, oc FROM (SELECT *, row_number() OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts) AS rn FROM bars WHERE {M} >= 630) f JOIN atr_trunc a ON a.symbol = f.symbol AND a.ts = f.ts
+    JOIN orb60 o ON o.symbol = f.symbol AND o.date = CAST(f.ts AS DATE) WHERE rn = 1 AND a.x > 0 AND oh > ol AND oh - ol BETWEEN 0.1::DOUBLE * a.x AND 5 * a.x""")
+TREND = "CASE WHEN sf > ss AND {0} THEN 1 WHEN sf < ss AND {1} THEN -1 ELSE 0 END"
 
 SQL = {
+    "trend_following": f"""SELECT symbol, ts, w AS direction, open AS ref_price, {tick("CASE WHEN w = 1 THEN ph - 2 * atr14 ELSE pl + 2 * atr14 END")} AS sl, NULL::DOUBLE AS tp, 'trend' AS reason
+        FROM (SELECT *, {TREND.format("dc > hh", "dc < ll")} AS w FROM trend_src WHERE rn = 1 AND atr14 > 0) WHERE w <> 0 AND ph IS NOT NULL""",
+    "orb_trend": cap(emit(f"SELECT * FROM trend_src WHERE {M} BETWEEN 600 AND 929 AND atr5 > 0", TREND.format(f"close > {tick('pc + 0.1::DOUBLE * atr5')}", f"close < {tick('pc - 0.1::DOUBLE * atr5')}"), "open", "open * 0.1::DOUBLE", "2.0", "orb_trend"), "symbol, CAST(ts AS DATE)", 1),
+    "orb_stop": emit("SELECT *, oc >= oo AS up FROM orb_stop_src", "CASE WHEN up THEN 1 ELSE -1 END", f"CASE WHEN up THEN {tick('oh + 0.25')} ELSE {tick('ol - 0.25')} END", tick("greatest(atr, 1)"), "2.0", "orb_stop"),
     "rsi_cross": emit(atr_join("rsi_prev"), "CASE WHEN rsi < 45 AND prev >= 45 THEN 1 WHEN rsi > 55 AND prev <= 55 THEN -1 ELSE 0 END", "close", "atr", "1.5", "rsi"),
     "sma_cross_entry": emit(atr_join("sma"), "cross_", "close", "atr", "1.5", "sma_cross"),
     "bollinger_entry": emit(atr_join("boll_x"), "CASE WHEN below THEN 1 WHEN above THEN -1 ELSE 0 END", "close", "atr", "1.5", "bollinger_mean_reversion"),
