@@ -182,6 +182,9 @@ def order_violations() -> Column:
         ("stop_wrong_side", (sl - ref) * d >= 0),
         ("target_wrong_side", (tp - ref) * d <= 0),
         ("stop_equals_target", sl == tp),
+        ("trail_not_positive", F.col("trail_points") <= 0),
+        ("activation_without_trail", F.col("trail_activation_points").isNotNull() & F.col("trail_points").isNull()),
+        ("activation_negative", F.col("trail_points").isNotNull() & (F.col("trail_activation_points") < 0)),
         ("limit_wrong_side", (kind == "LIMIT") & ((F.col("limit_price") - F.col("ref_price")) * d > 0)),
     )
 

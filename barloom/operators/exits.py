@@ -71,17 +71,20 @@ def fill_on_bar() -> Column:
     )
 
 
-def pending_fill(orders: DataFrame, bars: DataFrame, keys: Sequence[str] = SYM, ident: str = "entry_id") -> DataFrame:
+def pending_fill(orders: DataFrame, bars: DataFrame, keys: Sequence[str] = SYM, ident: str = "entry_id", session_end: int | None = None) -> DataFrame:
     """First fill of each resting order within its expiry, unless its target is reached first.
 
     ``orders`` carry ``placed`` (row position of the signal bar) and ``expiry_bars``; ``bars`` carry ``ord``.
-    The bar on which the countdown reaches zero no longer fills.
+    The bar on which the countdown reaches zero no longer fills. A bar at or past the minute ``session_end`` cancels
+    whatever still rests, before it can fill.
     """
     lp = F.col("limit_price")
     gone = (
         ((F.col("b_high") >= F.col("cancel_above")) & (F.col("b_low") > lp))
         | ((F.col("b_low") <= F.col("cancel_below")) & (F.col("b_high") < lp))
     )
+    if session_end is not None:
+        gone = (F.hour("b_ts") * 60 + F.minute("b_ts") >= session_end) | gone
     o = orders.withColumns({"__lo": F.col("placed") + 1, "__hi": F.col("placed") + F.col("expiry_bars") - 1}).where(F.col("__hi") >= F.col("__lo"))
     b = bars.select(*keys, F.col("ord").alias("b_ord"), F.col("ts").alias("b_ts"), *[F.col(c).alias(f"b_{c}") for c in ("open", "high", "low")])
     pairs = ordinal_join(o, b, keys, "__lo", "__hi", "b_ord")

@@ -46,7 +46,8 @@ def order_book(spark, sf):
         F.when(i % 3 == 0, (i % 5) * 0.5).when(i % 3 == 1, 500.0).otherwise((i % 13) / 10.0).alias("size_value"), v.alias("ref_price"),
         F.when((i % 4).isin(1, 3) & (i % 17 != 0), v - d * (i % 6 - 1)).alias("limit_price"),
         F.when((i % 4).isin(2, 3) & (i % 19 != 0), v + d * (i % 5)).alias("stop_price"),
-        F.when(i % 5 != 0, v - d * (i % 8)).alias("sl_price"), (v + d * (i % 10)).alias("tp_price"), F.when(i % 6 == 0, 3.0).alias("trail_points"))
+        F.when(i % 5 != 0, v - d * (i % 8)).alias("sl_price"), (v + d * (i % 10)).alias("tp_price"), F.when(i % 6 == 0, (i % 21) - 3.0).alias("trail_points"),
+        F.when(i % 7 == 0, (i % 5) - 1.0).alias("trail_activation_points"))
 
 
 cte("order_book", """SELECT event_id AS entry_id, event_type AS symbol, ts, d AS direction, CASE event_id % 4 WHEN 0 THEN 'MARKET' WHEN 1 THEN 'LIMIT' WHEN 2 THEN 'STOP' ELSE 'STOP_LIMIT' END AS order_type,
@@ -54,7 +55,7 @@ cte("order_book", """SELECT event_id AS entry_id, event_type AS symbol, ts, d AS
     CASE event_id % 3 WHEN 0 THEN (event_id % 5) * 0.5::DOUBLE WHEN 1 THEN 500.0 ELSE (event_id % 13) / 10.0::DOUBLE END AS size_value, value AS ref_price,
     CASE WHEN event_id % 4 IN (1, 3) AND event_id % 17 <> 0 THEN value - d * (event_id % 6 - 1) END AS limit_price,
     CASE WHEN event_id % 4 IN (2, 3) AND event_id % 19 <> 0 THEN value + d * (event_id % 5) END AS stop_price,
-    CASE WHEN event_id % 5 <> 0 THEN value - d * (event_id % 8) END AS sl_price, value + d * (event_id % 10) AS tp_price, CASE WHEN event_id % 6 = 0 THEN 3.0::DOUBLE END AS trail_points
+    CASE WHEN event_id % 5 <> 0 THEN value - d * (event_id % 8) END AS sl_price, value + d * (event_id % 10) AS tp_price, CASE WHEN event_id % 6 = 0 THEN event_id % 21 - 3.0::DOUBLE END AS trail_points, CASE WHEN event_id % 7 = 0 THEN event_id % 5 - 1.0::DOUBLE END AS trail_activation_points
     FROM (SELECT *, CASE WHEN event_id % 9 = 0 THEN 0 WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS d FROM events)""")
 
 
@@ -66,6 +67,8 @@ cte("order_book", """SELECT event_id AS entry_id, event_type AS symbol, ts, d AS
         ("pct_out_of_range", "size_type = 'PCT_RISK' AND (size_value <= 0 OR size_value > 1)"), ("contracts_not_whole", "size_type = 'CONTRACTS' AND size_value <> floor(size_value)"),
         ("stop_wrong_side", "(sl_price - coalesce(limit_price, stop_price, ref_price)) * direction >= 0"),
         ("target_wrong_side", "(tp_price - coalesce(limit_price, stop_price, ref_price)) * direction <= 0"), ("stop_equals_target", "sl_price = tp_price"),
+        ("trail_not_positive", "trail_points <= 0"), ("activation_without_trail", "trail_activation_points IS NOT NULL AND trail_points IS NULL"),
+        ("activation_negative", "trail_points IS NOT NULL AND trail_activation_points < 0"),
         ("limit_wrong_side", "order_type = 'LIMIT' AND (limit_price - ref_price) * direction > 0"))) + ")")
 def _(spark, sf):
     return order_book(spark, sf).select("entry_id", F.explode(T.order_violations()).alias("rule"))
@@ -449,19 +452,29 @@ def resting_orders(spark, sf):
     return o.withColumns({"limit_price": S.round_to_tick("limit_price"), "stop_price": S.round_to_tick("stop_price")}), b
 
 
-@query("pending_fill", "symbol ts status:s fill_ts fill_price:r", """WITH p AS (SELECT o.symbol, o.ts, b.n, b.ts AS b_ts,
-      coalesce((b.high >= cancel_above AND b.low > limit_price) OR (b.low <= cancel_below AND b.high < limit_price), false) AS gone,
+def _pending(session_end: str) -> str:
+    return f"""WITH p AS (SELECT o.symbol, o.ts, b.n, b.ts AS b_ts,
+      {session_end} OR coalesce((b.high >= cancel_above AND b.low > limit_price) OR (b.low <= cancel_below AND b.high < limit_price), false) AS gone,
       CASE order_type WHEN 'LIMIT' THEN CASE WHEN (direction = 1 AND b.low <= limit_price) OR (direction = -1 AND b.high >= limit_price) THEN limit_price END
         WHEN 'STOP' THEN CASE WHEN direction = 1 AND b.high >= stop_price THEN round_even(greatest(b.open, stop_price) / 0.25, 0) * 0.25 WHEN direction = -1 AND b.low <= stop_price THEN round_even(least(b.open, stop_price) / 0.25, 0) * 0.25 END
         ELSE CASE WHEN (direction = 1 AND b.high >= stop_price AND b.low <= limit_price) OR (direction = -1 AND b.low <= stop_price AND b.high >= limit_price) THEN limit_price END END AS fp
       FROM rest2 o LEFT JOIN nbars b ON b.symbol = o.symbol AND b.n BETWEEN o.placed + 1 AND o.placed + 9),
-    f AS (SELECT symbol, ts, arg_min({'g': gone, 't': b_ts, 'p': fp}, n) FILTER (gone OR fp IS NOT NULL) AS x FROM p GROUP BY 1, 2)
-    SELECT symbol, ts, CASE WHEN x IS NULL THEN 'EXPIRED' WHEN x.g THEN 'CANCELLED' ELSE 'FILLED' END AS status, CASE WHEN NOT x.g THEN x.t END AS fill_ts, CASE WHEN NOT x.g THEN x.p END AS fill_price FROM f""")
+    f AS (SELECT symbol, ts, arg_min({{'g': gone, 't': b_ts, 'p': fp}}, n) FILTER (gone OR fp IS NOT NULL) AS x FROM p GROUP BY 1, 2)
+    SELECT symbol, ts, CASE WHEN x IS NULL THEN 'EXPIRED' WHEN x.g THEN 'CANCELLED' ELSE 'FILLED' END AS status, CASE WHEN NOT x.g THEN x.t END AS fill_ts, CASE WHEN NOT x.g THEN x.p END AS fill_price FROM f"""
+
+
+@query("pending_fill", "symbol ts status:s fill_ts fill_price:r", _pending("false"))
 def _(spark, sf):
     orders, b = resting_orders(spark, sf)
     return X.pending_fill(orders, b)
 
 
+@query("pending_fill_session_end", "symbol ts status:s fill_ts fill_price:r", _pending("coalesce(hour(b.ts) * 60 + minute(b.ts) >= 660, false)"))
+def _(spark, sf):
+    orders, b = resting_orders(spark, sf)
+    return X.pending_fill(orders, b, session_end=660)
+
+
 cte("upd", """SELECT trade_id, direction, entry_price AS price, sl_price, tp_price, round_even((entry_price - direction * (trade_id % 9 - 2)) / 0.25, 0) * 0.25 AS nsl,
     CASE WHEN trade_id % 4 <> 0 THEN round_even((entry_price + direction * (trade_id % 12 - 3)) / 0.25, 0) * 0.25 END AS ntp FROM trades""")
 
