@@ -30,18 +30,25 @@ SAMPLE_PER_SHARD = 32
 FINGERPRINTS = "row long, id long, fp long"
 
 
-def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
-    """SimHash of the shingles of lower-cased (A-Z) words; 0 without words."""
+def shingle_hashes(text: str, shingle: int, seed: int = 42) -> np.ndarray:
+    """A hash for each run of ``shingle`` lower-cased (A-Z) words, in their order; a shorter text is one run."""
     words = text.encode("utf-8").lower().split()  # of bytes: ASCII letters and ASCII white space only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1:].tolist())
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, len(words) - k + 1)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, len(words) - k + 1)
+
+
+def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
+    """SimHash of the shingles of lower-cased (A-Z) words; 0 without words."""
+    hashes = shingle_hashes(text, shingle, seed)
+    if not len(hashes):
+        return 0
     counts = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = hashes[at:at + (1 << 14)].view(np.uint8).reshape(-1, 8)
