@@ -13,6 +13,7 @@ from barloom.plans.bindings import bars, daily, r_trades, table, trades
 from barloom.plans.registry import cte, query
 
 SIMS = 20
+PATHS = 2000  # of queries without SQL: as many as the reference draws
 
 
 def hx(text: str) -> str:
@@ -160,7 +161,7 @@ def _(spark, sf):
     d = daily(spark, sf)
     from pyspark.sql import Window
     pos = d.select("symbol", (F.row_number().over(Window.partitionBy("symbol").orderBy("date")) - 1).alias("pos"), F.ln(F.col("close") / F.col("open")).alias("x"))
-    return RS.block_bootstrap(d, ["symbol"], "date", 5, 10.0).join(pos, ["symbol", "pos"]).groupBy("symbol", "sim").agg(F.sum("x").alias("total"))
+    return RS.block_bootstrap(d, ["symbol"], "date", PATHS, 10.0).join(pos, ["symbol", "pos"]).groupBy("symbol", "sim").agg(F.sum("x").alias("total"))
 
 
 @query("regime_labels", "symbol date:d label:i")
