@@ -167,12 +167,12 @@ def _(spark, sf):
 @query("regime_labels", "symbol date:d label:i")
 def _(spark, sf):
     d = daily(spark, sf).withColumn("lr", F.ln(F.col("close") / F.col("open")))
-    return G.regime_labels(d, ["symbol"], "lr", refits=6, iterations=20)
+    return G.regime_labels(d, ["symbol"], "lr")
 
 
 @query("vol_regime", "symbol date:d label:i p_high:r")
 def _(spark, sf):
-    return G.vol_regime(daily(spark, sf), ["symbol"], refits=4, iterations=15, train_ratio=0.4)
+    return G.vol_regime(daily(spark, sf), ["symbol"], train_ratio=0.4)
 
 
 @query("trade_pool_by_regime", "config_idx:i pool:i n:i total:r", """WITH x AS (SELECT config_idx, label, count(*) AS n, sum(r) AS total FROM labelled WHERE NOT (config_idx % 3 = 0 AND label = 0) GROUP BY 1, 2)
