@@ -5,15 +5,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barloom.llm.centroids import cluster_report
 from barloom.llm.exact_dedup import exact_dedup
 from barloom.llm.html_text import page_text
 from barloom.llm.line_dedup import line_dedup
 from barloom.llm.mixing import mix_report
 from barloom.llm.packing import packed
 from barloom.llm.quality import quality_report
+from barloom.llm.runs import run_report
 from barloom.llm.secrets import secret_report
 from barloom.llm.simhash import near_report
 from barloom.llm.token_counts import section_tokens
+from barloom.llm.top_vectors import top_vectors
 from barloom.llm.url_filter import url_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +123,18 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
+
+
+@query("op11_centroid_clusters")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_top_vectors")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_vectors(table(spark, sf_dir, "embeddings"), every=50)
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(table(spark, sf_dir, "documents"))
