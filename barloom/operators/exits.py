@@ -1,20 +1,21 @@
 """Order fills and exits resolved on tables of entries and bars."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import round_to_tick
 from barloom.operators.bars import SYM
-from barloom.operators.joins import interval_join, ordinal_join
+from barloom.operators.joins import asof_join, interval_join, ordinal_join
 from barloom.operators.scan import ROWS_BEFORE, ROWS_TO_HERE
+from barloom.operators.tiers import tiers
 
 
-def exit_on_bar(sl: Column, tp: Column) -> tuple[Column, Column]:
+def exit_on_bar(sl: Column, tp: Column, bar: Callable[[str], Column] = lambda c: F.col(f"b_{c}")) -> tuple[Column, Column]:
     """(reason, price) of the exit a bar triggers: gapped stop, gapped target, stop, target."""
-    o, h, l = F.col("b_open"), F.col("b_high"), F.col("b_low")
+    o, h, l = bar("open"), bar("high"), bar("low")
     long = F.col("direction") == 1
     adverse_open = F.when(long, o <= sl).otherwise(o >= sl)
     good_open = F.when(long, o >= tp).otherwise(o <= tp)
@@ -32,21 +33,24 @@ def _bar_columns(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
     return bars.select(*keys, F.col("ts").alias("b_ts"), *[F.col(c).alias(f"b_{c}") for c in ("open", "high", "low", "close")])
 
 
-def first_touch_exit(entries: DataFrame, bars: DataFrame, keys: Sequence[str] = SYM, ident: str = "entry_id", salts: int = 4) -> DataFrame:
+def first_touch_exit(entries: DataFrame, bars: DataFrame, keys: Sequence[str] = SYM) -> DataFrame:
     """Exit of each entry (ts, direction, sl_price, tp_price, end_ts): first bar after it that ends the trade.
 
-    Only triggering bars and the closing bar survive the join filter; the aggregation keeps the earliest
-    and combines before its shuffle. An entry whose window holds no bar keeps NULLs.
+    The bar is found through tiers of extremes, so a long trade reads no more rows than a short one; the bar that closes
+    what nothing has ended is an as-of lookup. An entry whose window holds no bar keeps NULLs.
     """
-    reason, price = exit_on_bar(F.col("sl_price"), F.col("tp_price"))
-    pairs = interval_join(entries, _bar_columns(bars, keys), keys, "ts", "end_ts", "b_ts", residual=F.col("b_ts") > F.col("ts"), salts=salts)
-    hit = pairs.withColumns({"__r": reason, "__p": price})
-    best = hit.groupBy(ident).agg(
-        F.min_by(F.struct(F.col("__r").alias("reason"), F.col("__p").alias("price"), F.col("b_ts").alias("ts")), F.when(F.col("__r").isNotNull(), F.col("b_ts"))).alias("__x"),
-        F.max_by(F.struct(F.lit("EOD").alias("reason"), F.col("b_close").alias("price"), F.col("b_ts").alias("ts")), "b_ts").alias("__e"))
-    x = F.coalesce(F.when(F.col("__x.reason").isNotNull(), F.col("__x")), F.col("__e"))
-    best = best.select(ident, x.alias("__x"))
-    return entries.join(best, ident, "left").select(*entries.columns, F.col("__x.ts").alias("exit_ts"), F.col("__x.price").alias("exit_price"), F.col("__x.reason").alias("exit_reason"))
+    long, sl, tp = F.col("direction") == 1, F.col("sl_price"), F.col("tp_price")
+    # An open outside the bar's range counts as well.
+    wide = bars.withColumns({"__hi": F.greatest("high", "open"), "__lo": F.least("low", "open")})
+    index = tiers(wide, keys, "__hi", "__lo", ["open", "high", "low", "close"])
+    hit = index.first(entries, "ts", F.when(long, tp).otherwise(sl), F.when(long, sl).otherwise(tp), strict=False, out="__hit")
+    last = bars.select(*keys, F.col("ts").alias("__bar"), F.col("ts").alias("__last"), F.col("close").alias("__close"))
+    d = asof_join(hit, last, keys, "end_ts", "__bar", ["__last", "__close"])
+    reason, price = exit_on_bar(sl, tp, lambda c: F.col(f"hit.{c}"))
+    touched, closed = F.col("__hit") <= F.col("end_ts"), (F.col("__last") > F.col("ts")) & F.col("end_ts").isNotNull()
+    return d.select(
+        *entries.columns, F.when(touched, F.col("__hit")).when(closed, F.col("__last")).alias("exit_ts"),
+        F.when(touched, price).when(closed, F.col("__close")).alias("exit_price"), F.when(touched, reason).when(closed, "EOD").alias("exit_reason"))
 
 
 def same_bar_exit() -> tuple[Column, Column]:

@@ -81,6 +81,21 @@ def interval_join(
     return s.join(p, on).where(hit).drop("__bk", "__salt")
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], rows: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` (one row a key), where keys that hold a partition's share of the left rows are split.
+
+    ``rows``: of the left side. Fewer keys than there are partitions can hold such a share: that many rows are broadcast. The
+    left rows of such a key are dealt to as many salts as it has shares, and its right row is copied for each.
+    """
+    share = max(1, rows // int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    crowded = left.groupBy(*on).count().where(F.col("count") > share)
+    crowded = F.broadcast(crowded.select(*on, F.ceil(F.col("count") / share).cast("int").alias("__salts")))
+    columns = left.columns
+    l = left.join(crowded, list(on), "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*columns), F.col("__salts")).cast("int"), F.lit(0)))
+    r = right.join(crowded, list(on), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts") - 1, F.lit(0)))))
+    return l.drop("__salts").join(r.drop("__salts"), [*on, "__salt"], how).drop("__salt")
+
+
 def ordinal_join(spans: DataFrame, points: DataFrame, keys: Sequence[str], lo: str, hi: str, at: str, size: int = 256) -> DataFrame:
     """``interval_join`` over row positions: pairs lo <= at <= hi through blocks of ``size`` positions."""
     s = spans.withColumn("__bk", F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))))

@@ -10,6 +10,7 @@ from barloom.functions.scalar import STDV_MULTIPLES, round_down, round_up
 from barloom.operators.bars import SYM
 from barloom.operators.joins import interval_join
 from barloom.operators.scan import framed, prefix
+from barloom.operators.tiers import Tiers, tiers
 from barloom.session import cut
 
 
@@ -63,39 +64,13 @@ def order_block_zones(bars: DataFrame, keys: Sequence[str] = SYM) -> DataFrame:
     return d.select(*keys, F.lit("OB").alias("kind"), "ts", "__z.*")
 
 
-def first_crossing(levels: DataFrame, bars: DataFrame, keys: Sequence[str], ident: Sequence[str], after: str, level: str, side: str, value: str, strict: bool = True, from_here: bool = False, out: str = "cross_ts") -> DataFrame:
-    """First bar after ``after`` whose ``value`` lies beyond ``level`` (side column: 1 above, -1 below).
+def first_crossing(levels: DataFrame, index: Tiers, after: str, level: str, side: str, strict: bool = True, from_here: bool = False, out: str = "cross_ts") -> DataFrame:
+    """``levels`` with the first bar after ``after`` whose indexed value lies beyond ``level`` (side column: 1 above, -1 below).
 
-    Searched through extremes per day and per month: the rest of the own day, the rest of the own month,
-    then whole months, and only the one day found is read bar by bar. A level costs days + months, not bars.
     ``from_here`` also admits the bar at ``after`` itself.
     """
-    keys, ident, levels = list(keys), list(ident), cut(levels)
-    b = bars.select(*keys, F.col("ts").alias("__ts"), F.to_date("ts").alias("__d"), F.col(value).cast("double").alias("__v"))
-    month = lambda d: F.trunc(d, "month")
-    days = cut(b.groupBy(*keys, "__d").agg(F.max("__v").alias("__hi"), F.min("__v").alias("__lo")))
-    months = days.groupBy(*keys, month("__d").alias("__m")).agg(F.max("__hi").alias("__hi"), F.min("__lo").alias("__lo"))
-    l = levels.select(*keys, *[c for c in ident if c not in keys], F.col(after).alias("__a"), F.col(level).cast("double").alias("__l"), F.col(side).alias("__s"), F.to_date(after).alias("__ad"))
-
-    def beyond(hi: Column, lo: Column) -> Column:
-        up = hi > F.col("__l") if strict else hi >= F.col("__l")
-        down = lo < F.col("__l") if strict else lo <= F.col("__l")
-        return F.when(F.col("__s") == 1, up).otherwise(down)
-
-    later = F.col("__ts") >= F.col("__a") if from_here else F.col("__ts") > F.col("__a")
-    same_day = l.withColumn("__d", F.col("__ad")).join(b, [*keys, "__d"]).where(later & beyond(F.col("__v"), F.col("__v")))
-    same_day = same_day.groupBy(*ident).agg(F.min("__ts").alias("__t0"))
-    same_day = cut(same_day)
-    rest = cut(l.join(same_day, ident, "left_anti"))
-    own = rest.withColumn("__m", month("__ad")).join(days.withColumn("__m", month("__d")), [*keys, "__m"]).where((F.col("__d") > F.col("__ad")) & beyond(F.col("__hi"), F.col("__lo")))
-    own = cut(own.groupBy(*ident).agg(F.min("__d").alias("__fd")))
-    far = rest.join(own, ident, "left_anti")
-    first_month = far.join(months, keys).where((F.col("__m") > month("__ad")) & beyond(F.col("__hi"), F.col("__lo"))).groupBy(*ident).agg(F.min("__m").alias("__m"))
-    far = far.join(first_month, ident).join(days.withColumn("__m", month("__d")), [*keys, "__m"]).where(beyond(F.col("__hi"), F.col("__lo"))).groupBy(*ident).agg(F.min("__d").alias("__fd"))
-    found = rest.join(own.unionByName(far), ident).withColumn("__d", F.col("__fd"))
-    found = found.join(b, [*keys, "__d"]).where(beyond(F.col("__v"), F.col("__v"))).groupBy(*ident).agg(F.min("__ts").alias("__t0"))
-    hits = same_day.unionByName(found).withColumnRenamed("__t0", out)
-    return levels.join(hits, ident, "left")
+    up = F.col(side) == 1
+    return index.first(levels, after, F.when(up, F.col(level)), F.when(~up, F.col(level)), strict, from_here, out).drop("hit")
 
 
 def zone_lifecycle(zones: DataFrame, bars: DataFrame, keys: Sequence[str] = SYM) -> DataFrame:
@@ -104,15 +79,15 @@ def zone_lifecycle(zones: DataFrame, bars: DataFrame, keys: Sequence[str] = SYM)
     An order block is closed through at its far edge and returns as a breaker, which ends at its near edge.
     A gap is closed through at its near edge and returns inverted, which ends at its far edge.
     """
-    ident = [*keys, "kind", "ts", "direction"]
+    closes = tiers(bars, keys, "close", "close")
     first_edge = F.when(F.col("kind") == "OB", F.col("far")).otherwise(F.col("near"))
     z = zones.withColumns({"__edge": first_edge, "__side": -F.col("direction")})
-    z = first_crossing(z, bars, keys, ident, "ts", "__edge", "__side", "close", out="ended_ts").drop("__edge", "__side")
+    z = cut(first_crossing(z, closes, "ts", "__edge", "__side", out="ended_ts").drop("__edge", "__side"))
     flipped = z.where(F.col("ended_ts").isNotNull()).select(
         *keys, F.when(F.col("kind") == "OB", "BB").otherwise("IFVG").alias("kind"), F.col("ended_ts").alias("ts"), (-F.col("direction")).alias("direction"), "near", "far", F.col("ts").alias("origin_ts"))
     second_edge = F.when(F.col("kind") == "BB", F.col("near")).otherwise(F.col("far"))
     f = flipped.withColumns({"__edge": second_edge, "__side": -F.col("direction")})
-    f = first_crossing(f, bars, keys, [*ident, "origin_ts"], "ts", "__edge", "__side", "close", out="ended_ts").drop("__edge", "__side")
+    f = first_crossing(f, closes, "ts", "__edge", "__side", out="ended_ts").drop("__edge", "__side")
     return z.withColumn("origin_ts", F.col("ts")).unionByName(f)
 
 
@@ -135,19 +110,17 @@ def rejection_zones(gaps: DataFrame, bars: DataFrame, min_wick: float, keys: Seq
     body = F.abs(F.col("close") - F.col("open"))
     d = d.withColumns({"wick_tip": tip, "wick_base": base}).where(F.col("wick_tip").between(lo, hi) & (body > 1e-9) & (F.abs(base - tip) > min_wick * body))
     rb = d.select(*keys, F.lit("RB").alias("kind"), F.col("b_ts").alias("ts"), "gap_ts", "direction", F.col("wick_tip").alias("near"), F.col("wick_base").alias("far"), "wick_tip", "wick_base", ((F.col("wick_tip") + F.col("wick_base")) / 2).alias("mid"))
-    ident = [*keys, "ts", "gap_ts", "direction"]
-    down = first_crossing(rb.where("direction = 1").withColumn("__side", F.lit(-1)), bars, keys, ident, "ts", "mid", "__side", "low", strict=False, out="ended_ts")
-    up = first_crossing(rb.where("direction = -1").withColumn("__side", F.lit(1)), bars, keys, ident, "ts", "mid", "__side", "high", strict=False, out="ended_ts")
-    return down.unionByName(up).drop("__side")
+    up = F.col("direction") == -1
+    found = tiers(bars, keys).first(rb, "ts", F.when(up, F.col("mid")), F.when(~up, F.col("mid")), strict=False, out="ended_ts")
+    return found.drop("hit")
 
 
 def break_of_structure(bars: DataFrame, n: int, keys: Sequence[str] = SYM) -> DataFrame:
     """Swings closed through before a higher (lower) swing replaced them: (kind, price, ts, bos_ts)."""
     s = swings(bars, n, keys).where(F.col("confirmed_ts").isNotNull()).withColumn("__side", F.when(F.col("kind") == "H", 1).otherwise(-1))
-    ident = [*keys, "kind", "ts"]
-    d = first_crossing(s, bars, keys, ident, "confirmed_ts", "price", "__side", "close", from_here=True, out="bos_ts")
+    d = first_crossing(s, tiers(bars, keys, "close", "close"), "confirmed_ts", "price", "__side", from_here=True, out="bos_ts")
     marks = s.select(*keys, "kind", F.col("confirmed_ts").alias("ts"), "price")
-    d = first_crossing(d, marks, [*keys, "kind"], ident, "confirmed_ts", "price", "__side", "price", out="replaced_ts")
+    d = first_crossing(d, tiers(marks, [*keys, "kind"], "price", "price"), "confirmed_ts", "price", "__side", out="replaced_ts")
     alive = F.col("bos_ts").isNotNull() & (F.col("replaced_ts").isNull() | (F.col("bos_ts") < F.col("replaced_ts")))
     return d.where(alive).drop("__side", "replaced_ts", "pos")
 
