@@ -17,6 +17,8 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from barloom.session import cut
+
 ROWS_TO_HERE = (Window.unboundedPreceding, 0)
 ROWS_BEFORE = (Window.unboundedPreceding, -1)
 
@@ -142,46 +144,51 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], new_run: C
     return prefix(df, keys, order, {out: ("sum", F.when(new_run, 1).otherwise(0))}, block)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], out: str = "q", buckets: int = 4096) -> DataFrame:
-    """Exact linear-interpolated quantiles of groups too large for one ``percentile`` buffer.
+def dealt_by_value(df: DataFrame, keys: Sequence[str], value: str, parts: int | None = None) -> DataFrame:
+    """Distinct (keys, ``__v``) with their number ``__c``, sorted into ranges over all keys at once; ``__part``: the range.
 
-    One pass builds an equi-width histogram per key, a second orders only the rows of the buckets that
-    hold a wanted rank, counted per distinct value so that repeated values collapse before the shuffle.
-    Returns (keys, p, ``out``).
+    The splitters are sampled from the values themselves, so a range holds its share whatever the distribution, and a
+    group as large as the table is spread over all ranges. Equal values are one row, so none is too frequent for a range.
     """
-    keys = list(keys)
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = df.select(*keys, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    d = d.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    return cut(d.repartitionByRange(parts, *keys, "__v").withColumn("__part", F.spark_partition_id()))
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], out: str = "q", parts: int | None = None) -> DataFrame:
+    """Exact linear-interpolated quantiles of groups of any size.
+
+    Values are dealt to sampled ranges; the sums of the ranges say which of them hold a wanted rank, and only these are
+    ordered, each on its own. Returns (keys, p, ``out``); a group without values gives no row.
+    """
+    keys = list(keys)
     if not keys:
-        d = d.withColumn("__k", F.lit(0))
-        keys = ["__k"]
-    span = d.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count(F.lit(1)).alias("__n"))
-    width = F.col("__hi") - F.col("__lo")
-    slot = F.when(width > 0, F.least(F.lit(buckets - 1), F.floor((F.col("__v") - F.col("__lo")) / width * buckets).cast("int"))).otherwise(F.lit(0))
-    d = d.join(span, keys).withColumn("__b", slot).groupBy(*keys, "__b", "__v", "__n").agg(F.count(F.lit(1)).alias("__c"))
-    hist = d.groupBy(*keys, "__b").agg(F.sum("__c").alias("__bc"), F.max("__n").alias("__n"))
-    hist = hist.withColumn("__upto", F.sum("__bc").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(*ROWS_TO_HERE)))
-    ranks = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), s) for p in probs for s in (
-        F.floor(F.lit(float(p)) * (F.col("__n") - 1)).cast("long").alias("rank"),
-        F.ceil(F.lit(float(p)) * (F.col("__n") - 1)).cast("long").alias("rank"),
-    )]))
-    wanted = (
-        hist.withColumn("__r", ranks)
-        .select(*keys, "__b", F.col("__r.p").alias("p"), F.col("__r.rank").alias("__rank"), "__n",
-                (F.col("__upto") - F.col("__bc")).alias("__before"), "__upto")
-        .where((F.col("__rank") >= F.col("__before")) & (F.col("__rank") < F.col("__upto")))
-        .distinct()
-    )
-    inside = d.join(wanted.select(*keys, "__b").distinct(), [*keys, "__b"], "left_semi")
-    inside = inside.withColumn("__cum", F.sum("__c").over(Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(*ROWS_TO_HERE))).drop("__n")
-    at = (
-        inside.join(wanted, [*keys, "__b"])
-        .where((F.col("__rank") - F.col("__before") >= F.col("__cum") - F.col("__c")) & (F.col("__rank") - F.col("__before") < F.col("__cum")))
-    )
+        df, keys = df.select(F.lit(0).alias("__k"), value), ["__k"]
+    dealt = dealt_by_value(df, keys, value, parts)
+    sums = dealt.groupBy(*keys, "__part").agg(F.sum("__c").alias("__pc"))
+    over = Window.partitionBy(*keys)
+    sums = sums.withColumns({"__n": F.sum("__pc").over(over), "__before": F.sum("__pc").over(over.orderBy("__part").rowsBetween(*ROWS_TO_HERE)) - F.col("__pc")})
+    place = lambda p: F.lit(float(p)) * (F.col("__n") - 1)
+    ranks = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), f(place(p)).cast("long").alias("rank")) for p in probs for f in (F.floor, F.ceil)]))
+    wanted = sums.withColumn("__r", ranks).select(*keys, "__part", F.col("__r.p").alias("p"), F.col("__r.rank").alias("__rank"), "__n", "__before", "__pc")
+    wanted = wanted.where((F.col("__rank") >= F.col("__before")) & (F.col("__rank") < F.col("__before") + F.col("__pc"))).distinct()
+    inside = dealt.join(wanted.select(*keys, "__part").distinct(), [*keys, "__part"], "left_semi")
+    inside = inside.withColumn("__cum", F.sum("__c").over(Window.partitionBy(*keys, "__part").orderBy("__v").rowsBetween(*ROWS_TO_HERE)))
+    local = F.col("__rank") - F.col("__before")
+    at = inside.join(wanted, [*keys, "__part"]).where((local >= F.col("__cum") - F.col("__c")) & (local < F.col("__cum")))
     pos = F.col("p") * (F.col("__n") - 1)
     res = at.groupBy(*keys, "p").agg(F.min_by("__v", "__rank").alias("__a"), F.max_by("__v", "__rank").alias("__z"), F.max("__n").alias("__n"))
     return res.select(*[k for k in keys if k != "__k"], "p", (F.col("__a") + (F.col("__z") - F.col("__a")) * (pos - F.floor(pos))).alias(out))
 
 
+def medians(df: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """(keys, a column a name): exact medians of several expressions over groups of any size, NULL without values."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("value")) for n, c in values.items()])).alias("__m")
+    q = exact_quantiles(df.select(*keys, each).select(*keys, F.col("__m.name").alias("__name"), F.col("__m.value").alias("__value")), [*keys, "__name"], "__value", [0.5])
+    return q.groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == n, F.col("q"))).alias(n) for n in values])
+
+
 def ordered_walk(df: DataFrame, group: Sequence[str], order: Sequence[str], fresh: Callable[[], dict], step: Callable, out: str) -> DataFrame:
     """Sequential state machine per group over sorted partitions, in constant memory.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from barloom.functions.rmetrics import INF
 from barloom.functions.scalar import div, hash_long, unit_hash
 from barloom.operators.ledger import FEES
-from barloom.operators.scan import exact_quantiles, with_ordinal
+from barloom.operators.scan import exact_quantiles, medians, with_ordinal
 
 SORTED_DAYS = 5
 
@@ -115,12 +115,11 @@ def eval_cost(pass_rate: Column) -> Column:
 def outcome_summary(paths: DataFrame, by: Sequence[str] = CELL, max_payouts: int = 5) -> DataFrame:
     """Pass rate, costs, survival, withdrawals, days and expected value per grid cell."""
     passed, w = F.col("passed"), F.col("withdrawn")
-    med = lambda c: F.coalesce(F.percentile(c, F.lit(0.5)), F.lit(0.0))
     g = paths.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_paths"), F.avg(passed.cast("double")).alias("pass_rate"), med(F.when(passed, F.col("eval_days"))).alias("days_pass"),
-        F.percentile(F.when(~passed, F.col("eval_days")), F.lit(0.5)).alias("__df"), F.avg((w > 0).cast("double")).alias("survival"), med(F.when(w > 0, w)).alias("median_withdrawal"),
-        F.avg(w).alias("mean_withdrawal"), F.percentile("n_payouts", F.lit(0.5)).alias("median_payouts"), F.avg((F.col("n_payouts") >= max_payouts).cast("double")).alias("full_payout"),
-        F.avg("funded_days").alias("mean_funded_days"))
+        F.count(F.lit(1)).alias("n_paths"), F.avg(passed.cast("double")).alias("pass_rate"), F.avg((w > 0).cast("double")).alias("survival"), F.avg(w).alias("mean_withdrawal"),
+        F.avg((F.col("n_payouts") >= max_payouts).cast("double")).alias("full_payout"), F.avg("funded_days").alias("mean_funded_days"))
+    m = medians(paths, by, {"days_pass": F.when(passed, F.col("eval_days")), "__df": F.when(~passed, F.col("eval_days")), "median_withdrawal": F.when(w > 0, w), "median_payouts": F.col("n_payouts")})
+    g = g.join(m, list(by), "left").fillna(0.0, ["days_pass", "median_withdrawal"])
     g = g.withColumn("eval_cost", eval_cost(F.col("pass_rate")))
     tries = F.when(F.col("pass_rate") > 0, 1.0 / F.nullif("pass_rate", F.lit(0.0))).otherwise(10.0)
     g = g.withColumn("eval_total_days", F.greatest(F.lit(0.0), tries - 1) * F.coalesce("__df", "days_pass") + F.col("days_pass"))
@@ -148,7 +147,9 @@ def payout_gaps(paths: DataFrame, by: Sequence[str] = CELL) -> DataFrame:
     """Median day of each payout and median wait since the one before."""
     d = paths.select(*by, "payout_days", F.posexplode("payout_days").alias("pos", "day"))
     gap = F.when(F.col("pos") == 0, F.col("day")).otherwise(F.col("day") - F.try_element_at("payout_days", F.col("pos")))
-    return d.groupBy(*by, (F.col("pos") + 1).alias("payout")).agg(F.percentile("day", F.lit(0.5)).alias("median_day"), F.percentile(gap, F.lit(0.5)).alias("median_gap"), F.count(F.lit(1)).alias("n"))
+    d = d.select(*by, (F.col("pos") + 1).alias("payout"), "day", gap.alias("gap"))
+    keys = [*by, "payout"]
+    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(medians(d, keys, {"median_day": F.col("day"), "median_gap": F.col("gap")}), keys, "left")
 
 
 def best_cell(summary: DataFrame, by: Sequence[str] = ("account",)) -> DataFrame:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators.scan import affine, decay_chunk, decay_halo, exact_quantiles, framed, ordered_walk, prefix, with_ordinal
+from barloom.operators.scan import affine, dealt_by_value, decay_chunk, decay_halo, exact_quantiles, framed, medians, ordered_walk, prefix, with_ordinal
 from tests.fixtures import walk
 
 
@@ -45,7 +45,7 @@ def test_exact_quantiles(spark):
     rng = np.random.default_rng(1)
     v = np.concatenate([np.round(rng.exponential(50, 5000), 1), np.full(2500, 7.0)])
     df = spark.createDataFrame([(i % 2, float(x)) for i, x in enumerate(v)], "g int, v double")
-    got = {(r.g, r.p): r.q for r in exact_quantiles(df, ["g"], "v", [0.0, 0.05, 0.5, 0.95, 1.0], buckets=64).collect()}
+    got = {(r.g, r.p): r.q for r in exact_quantiles(df, ["g"], "v", [0.0, 0.05, 0.5, 0.95, 1.0], parts=5).collect()}
     for g in (0, 1):
         for p in (0.0, 0.05, 0.5, 0.95, 1.0):
             assert got[(g, p)] == pytest.approx(np.percentile(v[g::2], p * 100))
@@ -66,3 +66,24 @@ def test_result_does_not_depend_on_partitioning(spark):
     _, df = walk(spark, 200)
     fn = lambda d: prefix(d, ["symbol"], ["ts"], {"s": ("sum", F.col("volume"))}, F.date_trunc("hour", "ts")).orderBy("ts").toPandas()["s"].tolist()
     assert fn(df.repartition(7)) == fn(df.coalesce(1))
+
+
+def test_quantiles_of_a_heavy_tail(spark):
+    """A group with nearly all rows and values over 600 orders of magnitude: ranges stay near their share, results exact."""
+    rng = np.random.default_rng(11)
+    values = np.concatenate([10.0 ** rng.uniform(-300, 300, 18_000), -(10.0 ** rng.uniform(-5, 250, 2_000)), np.full(9_000, 1.0)])
+    rows = [("hot", float(v)) for v in values] + [("few", 1.0), ("few", 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    dealt = dealt_by_value(df, ["g"], "v", parts=12)
+    sizes = [r["count"] for r in dealt.groupBy("__part").count().collect()]
+    assert len(sizes) >= 11 and max(sizes) < 2 * sum(sizes) / 12 and dealt.agg(F.sum("__c")).first()[0] == len(rows) - 1
+    probs = [0.0, 0.001, 0.5, 0.7, 0.999, 1.0]
+    got = {(r.g, r.p): r.q for r in exact_quantiles(df, ["g"], "v", probs, parts=12).collect()}
+    x = np.sort(values)
+    for p in probs:
+        k = p * (len(x) - 1)
+        a, z = x[int(np.floor(k))], x[int(np.ceil(k))]
+        assert got["hot", p] == a + (z - a) * (k - np.floor(k))
+    assert got["few", 0.5] == 2.0 and not any(g == "none" for g, _ in got)
+    m = {r.g: r.m for r in medians(df, ["g"], {"m": F.col("v")}).collect()}
+    assert m["few"] == 2.0 and "none" not in m
