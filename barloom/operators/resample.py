@@ -1,61 +1,310 @@
-"""Resampling statistics with hashed draws: results do not depend on partitioning or engine."""
+"""Resampling statistics at thousands of simulations.
+
+Values are stored once as blocks of a few thousand. Statistics that are sums (means, win rates, Sharpe) never list a draw: the
+draws of a simulation are split binomially over halves of the blocks down to one block, which gets their number and
+draws within itself, so every block is read once. Paths need their draws in order: they are cut into segments of steps, and
+a task fills a segment for all simulations while the blocks stream past. Segment sums and maxima, carried forward, give each
+segment its starting equity and peak; a second pass over the same draws then knows every step's drawdown.
+
+Draws are hashed from (seed, key, simulation, step) or from nodes of the split, so results do not depend on partitioning.
+"""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.scalar import hash_long, unit_hash
-from barloom.operators.perf import equity_curve
+from barloom.functions.scalar import hash_long
 from barloom.operators.scan import day_of, with_ordinal
 from barloom.session import cut
 
-DRAWS_PER_BLOCK = 4096
+BLOCK = 4096  # values in a stored block
+TOGETHER = 1 << 20  # values that are looked up together while blocks stream
+BUFFER = 1 << 21  # draws that a task makes together
+MASK = np.uint64(0xFFFFFFFF)
+# Factors of the draws' 32-bit mixer, also stated in SQL.
+A, B, C = 2654435761, 2246822519, 3266489917
+
+
+# --- draws -------------------------------------------------------------------------------------------
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A 32-bit mixer over 64-bit lanes."""
+    h = h & MASK
+    h = ((h ^ (h >> np.uint64(15))) * np.uint64(B)) & MASK
+    h = ((h ^ (h >> np.uint64(13))) * np.uint64(C)) & MASK
+    return h ^ (h >> np.uint64(16))
+
+
+def hashed(code: int, sims: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """53 random bits for each (simulation, step); ``code``: 48 bits of seed and key."""
+    sims, steps = sims.astype(np.uint64)[:, None], steps.astype(np.uint64)[None, :]
+    hi = mixed(mixed(sims * np.uint64(A) + np.uint64(code & 0xFFFFFFFF)) + ((steps * np.uint64(A)) & MASK))
+    lo = mixed(mixed(sims * np.uint64(B) + np.uint64(code >> 16)) + ((steps * np.uint64(C)) & MASK))
+    return (hi << np.uint64(21)) | (lo >> np.uint64(11))
+
+
+def with_replacement(code: int, sims: np.ndarray, steps: np.ndarray, n: int) -> np.ndarray:
+    """Position, from 0, that each step of each simulation draws."""
+    return (hashed(code, sims, steps) % np.uint64(n)).astype(np.int64)
+
+
+def shuffled(code: int, sims: np.ndarray, steps: np.ndarray, n: int) -> np.ndarray:
+    """Position of each step in a random order of its simulation: a Feistel network whose walk stays inside 0..n-1."""
+    half = max(1, -(-max(n - 1, 1).bit_length() // 2))
+    low = np.uint64((1 << half) - 1)
+    keys = [hashed(code, sims, np.arange(r, r + 1))[:, :1] for r in range(4)]
+    x = np.broadcast_to(steps.astype(np.uint64)[None, :], (len(sims), len(steps))).copy()
+    todo = np.ones(x.shape, bool)
+    while todo.any():
+        left, right = x >> np.uint64(half), x & low
+        for k in keys:
+            left, right = right, left ^ (mixed(right * np.uint64(A) + k + (k >> np.uint64(21))) & low)
+        x = np.where(todo, (left << np.uint64(half)) | right, x)
+        todo &= x >= np.uint64(n)
+    return x.astype(np.int64)
+
+
+DRAWS: dict[str, Callable] = {"bootstrap": with_replacement, "shuffle": shuffled}
+
+
+# --- stored values -----------------------------------------------------------------------------------
+
+def value_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, seed: int = 42, block: Column | None = None) -> DataFrame:
+    """The non-null values of each key in order, as rows (keys, code, n, blk, xs) of ``BLOCK`` values, written once."""
+    keys = list(keys)
+    d = df.where(F.col(value).isNotNull()).select(*keys, *[c for c in order if c not in keys], F.col(value).cast("double").alias("__x"))
+    d = with_ordinal(d, keys, order, day_of(order[0]) if block is None else block, "__k")
+    item = F.struct(F.col("__k").alias("k"), F.col("__x").alias("x"))
+    b = d.groupBy(*keys, F.floor((F.col("__k") - 1) / BLOCK).alias("blk")).agg(F.array_sort(F.collect_list(item)).alias("b"))
+    b = cut(b.select(*keys, "blk", F.col("b.x").alias("xs")))
+    n = b.groupBy(*keys).agg(F.sum(F.size("xs")).alias("n"))
+    return b.join(n, keys).withColumn("code", hash_long(F.lit(seed), *[F.col(k) for k in keys]))
+
+
+def _dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt to as many tasks as there are shuffle partitions, however few bytes they hold: the work is in the draws."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[F.col(c) for c in by])
+
+
+def _kinds(df: DataFrame, names: Sequence[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in names)
+
+
+def _repeated(batch: pa.RecordBatch, row: int, keys: Sequence[str], times: int) -> list[pa.Array]:
+    return [batch.column(k).take(pa.array(np.full(times, row))) for k in keys]
+
 
+# --- sums: draws as numbers per block ----------------------------------------------------------------
 
-def _numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | None) -> DataFrame:
-    """Rows with position and group size, written once because both sides of the draw read them."""
-    df = cut(df)
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return cut(with_ordinal(df, keys, order, day_of(order[0]) if block is None else block, "__k").join(n, list(keys)))
+def draws_in_block(code: int, n: int, blk: int, n_sims: int) -> np.ndarray:
+    """How many of the ``n`` draws of each simulation fall on block ``blk`` of ``n`` values."""
+    count, lo, hi = np.full(n_sims, n, np.int64), 0, -(-n // BLOCK)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        size = min(hi * BLOCK, n) - lo * BLOCK
+        # The same node gives the same split in every task that passes it.
+        left = np.random.Generator(np.random.Philox(key=[code, lo << 32 | hi])).binomial(count, (mid - lo) * BLOCK / size)
+        count, lo, hi = (left, lo, mid) if blk < mid else (count - left, mid, hi)
+    return count
 
 
-def bootstrap_draws(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n_sims: int, seed: int = 42, block: Column | None = None) -> DataFrame:
-    """n draws with replacement per simulation as (keys, sim, draw, x): an equi join on the drawn position."""
-    d = _numbered(df.select(*keys, *[c for c in order if c not in keys], value), keys, order, block)
-    sims = F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1)))
-    draws = d.select(*keys, F.col("__k").alias("draw"), "__n", sims.alias("sim"))
-    draws = draws.withColumn("__k", hash_long(F.lit(seed), *[F.col(k) for k in keys], F.col("sim"), F.col("draw")) % F.col("__n") + 1)
-    return draws.join(d.select(*keys, "__k", F.col(value).alias("x")), [*keys, "__k"]).select(*keys, "sim", "draw", "x")
+def block_sums(xs: np.ndarray, count: np.ndarray, code: int, blk: int) -> np.ndarray:
+    """For each simulation of its draws in a block: sum, sum of squares, how many are positive, sum of these, and of the negative ones."""
+    rng = np.random.Generator(np.random.Philox(key=[code ^ 0x5DEECE66D, blk]))
+    out = np.zeros((5, len(count)))
+    per = max(1, BUFFER // max(1, int(count.max())))
+    for at in range(0, len(count), per):
+        part = count[at:at + per]
+        sim = np.repeat(np.arange(len(part)), part)
+        x = xs[rng.integers(0, len(xs), len(sim))]
+        for row, w in zip(out, (x, x * x, (x > 0).astype(float), np.maximum(x, 0.0), np.minimum(x, 0.0))):
+            row[at:at + per] = np.bincount(sim, w, len(part))
+    return out
 
 
-def shuffle_draws(df: DataFrame, keys: Sequence[str], value: str, ident: str, n_sims: int, seed: int = 42) -> DataFrame:
-    """Every trade once per simulation in hashed order, as (keys, sim, draw, x)."""
-    d = df.select(*keys, ident, F.col(value).alias("x")).withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))))
-    d = d.withColumn("__h", hash_long(F.lit(seed), F.col("sim"), F.col(ident)))
-    d = with_ordinal(cut(d), [*keys, "sim"], ["__h", ident], F.shiftright("__h", 42), "draw")
-    return d.select(*keys, "sim", "draw", "x")
+SUMS = ("s", "q", "pos", "up", "dn")
 
 
-def simulated_paths(draws: DataFrame, keys: Sequence[str], capital: float) -> DataFrame:
-    """Equity and drawdown of every simulation after every draw."""
-    return equity_curve(cut(draws), [*keys, "sim"], ["draw"], "x", capital, F.floor(F.col("draw") / DRAWS_PER_BLOCK))
+def _summed(batches: Iterator[pa.RecordBatch], keys: Sequence[str], n_sims: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            code, n, blk = (batch.column(c)[row].as_py() for c in ("code", "n", "blk"))
+            sums = block_sums(batch.column("xs")[row].values.to_numpy(), draws_in_block(code, n, blk, n_sims), code, blk)
+            yield pa.RecordBatch.from_arrays([*_repeated(batch, row, keys, n_sims), pa.array(np.arange(n_sims)), pa.array(np.full(n_sims, n)), *map(pa.array, sums)], names=[*keys, "sim", "n", *SUMS])
 
 
-def path_summary(paths: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return paths.groupBy(*keys, "sim").agg(
-        F.max_by("equity", "draw").alias("final_equity"), F.min("dd_pct").alias("max_dd_pct"), F.avg("x").alias("mean"), F.avg((F.col("x") > 0).cast("double")).alias("win_rate"),
-        F.sum(F.when(F.col("x") > 0, F.col("x")).otherwise(0.0)).alias("__u"), F.sum(F.when(F.col("x") < 0, -F.col("x")).otherwise(0.0)).alias("__d")).withColumn(
-        "profit_factor", F.when(F.col("__d") > 0, F.col("__u") / F.nullif("__d", F.lit(0.0)))).drop("__u", "__d")
+def bootstrap_sums(blocks: DataFrame, keys: Sequence[str], n_sims: int) -> DataFrame:
+    """(keys, sim, n, mean, sd, win_rate, profit_factor) of n draws with replacement a simulation, by numbers of draws per block."""
+    keys = list(keys)
+    d = _dealt(blocks, *keys, "blk").mapInArrow(lambda it: _summed(it, keys, n_sims), f"{_kinds(blocks, keys)}, sim long, n long, " + ", ".join(f"{c} double" for c in SUMS))
+    d = d.groupBy(*keys, "sim", "n").agg(*[F.sum(c).alias(c) for c in SUMS])
+    mean = F.col("s") / F.col("n")
+    return d.select(*keys, "sim", "n", mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("sd"),
+                    (F.col("pos") / F.col("n")).alias("win_rate"), F.when(F.col("dn") < 0, -F.col("up") / F.nullif("dn", F.lit(0.0))).alias("profit_factor"))
+
+
+# --- paths: segments of steps ------------------------------------------------------------------------
+
+@dataclass
+class _Segment:
+    """One segment of all simulations, filled while the key's blocks stream past."""
+
+    keys: list
+    n: int
+    seg: int
+    place: np.ndarray
+    x: np.ndarray
+    before: np.ndarray | None  # of each simulation the equity and peak that come in
+    base: int = 0
+    size: int = 0
+    held: list = field(default_factory=list)
+
+    def add(self, xs: np.ndarray) -> None:
+        self.held.append(xs)
+        self.size += len(xs)
+        if self.size >= TOGETHER:
+            self.look_up()
+
+    def look_up(self) -> None:
+        if not self.held:
+            return
+        xs = np.concatenate(self.held)
+        if self.size == self.n:
+            self.x = xs[self.place]
+        else:
+            here = (self.place >= self.base) & (self.place < self.base + self.size)
+            self.x[here] = xs[self.place[here] - self.base]
+        self.base, self.held, self.size = self.base + self.size, [], 0
+
+
+def _filled(batches: Iterator[pa.RecordBatch], keys: Sequence[str], how: str, n_sims: int, steps: int) -> Iterator[_Segment]:
+    """Rows come segment by segment, within it the carried state (blk -1) first and then block after block."""
+    now, seg, before = None, None, None
+    for batch in batches:
+        marks = batch.column("mark").to_pylist()
+        for row in range(batch.num_rows):
+            if marks[row] != now:
+                if seg is not None:
+                    seg.look_up()
+                    yield seg
+                now, seg, before = marks[row], None, None
+            xs = batch.column("xs")[row].values.to_numpy()
+            if batch.column("blk")[row].as_py() < 0:
+                before = xs.reshape(n_sims, 2)
+                continue
+            if seg is None:
+                code, n, k = (batch.column(c)[row].as_py() for c in ("code", "n", "seg"))
+                place = DRAWS[how](code, np.arange(n_sims), np.arange(k * steps, min(n, (k + 1) * steps)), n)
+                seg = _Segment(_repeated(batch, row, keys, 1), n, k, place, np.zeros(place.shape), before)
+            seg.add(xs)
+    if seg is not None:
+        seg.look_up()
+        yield seg
+
+
+def _of(seg: _Segment, times: int) -> list[pa.Array]:
+    return [k.take(pa.array(np.zeros(times, np.int64))) for k in seg.keys]
+
+
+SEGMENT = ("total", "top", "pos", "up", "dn")
+
+
+def _totals(batches, keys, how, n_sims, steps) -> Iterator[pa.RecordBatch]:
+    for seg in _filled(batches, keys, how, n_sims, steps):
+        x = seg.x
+        c = np.cumsum(x, axis=1)
+        sums = (c[:, -1], c.max(axis=1), (x > 0).sum(axis=1).astype(float), np.maximum(x, 0).sum(axis=1), np.minimum(x, 0).sum(axis=1))
+        yield pa.RecordBatch.from_arrays([*_of(seg, n_sims), pa.array(np.full(n_sims, seg.seg)), pa.array(np.full(n_sims, seg.n)), pa.array(np.arange(n_sims)), *map(pa.array, sums)], names=[*keys, "seg", "n", "sim", *SEGMENT])
+
+
+def _equity(seg: _Segment) -> tuple[np.ndarray, np.ndarray]:
+    start, peak = seg.before[:, :1], seg.before[:, 1:]
+    equity = start + np.cumsum(seg.x, axis=1)
+    return equity, np.maximum(np.maximum.accumulate(equity, axis=1), peak)
+
+
+def _drawdowns(batches, keys, how, n_sims, steps) -> Iterator[pa.RecordBatch]:
+    for seg in _filled(batches, keys, how, n_sims, steps):
+        equity, peak = _equity(seg)
+        worst = ((equity - peak) / np.where(peak == 0, 1.0, peak)).min(axis=1)
+        yield pa.RecordBatch.from_arrays([*_of(seg, n_sims), pa.array(np.arange(n_sims)), pa.array(worst)], names=[*keys, "sim", "dd"])
+
+
+def _fans(batches, keys, how, n_sims, steps, ranks) -> Iterator[pa.RecordBatch]:
+    for seg in _filled(batches, keys, how, n_sims, steps):
+        equity = np.partition(_equity(seg)[0], ranks, axis=0)
+        draws = np.arange(seg.seg * steps, seg.seg * steps + equity.shape[1]) + 1
+        yield pa.RecordBatch.from_arrays([*_of(seg, len(draws)), pa.array(draws), *[pa.array(equity[r]) for r in ranks]], names=[*keys, "draw", *[f"r{k}" for k in range(len(ranks))]])
+
+
+@dataclass(frozen=True)
+class Paths:
+    """Simulated equity paths over ``blocks`` (see ``value_blocks``): n steps each, from ``capital``."""
+
+    blocks: DataFrame
+    keys: tuple[str, ...]
+    n_sims: int
+    capital: float
+    how: str
+    steps: int
+    totals: DataFrame  # (keys, seg, n, sim, sums and maximum), written once
+
+    def _carried(self) -> DataFrame:
+        """Equity and peak of every simulation before each segment."""
+        w = Window.partitionBy(*self.keys, "sim").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+        start = F.coalesce(F.sum("total").over(w), F.lit(0.0)) + self.capital
+        d = self.totals.withColumn("start", start)
+        return d.withColumn("peak", F.greatest(F.lit(float(self.capital)), F.max(F.col("start") + F.col("top")).over(w)))
+
+    def _second(self, work: Callable, schema: str) -> DataFrame:
+        """``work`` over the segments once more, each with what is carried into it (one row a segment)."""
+        state = F.array_sort(F.collect_list(F.struct("sim", "start", "peak")))
+        carried = self._carried().groupBy(*self.keys, "seg").agg(state.alias("c"))
+        flat = F.flatten(F.transform("c", lambda c: F.array(c["start"], c["peak"])))
+        return _streamed(self.blocks, self.keys, self.steps, work, schema, carried.select(*self.keys, "seg", flat.alias("xs")))
+
+    def summary(self) -> DataFrame:
+        """(keys, sim, final_equity, max_dd_pct, mean, win_rate, profit_factor)."""
+        keys, how, n_sims, steps = list(self.keys), self.how, self.n_sims, self.steps
+        sums = self.totals.groupBy(*keys, "sim", "n").agg(*[F.sum(c).alias(c) for c in ("total", "pos", "up", "dn")])
+        dd = self._second(lambda it: _drawdowns(it, keys, how, n_sims, steps), f"{_kinds(self.blocks, keys)}, sim long, dd double")
+        d = sums.join(dd.groupBy(*keys, "sim").agg(F.min("dd").alias("max_dd_pct")), [*keys, "sim"])
+        return d.select(*keys, "sim", (F.col("total") + self.capital).alias("final_equity"), "max_dd_pct", (F.col("total") / F.col("n")).alias("mean"), (F.col("pos") / F.col("n")).alias("win_rate"),
+                        F.when(F.col("dn") < 0, -F.col("up") / F.nullif("dn", F.lit(0.0))).alias("profit_factor"))
+
+    def fan(self, percentiles: Sequence[int] = (5, 25, 50, 75, 95)) -> DataFrame:
+        """Nearest-rank equity percentiles across the simulations after every draw."""
+        keys, how, n_sims, steps = list(self.keys), self.how, self.n_sims, self.steps
+        ranks = [max(0, round(p / 100 * (n_sims - 1))) for p in percentiles]
+        d = self._second(lambda it: _fans(it, keys, how, n_sims, steps, ranks), f"{_kinds(self.blocks, keys)}, draw long, " + ", ".join(f"r{k} double" for k in range(len(ranks))))
+        return d.select(*keys, "draw", *[F.col(f"r{k}").alias(f"p{p}") for k, p in enumerate(percentiles)])
+
+
+def _streamed(blocks: DataFrame, keys: Sequence[str], steps: int, work: Callable, schema: str, carried: DataFrame | None = None) -> DataFrame:
+    """``work`` over segments: each is a stream of all its key's blocks, in order, so no task holds a key."""
+    keys = list(keys)
+    d = blocks.withColumn("seg", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / steps))))
+    if carried is not None:
+        d = d.unionByName(carried.withColumn("blk", F.lit(-1).cast("long")), allowMissingColumns=True)
+    d = d.withColumn("mark", F.to_json(F.struct(*keys, "seg")))
+    return _dealt(d, *keys, "seg").sortWithinPartitions("mark", "blk").mapInArrow(work, schema)
 
 
-def fan(paths: DataFrame, keys: Sequence[str], n_sims: int, percentiles: Sequence[int] = (5, 25, 50, 75, 95)) -> DataFrame:
-    """Nearest-rank equity percentiles across simulations after every draw (n_sims values per step)."""
-    ranks = {p: max(0, round(p / 100 * (n_sims - 1))) for p in percentiles}
-    d = paths.groupBy(*keys, "draw").agg(F.sort_array(F.collect_list("equity")).alias("__e"))
-    return d.select(*keys, "draw", *[F.element_at("__e", r + 1).alias(f"p{p}") for p, r in ranks.items()])
+def simulated_paths(blocks: DataFrame, keys: Sequence[str], n_sims: int, capital: float, how: str = "bootstrap", steps: int | None = None) -> Paths:
+    """Paths of as many draws as there are values: with replacement, or (``how="shuffle"``) each value once in random order."""
+    keys = list(keys)
+    steps = steps or max(16, BUFFER // n_sims)
+    schema = f"{_kinds(blocks, keys)}, seg long, n long, sim long, " + ", ".join(f"{c} double" for c in SEGMENT)
+    return Paths(blocks, tuple(keys), n_sims, float(capital), how, steps, cut(_streamed(blocks, keys, steps, lambda it: _totals(it, keys, how, n_sims, steps), schema)))
+
 
+# --- statistics over simulations ---------------------------------------------------------------------
 
 def bootstrap_pvalue(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
     return summary.groupBy(*keys).agg(F.avg((F.col("mean") <= 0).cast("double")).alias("p_value"))
@@ -67,53 +316,90 @@ def confidence_intervals(summary: DataFrame, keys: Sequence[str], metrics: Seque
     return summary.groupBy(*keys).agg(*[c for m in metrics for c in (q(m, 0.025, "lo"), q(m, 0.975, "hi"))])
 
 
-def bootstrap_sharpe(draws: DataFrame, keys: Sequence[str]) -> DataFrame:
+def annual_sharpe(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Annualised Sharpe of each simulation of daily values; NULL when constant."""
-    sd = F.stddev_pop("x")
-    return draws.groupBy(*keys, "sim").agg(F.when(sd > 0, F.avg("x") / F.nullif(sd, F.lit(0.0)) * F.sqrt(F.lit(252.0))).alias("sharpe"))
+    return sums.select(*keys, "sim", F.when(F.col("sd") > 0, F.col("mean") / F.nullif("sd", F.lit(0.0)) * F.sqrt(F.lit(252.0))).alias("sharpe"))
+
+
+def _sharpe(n: np.ndarray, s: np.ndarray, q: np.ndarray) -> np.ndarray:
+    m = np.maximum(n, 1)
+    mean = s / m
+    sd = np.sqrt(np.maximum(q / m - mean * mean, 0.0))
+    return np.where((n >= 2) & (sd > 1e-12), mean / np.where(sd > 0, sd, 1.0) * np.sqrt(252.0), 0.0)
+
+
+PERMUTATIONS = 256  # of a task
 
 
-def _sharpe(n: Column, s: Column, q: Column) -> Column:
-    mean = s / F.nullif(n.cast("double"), F.lit(0.0))
-    sd = F.sqrt(F.greatest(q / F.nullif(n.cast("double"), F.lit(0.0)) - mean * mean, F.lit(0.0)))
-    return F.when((n >= 2) & (sd > 1e-12), mean / F.nullif(sd, F.lit(0.0)) * F.sqrt(F.lit(252.0))).otherwise(0.0)
+def permuted_gains(days: np.ndarray, ok: np.ndarray, perms: np.ndarray, code: int) -> np.ndarray:
+    """Sharpe gain of the allowed days under each permutation of their labels; ``days``: rows (n, s, q) by date."""
+    keep = ok[np.argsort(hashed(code, perms, np.arange(len(ok))), axis=1, kind="stable")].astype(float)
+    return _sharpe(*(keep @ days).T) - _sharpe(*days.sum(axis=0))
 
 
-def permutation_test(trades: DataFrame, labels: DataFrame, keys: Sequence[str], allowed: Sequence[int], n_perm: int, date: str = "date", value: str = "x", seed: int = 42) -> DataFrame:
+def permutation_test(trades: DataFrame, labels: DataFrame, keys: Sequence[str], allowed: Sequence[int], n_perm: int = 5000, date: str = "date", value: str = "x", seed: int = 42) -> DataFrame:
     """Sharpe gain of trading only the allowed regimes against shuffled day labels.
 
-    Trades are summed per day first; only day rows are copied per permutation.
+    Trades are summed per day first. A day is at most one row a key, so a key's days are a bounded array, which is sent
+    once to each task of ``PERMUTATIONS`` permutations.
     """
     keys = list(keys)
     v = F.col(value)
     days = trades.groupBy(*keys, date).agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
-    days = days.join(labels.select(F.col("date").alias(date), "label"), date, "left").withColumn("label", F.coalesce("label", F.lit(1)))
-    days = days.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(date)))
-    ok = F.col("label").isin(*allowed)
-    kept = lambda c: F.sum(F.when(ok, F.col(c)).otherwise(0))
-    gain = lambda: (_sharpe(kept("n"), kept("s"), kept("q")) - _sharpe(F.sum("n"), F.sum("s"), F.sum("q")))
-    actual = days.groupBy(*keys).agg(gain().alias("actual_gain"))
-    shuffled = days.select(*keys, date, "label").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-    h = hash_long(F.lit(seed), F.col("perm"), F.col(date))
-    shuffled = shuffled.withColumn("__k", F.row_number().over(Window.partitionBy(*keys, "perm").orderBy(h, date))).select(*keys, "perm", "__k", "label")
-    gains = days.drop("label").join(shuffled, [*keys, "__k"]).groupBy(*keys, "perm").agg(gain().alias("gain"))
-    return gains.join(actual, keys).groupBy(*keys).agg(F.avg((F.col("gain") >= F.col("actual_gain")).cast("double")).alias("p_value"), F.first("actual_gain").alias("actual_gain"), F.avg("gain").alias("mean_gain"))
+    days = days.join(labels.select(F.col("date").alias(date), "label"), date, "left").withColumn("ok", F.coalesce("label", F.lit(1)).isin(*allowed))
+    row = F.struct(F.col(date).alias("d"), F.col("n").cast("double").alias("n"), "s", "q", "ok")
+    d = days.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("days")).withColumn("code", hash_long(F.lit(seed), *[F.col(k) for k in keys]))
+    d = d.select(*keys, "code", *[F.col(f"days.{c}").alias(c) for c in ("n", "s", "q", "ok")], F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1), F.lit(PERMUTATIONS))).alias("first"))
+    d = _dealt(d, *keys, "first")
+
+    def gains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = pdf[keys].copy()
+            actual, above, total = [], [], []
+            for r in pdf.itertuples(index=False):
+                table, ok = np.stack([np.asarray(c, float) for c in (r.n, r.s, r.q)], axis=1), np.asarray(r.ok, bool)
+                real = _sharpe(*table[ok].sum(axis=0)) - _sharpe(*table.sum(axis=0))
+                gain = permuted_gains(table, ok, np.arange(r.first, min(r.first + PERMUTATIONS, n_perm)), r.code)
+                actual.append(float(real))
+                above.append(int((gain >= real).sum()))
+                total.append(float(gain.sum()))
+            yield out.assign(actual_gain=actual, above=above, total=total)
+
+    g = d.mapInPandas(gains, f"{_kinds(d, keys)}, actual_gain double, above long, total double")
+    return g.groupBy(*keys).agg((F.sum("above") / n_perm).alias("p_value"), F.first("actual_gain").alias("actual_gain"), (F.sum("total") / n_perm).alias("mean_gain"))
+
+
+def block_positions(codes: tuple[int, int], sims: np.ndarray, n: int, mean_block: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each simulation and step the step its block starts at and the position it draws, circular over ``n``."""
+    steps = np.arange(n)
+    breaks = (steps == 0) | (hashed(codes[0], sims, steps) / 2.0**53 < 1.0 / max(mean_block, 1.0))
+    at = np.maximum.accumulate(np.where(breaks, steps, 0), axis=1)
+    start = np.take_along_axis(with_replacement(codes[1], sims, steps, n), at, axis=1)
+    return at, (start + steps - at) % n
 
 
 def block_bootstrap(days: DataFrame, keys: Sequence[str], date: str, n_sims: int, mean_block: float, seed: int = 42) -> DataFrame:
     """Stationary bootstrap of day positions: geometric blocks, circular; shared by everything joined to it.
 
-    One row per (sim, step) with ``pos`` in 0..n-1; the horizon is the number of days.
+    One row per (sim, step) with ``pos`` in 0..n-1 and the step its block starts at; the horizon is the number of days (a
+    key has at most one row a day). Only numbers of days are shuffled.
     """
     keys = list(keys)
-    n = days.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    d = days.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy(date)) - 1).alias("step")).join(n, keys)
-    d = d.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))))
-    breaks = (F.col("step") == 0) | (unit_hash(F.lit(seed), F.lit("break"), F.col("sim"), F.col("step")) < 1.0 / max(mean_block, 1.0))
-    w = Window.partitionBy(*keys, "sim").orderBy("step")
-    d = d.withColumn("__at", F.max(F.when(breaks, F.col("step"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    start = hash_long(F.lit(seed), F.lit("start"), F.col("sim"), F.col("__at")) % F.col("__n")
-    return d.select(*keys, "sim", "step", ((start + F.col("step") - F.col("__at")) % F.col("__n")).alias("pos"))
+    n = days.groupBy(*keys).agg(F.count(F.col(date)).alias("n")).where("n > 0")
+    n = n.withColumns({"brk": hash_long(F.lit(seed), F.lit("break")), "start": hash_long(F.lit(seed), F.lit("start"))})
+    per = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(BUFFER) / F.col("n")))
+    tasks = n.withColumn("per", per).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_sims - 1).cast("long"), F.col("per"))))
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                size, brk, start, each, first = (batch.column(c)[row].as_py() for c in ("n", "brk", "start", "per", "first"))
+                sims = np.arange(first, min(first + each, n_sims))
+                at, pos = block_positions((brk, start), sims, size, mean_block)
+                for k in range(len(sims)):
+                    yield pa.RecordBatch.from_arrays([*_repeated(batch, row, keys, size), pa.array(np.full(size, sims[k])), pa.array(np.arange(size)), pa.array(at[k]), pa.array(pos[k])], names=[*keys, "sim", "step", "block_start", "pos"])
+
+    return _dealt(tasks, *keys, "first").mapInArrow(drawn, f"{_kinds(days, keys)}, sim long, step long, block_start long, pos long")
 
 
 def daily_r_matrix(trades: DataFrame, calendar: DataFrame, slots: Sequence, slot: str, risk: float, commission: float, cap_daily: bool = False) -> DataFrame:

@@ -1,6 +1,7 @@
 """Queries over resampling, regimes, rankings and set operations."""
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions import trade as T
@@ -12,8 +13,7 @@ from barloom.operators import sets as U
 from barloom.plans.bindings import bars, daily, r_trades, table, trades
 from barloom.plans.registry import cte, query
 
-SIMS = 20
-PATHS = 2000  # of queries without SQL: as many as the reference draws
+SIMS, PERMS = 2000, 5000  # as many as the reference draws
 
 
 def hx(text: str) -> str:
@@ -24,19 +24,33 @@ def pnl(spark, sf):
     return T.with_trade_pnl(trades(spark, sf)).select("symbol", "trade_id", "exit_ts", F.col("net_pnl_dollars").alias("x"))
 
 
+def mixer(name: str, h: str) -> str:
+    """Columns ``name``0, ... of which ``name`` holds the 32 mixed bits of ``h``; see ``resample.mixed``."""
+    return f"""({h}) & 4294967295::UBIGINT AS {name}0, (xor({name}0, {name}0 >> 15) * {RS.B}::UBIGINT) & 4294967295::UBIGINT AS {name}1,
+      (xor({name}1, {name}1 >> 13) * {RS.C}::UBIGINT) & 4294967295::UBIGINT AS {name}2, xor({name}2, {name}2 >> 16) AS {name}"""
+
+
+def seeds(keys: str, source: str, sims: int) -> str:
+    """For each key and simulation the two hashed starts of its draws."""
+    return f"""SELECT {keys}, sim, {mixer('a', f'sim::UBIGINT * {RS.A}::UBIGINT + (code & 4294967295)::UBIGINT')}, {mixer('b', f'sim::UBIGINT * {RS.B}::UBIGINT + (code >> 16)::UBIGINT')}
+      FROM (SELECT *, {hx(f"'42:' || {keys}")} AS code FROM (SELECT DISTINCT {keys} FROM {source})), range(0, {sims}) r(sim)"""
+
+
+BITS = f"""{mixer('hi', f'a + ((step::UBIGINT * {RS.A}::UBIGINT) & 4294967295::UBIGINT)')}, {mixer('lo', f'b + ((step::UBIGINT * {RS.C}::UBIGINT) & 4294967295::UBIGINT)')}, (hi << 21) | (lo >> 11) AS u"""
 cte("pk", "SELECT symbol, trade_id, net AS x, row_number() OVER (PARTITION BY symbol ORDER BY exit_ts, trade_id) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM pnl")
-cte("boot", f"SELECT a.symbol, sim, a.k AS draw, b.x FROM (SELECT symbol, sim, k, {hx('''42 || ':' || symbol || ':' || sim || ':' || k''')} % n + 1 AS idx FROM pk, range(0, {SIMS}) r(sim)) a JOIN pk b ON b.symbol = a.symbol AND b.k = a.idx")
-cte("shuf", f"SELECT symbol, sim, row_number() OVER (PARTITION BY symbol, sim ORDER BY {hx('''42 || ':' || sim || ':' || trade_id''')}, trade_id) AS draw, x FROM pk, range(0, {SIMS}) r(sim)")
-_path = """SELECT *, (equity - peak) / CASE WHEN peak = 0 THEN 1 ELSE peak END AS dd_pct FROM (SELECT *, greatest(100000.0::DOUBLE, max(equity) OVER (PARTITION BY symbol, sim ORDER BY draw)) AS peak FROM (
-    SELECT *, 100000.0::DOUBLE + sum(x) OVER (PARTITION BY symbol, sim ORDER BY draw) AS equity FROM {0}))"""
-cte("bpath", _path.format("boot"))
-cte("spath", _path.format("shuf"))
-_sum = """SELECT symbol, sim, arg_max(equity, draw) AS final_equity, min(dd_pct) AS max_dd_pct, avg(x) AS mean, avg((x > 0)::INT) AS win_rate, sum(x) FILTER (x > 0) / -sum(x) FILTER (x < 0) AS profit_factor FROM {0} GROUP BY 1, 2"""
-cte("bsum", _sum.format("bpath"))
+cte("bseed", seeds("symbol", "pk", SIMS))
+cte("boot", f"SELECT a.symbol, sim, a.step + 1 AS draw, p.x FROM (SELECT symbol, sim, step, u % n + 1 AS idx FROM (SELECT symbol, sim, step, n, {BITS} FROM (SELECT symbol, k - 1 AS step, n FROM pk) JOIN bseed USING (symbol))) a JOIN pk p ON p.symbol = a.symbol AND p.k = a.idx")
+cte("bpath", """SELECT *, (equity - peak) / CASE WHEN peak = 0 THEN 1 ELSE peak END AS dd_pct FROM (SELECT *, greatest(100000.0::DOUBLE, max(equity) OVER (PARTITION BY symbol, sim ORDER BY draw)) AS peak FROM (
+    SELECT *, 100000.0::DOUBLE + sum(x) OVER (PARTITION BY symbol, sim ORDER BY draw) AS equity FROM boot))""")
+cte("bsum", "SELECT symbol, sim, arg_max(equity, draw) AS final_equity, min(dd_pct) AS max_dd_pct, avg(x) AS mean, avg((x > 0)::INT) AS win_rate, sum(x) FILTER (x > 0) / -sum(x) FILTER (x < 0) AS profit_factor FROM bpath GROUP BY 1, 2")
 
 
-def boot_paths(spark, sf):
-    return RS.simulated_paths(RS.bootstrap_draws(pnl(spark, sf), ["symbol"], ["exit_ts", "trade_id"], "x", SIMS), ["symbol"], 100000.0)
+def trade_blocks(spark, sf):
+    return RS.value_blocks(pnl(spark, sf), ["symbol"], ["exit_ts", "trade_id"], "x")
+
+
+def paths(spark, sf, how="bootstrap"):
+    return RS.simulated_paths(trade_blocks(spark, sf), ["symbol"], SIMS, 100000.0, how)
 
 
 PATH = "symbol sim:i final_equity:r max_dd_pct:r mean:r win_rate:r profit_factor:r"
@@ -44,23 +58,28 @@ PATH = "symbol sim:i final_equity:r max_dd_pct:r mean:r win_rate:r profit_factor
 
 @query("bootstrap_trades", PATH, "SELECT * FROM bsum")
 def _(spark, sf):
-    return RS.path_summary(boot_paths(spark, sf), ["symbol"])
+    return paths(spark, sf).summary()
 
 
-@query("shuffle_trades", PATH, _sum.format("spath"))
+@query("shuffle_trades", PATH)
 def _(spark, sf):
-    return RS.path_summary(RS.simulated_paths(RS.shuffle_draws(pnl(spark, sf), ["symbol"], "x", "trade_id", SIMS), ["symbol"], 100000.0), ["symbol"])
+    """Random orders come from a network of hashes that SQL has no short form for; tests hold them against numpy."""
+    return paths(spark, sf, "shuffle").summary()
+
 
+def rank(p: int) -> int:
+    return round(p / 100 * (SIMS - 1)) + 1
 
-@query("bootstrap_fan", "symbol draw:i p5:r p25:r p50:r p75:r p95:r", "SELECT symbol, draw, e[2] AS p5, e[6] AS p25, e[11] AS p50, e[15] AS p75, e[19] AS p95 FROM (SELECT symbol, draw, list_sort(list(equity)) AS e FROM bpath GROUP BY 1, 2)")
+
+@query("bootstrap_fan", "symbol draw:i p5:r p25:r p50:r p75:r p95:r", "SELECT symbol, draw, " + ", ".join(f"e[{rank(p)}] AS p{p}" for p in (5, 25, 50, 75, 95)) + " FROM (SELECT symbol, draw, list_sort(list(equity)) AS e FROM bpath GROUP BY 1, 2)")
 def _(spark, sf):
-    return RS.fan(boot_paths(spark, sf), ["symbol"], SIMS)
+    return paths(spark, sf).fan()
 
 
-@query("bootstrap_pvalue", "symbol p_value:r", "SELECT symbol, avg((mean <= 0)::INT) AS p_value FROM bsum GROUP BY 1")
+@query("bootstrap_pvalue", "symbol p_value:r")
 def _(spark, sf):
-    draws = RS.bootstrap_draws(pnl(spark, sf), ["symbol"], ["exit_ts", "trade_id"], "x", SIMS)
-    return RS.bootstrap_pvalue(draws.groupBy("symbol", "sim").agg(F.avg("x").alias("mean")), ["symbol"])
+    """Draws are numbers per block from a binomial split, without SQL; tests hold them against draws one by one."""
+    return RS.bootstrap_pvalue(RS.bootstrap_sums(trade_blocks(spark, sf), ["symbol"], SIMS), ["symbol"])
 
 
 CI = ["win_rate", "mean", "profit_factor", "max_dd_pct"]
@@ -68,15 +87,15 @@ CI = ["win_rate", "mean", "profit_factor", "max_dd_pct"]
 
 @query("bootstrap_ci", "symbol " + " ".join(f"{m}_lo:r {m}_hi:r" for m in CI), "SELECT symbol, " + ", ".join(f"quantile_cont({m}, 0.025) AS {m}_lo, quantile_cont({m}, 0.975) AS {m}_hi" for m in CI) + " FROM bsum GROUP BY 1")
 def _(spark, sf):
-    return RS.confidence_intervals(RS.path_summary(boot_paths(spark, sf), ["symbol"]), ["symbol"], CI)
+    return RS.confidence_intervals(paths(spark, sf).summary(), ["symbol"], CI)
 
 
-@query("bootstrap_sharpe_ci", "symbol sharpe_lo:r sharpe_hi:r", f"""WITH d AS (SELECT symbol, CAST(exit_ts AS DATE) AS date, sum(net) AS x FROM pnl GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM d),
-    b AS (SELECT a.symbol, sim, k.x FROM (SELECT symbol, sim, {hx("'42:' || symbol || ':' || sim || ':' || k")} % n + 1 AS idx FROM k, range(0, {SIMS}) r(sim)) a JOIN k ON k.symbol = a.symbol AND k.k = a.idx),
-    s AS (SELECT symbol, sim, avg(x) / stddev_pop(x) * sqrt(252) AS sharpe FROM b GROUP BY 1, 2) SELECT symbol, quantile_cont(sharpe, 0.025) AS sharpe_lo, quantile_cont(sharpe, 0.975) AS sharpe_hi FROM s GROUP BY 1""")
+@query("bootstrap_sharpe_ci", "symbol sharpe_lo:r sharpe_hi:r")
 def _(spark, sf):
+    """As ``bootstrap_pvalue``, over days."""
     days = pnl(spark, sf).groupBy("symbol", F.to_date("exit_ts").alias("date")).agg(F.sum("x").alias("x"))
-    return RS.confidence_intervals(RS.bootstrap_sharpe(RS.bootstrap_draws(days, ["symbol"], ["date"], "x", SIMS, block=F.trunc("date", "year")), ["symbol"]), ["symbol"], ["sharpe"])
+    blocks = RS.value_blocks(days, ["symbol"], ["date"], "x", block=F.trunc("date", "year"))
+    return RS.confidence_intervals(RS.annual_sharpe(RS.bootstrap_sums(blocks, ["symbol"], SIMS), ["symbol"]), ["symbol"], ["sharpe"])
 
 
 def day_labels(spark, sf):
@@ -138,30 +157,44 @@ def _(spark, sf):
     return G.vol_regime_probability(series_labels(spark, sf), ["symbol"])
 
 
-@query("permutation_test", "config_idx:i p_value:r actual_gain:r mean_gain:r", f"""WITH d AS (SELECT config_idx, date, count(*) AS n, sum(r) AS s, sum(r * r) AS q, row_number() OVER (PARTITION BY config_idx ORDER BY date) AS k FROM r_trades WHERE config_idx < 20 GROUP BY 1, 2),
-    l AS (SELECT d.*, label FROM d JOIN dlabels USING (date)), sh AS (SELECT config_idx, perm, label, row_number() OVER (PARTITION BY config_idx, perm ORDER BY {hx("'42:' || perm || ':' || date")}, date) AS k FROM l, range(0, {SIMS}) r(perm)),
-    z AS (SELECT config_idx, perm, d.n, d.s, d.q, label FROM d JOIN sh USING (config_idx, k) UNION ALL SELECT config_idx, -1, n, s, q, label FROM l),
-    a AS (SELECT config_idx, perm, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(n) FILTER (label IN (1, 2)) AS fn, sum(s) FILTER (label IN (1, 2)) AS fs, sum(q) FILTER (label IN (1, 2)) AS fq FROM z GROUP BY 1, 2),
-    g AS (SELECT config_idx, perm, (fs / fn) / sqrt(fq / fn - pow(fs / fn, 2)) * sqrt(252) - (s / n) / sqrt(q / n - pow(s / n, 2)) * sqrt(252) AS gain FROM a)
+cte("pdays", "SELECT config_idx, date, count(*) AS n, sum(r) AS s, sum(r * r) AS q, row_number() OVER (PARTITION BY config_idx ORDER BY date) AS k FROM r_trades GROUP BY 1, 2")
+cte("pseed", seeds("config_idx", "pdays", PERMS))
+
+
+@query("permutation_test", "config_idx:i p_value:r actual_gain:r mean_gain:r", f"""WITH l AS (SELECT d.*, label IN (1, 2) AS ok FROM pdays d JOIN dlabels USING (date)),
+    sh AS (SELECT config_idx, sim AS perm, ok, row_number() OVER (PARTITION BY config_idx, sim ORDER BY u, step) AS k FROM (SELECT config_idx, sim, ok, step, {BITS} FROM (SELECT config_idx, ok, k - 1 AS step FROM l) JOIN pseed USING (config_idx))),
+    z AS (SELECT config_idx, perm, d.n, d.s, d.q FROM pdays d JOIN sh USING (config_idx, k) WHERE ok UNION ALL SELECT config_idx, -1, n, s, q FROM l WHERE ok),
+    f AS (SELECT config_idx, perm, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM z GROUP BY 1, 2), a AS (SELECT config_idx, sum(s) / sum(n) / sqrt(sum(q) / sum(n) - pow(sum(s) / sum(n), 2)) * sqrt(252) AS whole FROM l GROUP BY 1),
+    g AS (SELECT config_idx, perm, (s / n) / sqrt(q / n - pow(s / n, 2)) * sqrt(252) - whole AS gain FROM f JOIN a USING (config_idx))
     SELECT g.config_idx, avg((g.gain >= x.gain)::INT) AS p_value, any_value(x.gain) AS actual_gain, avg(g.gain) AS mean_gain FROM g JOIN g x ON x.config_idx = g.config_idx AND x.perm = -1 WHERE g.perm >= 0 GROUP BY 1""")
 def _(spark, sf):
-    return RS.permutation_test(r_trades(spark, sf), day_labels(spark, sf), ["config_idx"], [1, 2], SIMS, value="r")
+    return RS.permutation_test(r_trades(spark, sf), day_labels(spark, sf), ["config_idx"], [1, 2], PERMS, value="r")
+
+
+def block_bits(what: str) -> str:
+    return f"""SELECT sim, step, u FROM (SELECT sim, step, {BITS} FROM (SELECT sim, {mixer('a', f'sim::UBIGINT * {RS.A}::UBIGINT + (code & 4294967295)::UBIGINT')}, {mixer('b', f'sim::UBIGINT * {RS.B}::UBIGINT + (code >> 16)::UBIGINT')}
+      FROM (SELECT {hx(f"'42:{what}'")} AS code), range(0, {SIMS}) r(sim)), range(0, (SELECT count(DISTINCT date) FROM daily)) q(step))"""
+
+
+cte("bbreak", block_bits("break"))
+cte("bstart", block_bits("start"))
+cte("bpos", """SELECT b.symbol, b.sim, b.step, b.b0, (s.u::BIGINT % n + b.step - b0) % n AS pos FROM (SELECT *, max(CASE WHEN step = 0 OR u / 9007199254740992.0::DOUBLE < 0.1::DOUBLE THEN step END) OVER (PARTITION BY symbol, sim ORDER BY step) AS b0
+      FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS step, count(*) OVER (PARTITION BY symbol) AS n FROM daily) JOIN bbreak USING (step)) b JOIN bstart s ON s.sim = b.sim AND s.step = b.b0""")
 
 
-@query("block_bootstrap", "symbol sim:i step:i pos:i", f"""WITH d AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS step, count(*) OVER (PARTITION BY symbol) AS n FROM daily),
-    e AS (SELECT *, max(CASE WHEN step = 0 OR {hx("'42:break:' || sim || ':' || step")} / 281474976710656.0::DOUBLE < 0.1::DOUBLE THEN step END) OVER (PARTITION BY symbol, sim ORDER BY step) AS b0 FROM d, range(0, 5) r(sim))
-    SELECT symbol, sim, step, ({hx("'42:start:' || sim || ':' || b0")} % n + step - b0) % n AS pos FROM e""")
+@query("block_bootstrap", "symbol sim:i steps:i breaks:i pos_sum:i step_pos_sum:i", "SELECT symbol, sim, count(*) AS steps, count(DISTINCT b0) AS breaks, sum(pos) AS pos_sum, sum(step * pos) AS step_pos_sum FROM bpos GROUP BY 1, 2")
 def _(spark, sf):
-    return RS.block_bootstrap(daily(spark, sf), ["symbol"], "date", 5, 10.0)
+    """Of every simulation's positions their number, that of its blocks (jumps and the start), and two sums over all of them."""
+    d = RS.block_bootstrap(daily(spark, sf), ["symbol"], "date", SIMS, 10.0)
+    return d.groupBy("symbol", "sim").agg(F.count(F.lit(1)).alias("steps"), F.sum((F.col("step") == F.col("block_start")).cast("long")).alias("breaks"), F.sum("pos").alias("pos_sum"), F.sum(F.col("step") * F.col("pos")).alias("step_pos_sum"))
 
 
-@query("block_bootstrap_equity", "symbol sim:i total:r")
+@query("block_bootstrap_equity", "symbol sim:i total:r", """SELECT b.symbol, sim, sum(x) AS total FROM bpos b JOIN (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS pos, ln(close / open) AS x FROM daily) d ON d.symbol = b.symbol AND d.pos = b.pos GROUP BY 1, 2""")
 def _(spark, sf):
     """Shared day draws joined to the series' own day returns."""
     d = daily(spark, sf)
-    from pyspark.sql import Window
     pos = d.select("symbol", (F.row_number().over(Window.partitionBy("symbol").orderBy("date")) - 1).alias("pos"), F.ln(F.col("close") / F.col("open")).alias("x"))
-    return RS.block_bootstrap(d, ["symbol"], "date", PATHS, 10.0).join(pos, ["symbol", "pos"]).groupBy("symbol", "sim").agg(F.sum("x").alias("total"))
+    return RS.block_bootstrap(d, ["symbol"], "date", SIMS, 10.0).join(pos, ["symbol", "pos"]).groupBy("symbol", "sim").agg(F.sum("x").alias("total"))
 
 
 @query("regime_labels", "symbol date:d label:i")
