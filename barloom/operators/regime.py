@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -73,97 +74,148 @@ def vol_regime_probability(labels: DataFrame, keys: Sequence[str], n_states: int
 # --- Gaussian hidden Markov model --------------------------------------------------------------------
 
 def _densities(x: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
-    return np.exp(-0.5 * (x[:, None] - mean) ** 2 / var) / np.sqrt(2 * np.pi * var) + 1e-300
-
-
-def fit_hmm(x: np.ndarray, n_states: int, iterations: int) -> tuple[np.ndarray, ...]:
-    """Baum-Welch from quantile means (no random start); states ordered by mean."""
-    edges = np.quantile(x, np.linspace(0, 1, n_states + 1))
-    mean = np.array([x[(x >= a) & (x <= b)].mean() for a, b in zip(edges[:-1], edges[1:])])
-    var = np.full(n_states, max(x.var(), 1e-8))
-    start = np.full(n_states, 1.0 / n_states)
-    trans = np.full((n_states, n_states), 0.1 / max(n_states - 1, 1))
-    np.fill_diagonal(trans, 0.9)
-    n, last = len(x), -np.inf
+    """Of each day (first axis) under each refit and state."""
+    return np.exp(-0.5 * (x[:, None, None] - mean) ** 2 / var) / np.sqrt(2 * np.pi * var) + 1e-300
+
+
+@dataclass
+class Models:
+    """Gaussian hidden Markov models, one a refit: start (refits, states), trans (refits, from, to), mean and var (refits, states)."""
+
+    start: np.ndarray
+    trans: np.ndarray
+    mean: np.ndarray
+    var: np.ndarray
+
+    def at(self, rows: np.ndarray) -> Models:
+        return Models(self.start[rows], self.trans[rows], self.mean[rows], self.var[rows])
+
+    def put(self, rows: np.ndarray, new: Models) -> None:
+        for f in ("start", "trans", "mean", "var"):
+            getattr(self, f)[rows] = getattr(new, f)
+
+
+def _step(x: np.ndarray, ends: np.ndarray, m: Models) -> tuple[Models, np.ndarray]:
+    """One Baum-Welch step of all refits; refit r holds the first ``ends[r]`` days, ends ascending. New models and log-likelihoods."""
+    n, (refits, states) = int(ends[-1]), m.mean.shape
+    x = x[:n]
+    b = _densities(x, m.mean, m.var)
+    alpha, beta, scale = np.zeros((n, refits, states)), np.ones((n, refits, states)), np.ones((n, refits))
+    open_ = np.searchsorted(ends, np.arange(n), side="right")  # from which refit on a day is in the history
+    a = m.start * b[0]
+    for t in range(n):
+        k = open_[t]
+        if t:
+            a = np.matmul(alpha[t - 1, k:, None, :], m.trans[k:])[:, 0] * b[t, k:]
+        scale[t, k:] = a.sum(axis=1)
+        alpha[t, k:] = a / scale[t, k:, None]
+    for t in range(n - 2, -1, -1):
+        k = open_[t + 1]
+        beta[t, k:] = np.matmul(m.trans[k:], (b[t + 1, k:] * beta[t + 1, k:] / scale[t + 1, k:, None])[:, :, None])[:, :, 0]
+    gamma = alpha * beta
+    gamma /= np.maximum(gamma.sum(axis=2, keepdims=True), 1e-300)
+    inside = np.arange(n)[:, None] < ends
+    follow = np.where(inside[:, :, None], b * beta / scale[:, :, None], 0.0)
+    pairs = m.trans * np.einsum("tri,trj->rij", alpha[:-1], follow[1:])
+    trans = pairs / np.maximum(pairs.sum(axis=2, keepdims=True), 1e-300)
+    weight = gamma.sum(axis=0)
+    mean = np.einsum("trs,t->rs", gamma, x) / weight
+    var = np.maximum((gamma * (x[:, None, None] - mean) ** 2).sum(axis=0) / weight, 1e-8)
+    return Models(gamma[0], trans, mean, var), np.where(inside, np.log(scale), 0.0).sum(axis=0)
+
+
+def fit_hmms(x: np.ndarray, ends: np.ndarray, n_states: int, iterations: int) -> Models:
+    """Baum-Welch over all histories ``x[:end]`` at once (ends ascending), from quantile means (no random start); states ordered by mean.
+
+    A refit that has converged leaves the arrays; the others go on, up to ``iterations`` steps.
+    """
+    ends = np.asarray(ends)
+    mean, var = np.empty((len(ends), n_states)), np.empty((len(ends), n_states))
+    for r, end in enumerate(ends):
+        h = x[:end]
+        edges = np.quantile(h, np.linspace(0, 1, n_states + 1))
+        mean[r] = [h[(h >= lo) & (h <= hi)].mean() for lo, hi in zip(edges[:-1], edges[1:])]
+        var[r] = max(h.var(), 1e-8)
+    trans = np.full((len(ends), n_states, n_states), 0.1 / max(n_states - 1, 1))
+    trans[:, np.arange(n_states), np.arange(n_states)] = 0.9
+    models = Models(np.full((len(ends), n_states), 1.0 / n_states), trans, mean, var)
+    going, last = np.arange(len(ends)), np.full(len(ends), -np.inf)
     for _ in range(iterations):
-        b = _densities(x, mean, var)
-        alpha, beta, scale = np.empty((n, n_states)), np.ones((n, n_states)), np.empty(n)
-        a = start * b[0]
-        for t in range(n):
-            a = a if t == 0 else (alpha[t - 1] @ trans) * b[t]
-            scale[t] = a.sum()
-            alpha[t] = a / scale[t]
-        for t in range(n - 2, -1, -1):
-            beta[t] = trans @ (b[t + 1] * beta[t + 1]) / scale[t + 1]
-        gamma = alpha * beta
-        gamma /= gamma.sum(axis=1, keepdims=True)
-        pairs = trans * (alpha[:-1].T @ (b[1:] * beta[1:] / scale[1:, None]))
-        trans = pairs / np.maximum(pairs.sum(axis=1, keepdims=True), 1e-300)
-        start, weight = gamma[0], gamma.sum(axis=0)
-        mean = gamma.T @ x / weight
-        var = np.maximum((gamma * (x[:, None] - mean) ** 2).sum(axis=0) / weight, 1e-8)
-        ll = np.log(scale).sum()
-        if ll - last < 1e-4:
+        new, ll = _step(x, ends[going], models.at(going))
+        models.put(going, new)
+        better = ll - last[going] >= 1e-4
+        last[going] = ll
+        going = going[better]
+        if not len(going):
             break
-        last = ll
-    o = np.argsort(mean)
-    return start[o], trans[np.ix_(o, o)], mean[o], var[o]
-
-
-def viterbi(x: np.ndarray, model: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """(best full path, best last state of every prefix)."""
-    start, trans, mean, var = model
-    b, lt = np.log(_densities(x, mean, var)), np.log(trans + 1e-300)
-    n, k = b.shape
-    back, tip = np.zeros((n, k), dtype=int), np.zeros(n, dtype=int)
-    d = np.log(start + 1e-300) + b[0]
-    tip[0] = d.argmax()
-    for t in range(1, n):
-        m = d[:, None] + lt
-        back[t] = m.argmax(axis=0)
-        d = m.max(axis=0) + b[t]
-        tip[t] = d.argmax()
-    path = np.zeros(n, dtype=int)
+    order = np.argsort(models.mean, axis=1, kind="stable")
+    pick = lambda v: np.take_along_axis(v, order, axis=1)
+    trans = np.take_along_axis(np.take_along_axis(models.trans, order[:, :, None], axis=1), order[:, None, :], axis=2)
+    return Models(pick(models.start), trans, pick(models.mean), pick(models.var))
+
+
+def last_states(x: np.ndarray, models: Models, ends: np.ndarray) -> np.ndarray:
+    """For each day and refit the last state of the best path up to the day; refit r is asked up to day ``ends[r]``, ends ascending."""
+    b, trans = np.log(_densities(x, models.mean, models.var)), np.log(models.trans + 1e-300)
+    out = np.zeros(b.shape[:2], int)
+    d = np.log(models.start + 1e-300) + b[0]
+    out[0] = d.argmax(axis=1)
+    for t in range(1, len(x)):
+        k = int(np.searchsorted(ends, t, side="right"))
+        d[k:] = (d[k:, :, None] + trans[k:]).max(axis=1) + b[t, k:]
+        out[t, k:] = d[k:].argmax(axis=1)
+    return out
+
+
+def best_path(x: np.ndarray, model: Models) -> np.ndarray:
+    """Viterbi path of all days under the first model."""
+    b, trans = np.log(_densities(x, model.mean[:1], model.var[:1]))[:, 0], np.log(model.trans[0] + 1e-300)
+    back, d = np.zeros(b.shape, int), np.log(model.start[0] + 1e-300) + b[0]
+    for t in range(1, len(x)):
+        m = d[:, None] + trans
+        back[t], d = m.argmax(axis=0), m.max(axis=0) + b[t]
+    path = np.zeros(len(x), int)
     path[-1] = d.argmax()
-    for t in range(n - 2, -1, -1):
+    for t in range(len(x) - 2, -1, -1):
         path[t] = back[t + 1][path[t + 1]]
-    return path, tip
+    return path
+
+
+def series_regimes(x: np.ndarray, n_states: int, train: int, refits: int, iterations: int) -> np.ndarray:
+    """Labels of one series: its first ``train`` days by their own best path, each later day by the last refit before it."""
+    n = len(x)
+    every = max(1, (n - train) // refits)
+    ends = np.arange(train, max(n, train + 1), every)
+    models = fit_hmms(x, ends, n_states, iterations)
+    tips = last_states(x, models, np.append(ends[1:], n))
+    labels = np.empty(n, int)
+    labels[:train] = best_path(x[:train], models)
+    day = np.arange(train, n)
+    labels[train:] = tips[day, (day - train) // every]
+    return labels
 
 
 def regime_labels(daily: DataFrame, keys: Sequence[str], value: str, n_states: int = 3, train_ratio: float = 0.5, refits: int = 50, iterations: int = 100, mode: str = "rolling") -> DataFrame:
-    """Regime of every day from refits on an expanding window; a label never sees a later day.
+    """(keys, date, label, in_sample): the regime of every day from refits on an expanding window.
 
-    Each (series, refit) is an independent group holding the days up to its next refit: at most one row per
-    calendar day, so a group is bounded and the refits run in parallel.
+    The first ``train_ratio`` of the days (all, but for ``mode="rolling"``) are labelled by a model fitted on all of them:
+    ``in_sample``. A later day's label comes from a model of the days before its refit and from no later day.
+    A series, at most one row a calendar day, is one group; its refits are fitted side by side as one axis of its arrays.
     """
     keys = list(keys)
-    w = Window.partitionBy(*keys)
     d = daily.select(*keys, "date", F.col(value).cast("double").alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
-    d = d.withColumns({"__i": F.row_number().over(w.orderBy("date")) - 1, "__n": F.count(F.lit(1)).over(w)})
-    train = F.greatest(F.lit(10), F.floor(F.col("__n") * train_ratio)) if mode == "rolling" else F.col("__n")
-    every = F.greatest(F.lit(1), F.floor((F.col("__n") - F.col("__train")) / refits))
-    d = d.withColumn("__train", train.cast("int")).withColumn("__every", every.cast("int"))
-    first = F.when(F.col("__i") < F.col("__train"), 0).otherwise(F.floor((F.col("__i") - F.col("__train")) / F.col("__every"))).cast("int")
-    final = F.when(F.col("__n") > F.col("__train"), F.floor((F.col("__n") - 1 - F.col("__train")) / F.col("__every"))).otherwise(0).cast("int")
-    d = d.withColumn("__refit", F.explode(F.sequence(first, final)))
     types = {f.name: f.dataType.simpleString() for f in daily.schema.fields}
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__i").reset_index(drop=True)
-        k, t0, step = int(pdf["__refit"].iloc[0]), int(pdf["__train"].iloc[0]), int(pdf["__every"].iloc[0])
-        fit_to = t0 + k * step
-        x = pdf["__x"].to_numpy(float)
-        model = fit_hmm(x[:fit_to], n_states, iterations)
-        path, tip = viterbi(x, model)
-        if k == 0:
-            path = viterbi(x[:t0], model)[0]
-            pdf["label"] = np.concatenate([path, tip[t0:]])
-            return pdf[[*keys, "date", "label"]].astype({"label": "int32"})
-        pdf["label"] = tip
-        return pdf.loc[pdf["__i"] >= fit_to, [*keys, "date", "label"]].astype({"label": "int32"})
-
-    schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, "date"]) + ", label int"
-    return d.groupBy(*keys, "__refit").applyInPandas(label, schema)
+        pdf = pdf.sort_values("date").reset_index(drop=True)
+        n = len(pdf)
+        train = min(n, max(10, int(n * train_ratio))) if mode == "rolling" else n
+        pdf["label"] = series_regimes(pdf["__x"].to_numpy(float), n_states, train, refits, iterations)
+        pdf["in_sample"] = np.arange(n) < train
+        return pdf[[*keys, "date", "label", "in_sample"]].astype({"label": "int32"})
+
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, "date"]) + ", label int, in_sample boolean"
+    return d.groupBy(*keys).applyInPandas(label, schema)
 
 
 def vol_regime(daily: DataFrame, keys: Sequence[str], **kw) -> DataFrame:

@@ -197,13 +197,13 @@ def _(spark, sf):
     return RS.block_bootstrap(d, ["symbol"], "date", SIMS, 10.0).join(pos, ["symbol", "pos"]).groupBy("symbol", "sim").agg(F.sum("x").alias("total"))
 
 
-@query("regime_labels", "symbol date:d label:i")
+@query("regime_labels", "symbol date:d label:i in_sample:b")
 def _(spark, sf):
     d = daily(spark, sf).withColumn("lr", F.ln(F.col("close") / F.col("open")))
     return G.regime_labels(d, ["symbol"], "lr")
 
 
-@query("vol_regime", "symbol date:d label:i p_high:r")
+@query("vol_regime", "symbol date:d label:i in_sample:b p_high:r")
 def _(spark, sf):
     return G.vol_regime(daily(spark, sf), ["symbol"], train_ratio=0.4)
 
