@@ -104,7 +104,7 @@ def measured(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", s
     The sample holds about ``sample_rows`` rows of the whole table. Its figures order the rules and nothing else.
     """
     rows = docs.count()
-    sample = stored(docs.select(text_of(text_col).alias("t")).sample(min(1.0, sample_rows / max(rows, 1)), seed).coalesce(2))
+    sample = stored(docs.select(text_of(text_col).alias("t")).sample(min(1.0, sample_rows / max(rows, 1)), seed).repartition(2))
     base = sample.select("t", words_of(F.col("t")).alias("w"))
 
     def timed(rejects: Column) -> tuple[float, float]:
@@ -145,7 +145,8 @@ def quality_filter(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, .
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per document: its counts, base_failed, rejected_by (first rule of the cascade) and kept.
 
-    Null text: no words, base_failed. The counts that the first two rules need are reused by the cascade.
+    Null text: no words, base_failed. The report gives the counts of the two base rules for every document, so these come
+    first whatever they cost, and the cascade orders the others.
     """
     later = [r for r, _, _ in measured(docs, rules, text_col) if r.name not in (FEW_WORDS.name, REPEATS.name)]
     t, w = F.col("t"), F.col("w")

@@ -29,13 +29,14 @@ CLASSES = (
     ("entropy_base64", r"^[A-Za-z0-9+/=_.-]+$", 3.7),
 )
 # Candidates of these forms are no secrets: words and phrases, numbers and dates, host names with a path, file names
-# of words, rules drawn with one character.
+# of words, rules drawn with one character. Each is a pattern that must fit, of the part before ``cut`` if one is named,
+# and one that must not be found (none: any). No pattern repeats a group: engines recurse once a repetition.
 ALLOW = (
-    r"^[A-Za-z]+([-_./=+][A-Za-z]+)*[-_./=+]*$",
-    r"^[0-9+/_.=-]+$",
-    r"^([A-Za-z0-9-]+\.)+[a-z]{2,}(/.*)?$",
-    r"^(/?[A-Za-z_-]+[0-9]{0,4})([/._=-][A-Za-z_-]*[0-9]{0,4})*$",
-    r"^.*([+/_.=-])\1{7,}.*$",
+    (None, r"^[A-Za-z][A-Za-z_./=+-]*$", r"[_./=+-]{2}[A-Za-z]"),
+    (None, r"^[0-9+/_.=-]+$", None),
+    ("/", r"^[A-Za-z0-9-][A-Za-z0-9.-]*[.][a-z]{2,}$", r"[.][.]"),
+    (None, r"^/?[A-Za-z_-][A-Za-z0-9/._=-]*$", r"[0-9]{5}|[0-9][A-Za-z]"),
+    (None, r"[+]{8}|/{8}|_{8}|[.]{8}|={8}|-{8}", None),
 )
 MARK, OTHER = "\ue000", "\ue001"  # private-use characters: no pattern matches them, so one may stand for the other
 SPAN = "array<struct<start:int,end:int,rank:int,kind:string>>"
@@ -66,7 +67,11 @@ def _n_log_n(n: Column) -> Column:
 
 
 def peak_entropy(s: Column) -> Column:
-    """The largest Shannon entropy, in bits, of a window of WIDTH characters of ``s``; 0 for a shorter string."""
+    """The largest Shannon entropy, in bits, of a window of WIDTH characters of ``s``; 0 for a shorter string.
+
+    Columns cannot change an array in place: the counts, one for each character a candidate may hold, are written anew
+    for every character, so a candidate costs its length times a constant of 80.
+    """
     first = ord("+")
     places = F.sequence(F.lit(0), F.lit(ord("z") - first))
 
@@ -97,8 +102,10 @@ def _class(s: Column) -> Column:
 
 def _is_secret(s: Column) -> Column:
     allowed = F.lit(False)
-    for pattern in ALLOW:
-        allowed = allowed | F.regexp_like(s, F.lit(pattern))
+    for cut, fits, without in ALLOW:
+        part = s if cut is None else F.substring_index(s, cut, 1)
+        form = F.regexp_like(part, F.lit(fits))
+        allowed = allowed | (form if without is None else form & ~F.regexp_like(part, F.lit(without)))
     limit = F.lit(99.0)
     for name, pattern, bits in reversed(CLASSES):
         limit = F.when(F.regexp_like(s, F.lit(pattern)), F.lit(bits)).otherwise(limit)

