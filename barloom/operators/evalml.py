@@ -1,7 +1,7 @@
 """Thresholds, votes, selections and models over scored trades."""
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,13 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.rmetrics import INF, VOTES, all_metrics
 from barloom.functions.scalar import col, div, hash_long
-from barloom.operators.joins import asof_join
-from barloom.operators.scan import exact_quantiles, framed, islands, prefix
-from barloom.session import cut
-
-
-def by_day(ts: Column) -> Column:
-    return F.date_trunc("day", ts)
+from barloom.operators.scan import exact_quantiles
 
 
 def evaluate_filter(df: DataFrame, by: Sequence[str], keep: Column, r: str = "r") -> DataFrame:
@@ -87,69 +81,6 @@ def ensemble_summary(df: DataFrame, taken: DataFrame, signal: Sequence[str]) ->
     return taken.agg(F.count(F.lit(1)).alias("n_taken"), *all_metrics(F.col("r"))).withColumn("n_signals", n).withColumn("take_rate", F.col("n_taken") / F.greatest(F.col("n_signals"), F.lit(1)))
 
 
-def greedy_non_overlap(df: DataFrame, keys: Sequence[str], start: str, end: str, score: str, ident: str, block: Callable[[Column], Column] = by_day, long_cluster: int = 2_000_000) -> DataFrame:
-    """One position at a time: best score per start, skipping starts inside the position just taken.
-
-    A trade that no earlier trade overlaps opens a new cluster, and the choice inside a cluster never
-    depends on another. Clusters are streamed in order, many to a task, in constant memory. A cluster longer
-    than ``long_cluster`` is resolved by pointer doubling instead, so no task ever walks it alone.
-    """
-    keys = list(keys)
-    rest = [c for c in df.columns if c not in (*keys, start)]
-    one = df.groupBy(*keys, start).agg(F.max_by(F.struct(*rest), F.struct(F.col(score), (-F.col(ident)).alias("__i"))).alias("__r")).select(*keys, start, "__r.*")
-    d = prefix(one, keys, [start], {"__reach": ("max", F.col(end))}, block(F.col(start)), exclusive=True)
-    d = cut(islands(d, keys, [start], F.col("__reach").isNull() | (F.col(start) > F.col("__reach")), block(F.col(start)), "__cluster").drop("__reach"))
-    group = [*keys, "__cluster"]
-    long = d.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > long_cluster)
-    if long.isEmpty():
-        return _walk_clusters(d, group, start, end).drop("__cluster")
-    short = _walk_clusters(d.join(long, group, "left_anti"), group, start, end)
-    return short.unionByName(_chase_pointers(d.join(long, group, "left_semi"), group, start, end, ident, block)).drop("__cluster")
-
-
-def _walk_clusters(d: DataFrame, group: Sequence[str], start: str, end: str) -> DataFrame:
-    """Ordered pass over whole clusters; only the current cluster and its last exit are remembered."""
-    columns = list(d.columns)
-
-    def walk(batches):
-        current, until = None, None
-        for pdf in batches:
-            marks = list(zip(*[pdf[g] for g in group]))
-            taken = []
-            for mark, s, e in zip(marks, pdf[start], pdf[end]):
-                free = mark != current or s > until
-                if free:
-                    current, until = mark, e
-                taken.append(free)
-            yield pdf[taken][columns]
-
-    placed = d.repartition(*group).sortWithinPartitions(*group, start)
-    return placed.mapInPandas(walk, d.schema)
-
-
-def _chase_pointers(d: DataFrame, group: Sequence[str], start: str, end: str, ident: str, block: Callable[[Column], Column]) -> DataFrame:
-    """The same selection by pointer doubling: each trade points at the first one after its exit."""
-    nodes = framed(d.select(*group, start, end, ident), group, [start], lambda x, w: x.withColumn("__next", F.lead(ident).over(w)), after=1, block=block(F.col(start)))
-    right = nodes.select(*group, F.col(start).alias("__at"), "__next")
-    jump = asof_join(d.select(*group, end, ident), right, group, end, "__at", ["__next"], block=block).select(*group, ident, F.col("__next").alias("__to")).where(F.col("__to").isNotNull())
-    levels = [cut(jump)]
-    while not levels[-1].isEmpty():
-        a = levels[-1]
-        b = a.select(*group, F.col(ident).alias("__to"), F.col("__to").alias("__to2"))
-        levels.append(cut(a.join(b, [*group, "__to"]).select(*group, ident, F.col("__to2").alias("__to"))))
-    taken = d.groupBy(*group).agg(F.min_by(ident, start).alias(ident))
-    for level in reversed(levels):
-        taken = cut(taken.unionByName(taken.join(level, [*group, ident]).select(*group, F.col("__to").alias(ident))))
-    return d.join(taken, [*group, ident], "left_semi")
-
-
-def threshold_sweep_selection(df: DataFrame, keys: Sequence[str], thresholds: Sequence[float], start: str, end: str, ident: str, block: Callable[[Column], Column] = by_day) -> DataFrame:
-    """Non-overlapping selection at each threshold (strictly above): count and points."""
-    d = df.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))).where(F.col("pred") > F.col("threshold"))
-    sel = greedy_non_overlap(d, [*keys, "threshold"], start, end, "pred", ident, block)
-    return sel.groupBy(*keys, "threshold").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("total_r"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate"))
-
-
 def verdict(filtered: Column, baseline: Column, n: Column) -> Column:
     """PASS when the filtered Sortino is positive and beats all trades, MARGINAL when only positive."""
     return F.when((n == 0) | (filtered <= 0), "FAIL").when(filtered > baseline, "PASS").otherwise("MARGINAL")

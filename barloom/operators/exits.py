@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from barloom.functions.scalar import round_to_tick
 from barloom.operators.bars import SYM
 from barloom.operators.joins import asof_join, interval_join, ordinal_join
-from barloom.operators.scan import ROWS_BEFORE, ROWS_TO_HERE
+from barloom.operators.scan import ROWS_TO_HERE
 from barloom.operators.tiers import tiers
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import rmetrics as R
 from barloom.operators import evalml as E
+from barloom.operators import positions as PO
 from barloom.operators import mlset as M
 from barloom.operators.joins import asof_join
 from barloom.plans.bindings import bars, r_trades, table, trades
@@ -231,12 +232,22 @@ def positions(spark, sf):
 @query("greedy_non_overlap", "symbol trade_id:i entry_ts exit_ts", """WITH RECURSIVE p AS (SELECT symbol, trade_id, entry_ts, exit_ts FROM trades), g AS (SELECT symbol, arg_min(trade_id, entry_ts) AS trade_id, min(entry_ts) AS entry_ts, arg_min(exit_ts, entry_ts) AS exit_ts FROM p GROUP BY 1
     UNION ALL SELECT n.symbol, n.trade_id, n.entry_ts, n.exit_ts FROM (SELECT p.*, row_number() OVER (PARTITION BY p.symbol ORDER BY p.entry_ts) AS rn FROM g JOIN p ON p.symbol = g.symbol AND p.entry_ts > g.exit_ts) n WHERE rn = 1) SELECT * FROM g""")
 def _(spark, sf):
-    return E.greedy_non_overlap(positions(spark, sf), ["symbol"], "entry_ts", "exit_ts", "pred", "trade_id")
+    return PO.greedy_non_overlap(positions(spark, sf), ["symbol"], "entry_ts", "exit_ts", "pred", "trade_id")
 
 
-@query("threshold_sweep_selection", "symbol threshold:r n:i total_r:r win_rate:r")
+# Each threshold's chain, step by step: from an exit to the first later start whose best score is above the threshold.
+_CHAIN = "SELECT {0}, o.entry_ts, o.exit_ts, o.r, o.high FROM {1} JOIN one o ON o.symbol = {2}.symbol AND o.entry_ts = (SELECT min(x.entry_ts) FROM one x WHERE x.symbol = {2}.symbol AND x.pred > {2}.threshold{3})"
+
+
+@query("threshold_sweep_selection", "symbol threshold:r n:i total_r:r win_rate:r usable:b tpd:r n_high:i", f"""WITH RECURSIVE p AS (SELECT symbol, trade_id, entry_ts, exit_ts, trade_id * 37 % 101 / 100.0::DOUBLE AS pred, (exit_price - entry_price) * direction AS r, (trade_id * 53 % 97 / 97.0::DOUBLE > 0.5)::INT AS high FROM trades),
+    one AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY symbol, entry_ts ORDER BY pred DESC, trade_id) = 1),
+    t AS (SELECT DISTINCT symbol, k / 40.0::DOUBLE AS threshold FROM p, range(0, 40) q(k)),
+    g AS ({_CHAIN.format("t.symbol, t.threshold", "t", "t", "")} UNION ALL {_CHAIN.format("g.symbol, g.threshold", "g", "g", " AND x.entry_ts > g.exit_ts")})
+    SELECT g.symbol, threshold, count(*) AS n, sum(r) AS total_r, avg((r > 0)::INT) AS win_rate, count(*) >= 5 AS usable, CASE WHEN count(*) >= 5 THEN greatest(0.1::DOUBLE, count(*) / any_value(days)) ELSE 0 END AS tpd, sum(high) AS n_high
+    FROM g JOIN (SELECT symbol, count(DISTINCT CAST(entry_ts AS DATE)) AS days FROM p GROUP BY 1) d USING (symbol) GROUP BY 1, 2""")
 def _(spark, sf):
-    return E.threshold_sweep_selection(positions(spark, sf), ["symbol"], [k / 40.0 for k in range(40)], "entry_ts", "exit_ts", "trade_id")
+    d = positions(spark, sf).withColumn("p_high", F.col("trade_id") * 53 % 97 / 97.0)
+    return PO.threshold_sweep_selection(d, ["symbol"], [k / 40.0 for k in range(40)], "entry_ts", "exit_ts", "trade_id", p_high="p_high")
 
 
 # --- models ------------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from barloom.functions import trade as T
 from barloom.operators import evalml as E
 from barloom.operators import exits as X
 from barloom.operators import perf as P
+from barloom.operators import positions as PO
 from barloom.operators.ledger import session_pnl_gate
 from barloom.operators.perf import on_calendar
 from tests.fixtures import t
@@ -72,13 +73,37 @@ def brute_greedy(rows):
     return sorted(taken)
 
 
-@pytest.mark.parametrize("limit", [2_000_000, 3])
-def test_greedy_selection_matches_brute_force(spark, limit):
+def test_greedy_selection_matches_brute_force(spark):
     rng = np.random.default_rng(5)
     rows = [(i, int(s), int(s + rng.integers(0, 12)), float(rng.random())) for i, s in enumerate(rng.integers(0, 300, 200))]
     df = spark.createDataFrame(rows, "id long, s long, e long, score double").withColumn("k", F.lit("x"))
-    got = E.greedy_non_overlap(df, ["k"], "s", "e", "score", "id", lambda c: F.floor(c / 50), long_cluster=limit)
-    assert sorted(r.id for r in got.collect()) == brute_greedy(rows)
+    got = PO.greedy_non_overlap(df, ["k"], "s", "e", "score", "id")
+    assert got.columns == ["k", "s", "id", "e", "score"] and sorted(r.id for r in got.collect()) == brute_greedy(rows)
+
+
+def test_selection_over_many_blocks_and_thresholds(spark):
+    """One chain over several blocks of a hot key, whatever the threshold: no trade depends on where a block ends."""
+    rng = np.random.default_rng(6)
+    start = rng.integers(0, 12_000, 15_000)
+    rows = [("hot", i, int(s), int(s + rng.choice([0, 1, 3, 40, 3000], p=[0.3, 0.3, 0.2, 0.199, 0.001])), float(rng.random()), float(rng.normal())) for i, s in enumerate(start)]
+    rows += [("few", 99_000 + i, 10 * i, 10 * i + 25, 0.5, 1.0) for i in range(9)]
+    df = spark.createDataFrame(rows, "k string, id long, s long, e long, pred double, r double").repartition(3)
+    assert df.select("k", "s").distinct().count() > 2 * PO.BLOCK
+    levels = [0.0, 0.4, 0.9, 0.999]
+    got = {(r.k, r.threshold): r for r in PO.threshold_sweep_selection(df, ["k"], levels, "s", "e", "id", p_high="pred", n_days=50).collect()}
+    for k in ("hot", "few"):
+        own = [x[1:] for x in rows if x[0] == k]
+        r_of = {x[0]: x[4] for x in own}
+        for level in levels:
+            ids = brute_greedy([x for x in own if x[3] > level])
+            r = got.get((k, level))
+            if not ids:
+                assert r is None
+                continue
+            assert (r.n, r.usable, r.n_high) == (len(ids), len(ids) >= 5, sum(1 for x in own if x[0] in set(ids) and x[3] > 0.5))
+            assert (r.total_r, r.win_rate) == pytest.approx((sum(r_of[i] for i in ids), sum(r_of[i] > 0 for i in ids) / len(ids)))
+            assert r.tpd == (max(0.1, len(ids) / 50) if len(ids) >= 5 else 0.0)
+    assert sorted(r.id for r in PO.greedy_non_overlap(df, ["k"], "s", "e", "pred", "id").where("k = 'hot'").collect()) == brute_greedy([x[1:] for x in rows if x[0] == "hot"])
 
 
 def test_search_threshold_prefers_profitable_tail(spark):
