@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.scan import day_of, prefix
+from barloom.operators.scan import prefix
 
 
 def asof_join(
@@ -149,15 +149,58 @@ def default_lookup(rows: DataFrame, daily: DataFrame, on: Sequence[str], default
     return d.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 
-def level_match(prices: DataFrame, levels: DataFrame, keys: Sequence[str], price: str, level: str, tol: float, residual: Column, pick: Column, payload: Sequence[str], ident: Sequence[str]) -> DataFrame:
-    """First level (by ``pick``) within ``tol`` of each price, by an equi join on price buckets.
+NODE, TALL = 16, 6  # time nodes hold so many nodes of the tier below; tiers of nodes over hours (16 ** 6 hours: 1,900 years)
 
-    A price reaches its own bucket and both neighbours of width ``tol``; the aggregation keeps one match
-    per price and combines before it shuffles.
+
+def life_nodes(start: Column, end: Column) -> Column:
+    """The fewest time nodes, as (tier, node), that cover the hours from ``start`` to ``end`` (NULL: for ever)."""
+    hour = lambda t: F.floor(F.unix_micros(t.cast("timestamp")) / 3_600_000_000)
+    lo, hi = hour(start), F.coalesce(hour(end) + 1, F.lit(NODE ** TALL).cast("long"))
+    edges = [(F.ceil(lo / NODE**k), F.floor(hi / NODE**k)) for k in range(TALL)]
+    span = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+    parts = []
+    for k, (a, b) in enumerate(edges):
+        own = span(a, b)
+        if k + 1 < TALL:
+            # What whole nodes of the tier above cover is theirs.
+            up_a, up_b = edges[k + 1]
+            own = F.when(up_a < up_b, F.concat(span(a, up_a * NODE), span(up_b * NODE, b))).otherwise(own)
+        parts.append(_tiered(own, k))
+    return F.concat(*parts)
+
+
+def _tiered(nodes: Column, k: int) -> Column:
+    return F.transform(nodes, lambda n: F.struct(F.lit(k).alias("tier"), n.alias("node")))
+
+
+def nodes_at(t: Column) -> Column:
+    """The time node of each tier that holds ``t``."""
+    hour = F.floor(F.unix_micros(t.cast("timestamp")) / 3_600_000_000)
+    return F.array(*[F.struct(F.lit(k).alias("tier"), F.floor(hour / NODE**k).alias("node")) for k in range(TALL)])
+
+
+def live_levels(prices: DataFrame, levels: DataFrame, keys: Sequence[str], price: str, level: str, tol: float, at: str, start: str, end: str | None) -> DataFrame:
+    """Pairs of prices with the levels within ``tol`` that live at that time (after ``start``, not after ``end``), up to an hour at either end.
+
+    A level is listed under the time nodes that cover its life, for its own price bucket of width ``tol`` and both
+    neighbours; a price under one node a tier. So a pair meets once, and only while the level lives.
+    """
+    bucket = lambda c: F.floor(F.col(c) / tol).cast("long")
+    life = life_nodes(F.col(start), F.lit(None).cast("timestamp") if end is None else F.col(end))
+    l = levels.withColumn("__n", F.explode(life)).withColumn("__b", F.explode(F.array(bucket(level) - 1, bucket(level), bucket(level) + 1)))
+    p = prices.withColumn("__n", F.explode(nodes_at(F.col(at)))).withColumn("__b", bucket(price))
+    return p.join(l, [*keys, "__b", "__n"]).drop("__b", "__n")
+
+
+def level_match(prices: DataFrame, levels: DataFrame, keys: Sequence[str], price: str, level: str, tol: float, at: str, start: str, pick: Column, payload: Sequence[str], ident: Sequence[str], end: str | None = None, on_end: bool = True) -> DataFrame:
+    """First level (by ``pick``) within ``tol`` of each price that began before it and has not ended, by an index over price and life.
+
+    ``end`` NULL, or no such column: the level lives on; ``on_end``: it still counts at its end. The aggregation keeps one match per price and combines before it
+    shuffles.
     """
-    bucket = F.floor(F.col(price) / tol).cast("long")
-    p = prices.withColumn("__b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    l = levels.withColumn("__b", F.floor(F.col(level) / tol).cast("long"))
-    hit = p.join(l, [*keys, "__b"]).where((F.abs(F.col(level) - F.col(price)) <= tol) & residual)
+    alive = F.col(start) < F.col(at)
+    if end is not None:
+        alive = alive & (F.col(end).isNull() | (F.col(at) <= F.col(end) if on_end else F.col(at) < F.col(end)))
+    hit = live_levels(prices, levels, keys, price, level, tol, at, start, end).where((F.abs(F.col(level) - F.col(price)) <= tol) & alive)
     best = hit.groupBy(*ident).agg(F.min_by(F.struct(*payload), pick).alias("__m"))
     return prices.join(best, list(ident), "left").select(*prices.columns, *[F.col(f"__m.{c}").alias(c) for c in payload])

@@ -187,7 +187,17 @@ def _(spark, sf):
     b = stored_bars(spark, sf)
     s = P.swings(b, 3).select("symbol", F.when(F.col("kind") == "H", -1).otherwise(1).alias("direction"), "kind", "ts", "price")
     z = P.fvg_zones(b).select("symbol", F.col("direction").cast("int").alias("direction"), F.col("ts").alias("zone_ts"), F.col("near").alias("level"))
-    return level_match(s, z, [*SYM, "direction"], "price", "level", 0.5, F.col("zone_ts") < F.col("ts"), F.col("zone_ts"), ["zone_ts", "level"], ["symbol", "ts", "kind"])
+    return level_match(s, z, [*SYM, "direction"], "price", "level", 0.5, "ts", "zone_ts", F.col("zone_ts"), ["zone_ts", "level"], ["symbol", "ts", "kind"])
+
+
+@query("level_zone_live", "symbol ts kind:s price:r zone_ts level:r", """SELECT s.symbol, s.ts, s.kind, s.price, z.ts AS zone_ts, z.near AS level FROM swings s LEFT JOIN LATERAL (
+    SELECT f.ts, f.near FROM fvg_life f WHERE f.kind = 'FVG' AND f.symbol = s.symbol AND abs(f.near - s.price) <= 0.5 AND f.ts < s.ts AND (f.ended_ts IS NULL OR s.ts <= f.ended_ts) AND f.direction = CASE WHEN s.kind = 'H' THEN -1 ELSE 1 END ORDER BY f.ts DESC LIMIT 1) z ON true""")
+def _(spark, sf):
+    """The latest gap still alive at each swing's price."""
+    b = stored_bars(spark, sf)
+    s = P.swings(b, 3).select("symbol", F.when(F.col("kind") == "H", -1).otherwise(1).alias("direction"), "kind", "ts", "price")
+    z = P.zone_lifecycle(P.fvg_zones(b), b).where("kind = 'FVG'").select("symbol", F.col("direction").cast("int").alias("direction"), F.col("ts").alias("zone_ts"), F.col("near").alias("level"), "ended_ts")
+    return level_match(s, z, [*SYM, "direction"], "price", "level", 0.5, "ts", "zone_ts", -F.unix_micros(F.col("zone_ts").cast("timestamp")), ["zone_ts", "level"], ["symbol", "ts", "kind"], "ended_ts")
 
 
 @query("confluence_targets", "symbol ts target:r confluent:b", """WITH a AS (SELECT *, abs(entry - sl) AS risk, CASE WHEN direction = 1 THEN zone_top - extreme ELSE extreme - zone_bot END AS rng, CASE WHEN direction = 1 THEN zone_top ELSE zone_bot END AS base FROM afz2),

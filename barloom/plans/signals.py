@@ -470,9 +470,10 @@ def validated_levels(bars: DataFrame, n: int = 3, depth: int = 2, gap: int = 40,
     lv = legs.select("symbol", "leg_ts", "leg", F.inline(fib_levels(F.least("price", "o_price"), F.greatest("price", "o_price"), "direction")))
     lv = cut(dedup_levels(lv, ["symbol", "leg_ts"], "price", [F.col("type"), F.col("value")]))
     live = P.zone_lifecycle(P.fvg_zones(bars).unionByName(P.order_block_zones(bars)), bars)
-    z = live.select("symbol", F.col("ts").alias("z_ts"), F.col("direction").alias("z_dir"), "kind", "ended_ts", F.explode(F.array("near", (F.col("near") + F.col("far")) / 2, "far")).alias("z_level"))
-    alive = (F.col("z_ts") < F.col("leg_ts")) & (F.col("ended_ts").isNull() | (F.col("ended_ts") > F.col("leg_ts"))) & (F.col("z_dir") == F.col("direction"))
-    m = level_match(lv, z, SYM, "price", "z_level", tol, alive, F.struct("z_ts", "kind", "z_level"), ["kind", "z_ts", "z_level"], ["symbol", "leg_ts", "type", "value"])
+    way = F.col("direction").cast("int").alias("direction")
+    z = live.select("symbol", way, F.col("ts").alias("z_ts"), "kind", "ended_ts", F.explode(F.array("near", (F.col("near") + F.col("far")) / 2, "far")).alias("z_level"))
+    lv = lv.withColumn("direction", way)
+    m = level_match(lv, z, [*SYM, "direction"], "price", "z_level", tol, "leg_ts", "z_ts", F.struct("z_ts", "kind", "z_level"), ["kind", "z_ts", "z_level"], ["symbol", "leg_ts", "type", "value"], "ended_ts", on_end=False)
     return top_n_per_group(m.where("kind is not null"), ["symbol", "leg_ts", "type"], [F.desc("leg"), F.col("value")], per_type)
 
 
