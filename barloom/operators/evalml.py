@@ -1,7 +1,9 @@
 """Thresholds, votes, selections and models over scored trades."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +11,9 @@ from pyspark.sql import functions as F
 
 from barloom.functions.rmetrics import INF, VOTES, all_metrics
 from barloom.functions.scalar import col, div, hash_long
+from barloom.functions.trade import loss_penalty
 from barloom.operators.scan import exact_quantiles
+from barloom.session import cut
 
 
 def evaluate_filter(df: DataFrame, by: Sequence[str], keep: Column, r: str = "r") -> DataFrame:
@@ -108,8 +112,17 @@ def fit_regressor(df: DataFrame, features: Sequence[str], label: str = "r", weig
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), gbt]).fit(df)
 
 
-def fit_win_probability(df: DataFrame, features: Sequence[str], label: str, folds: int = 3, ident: str = "trade_id", trees: int = 100, depth: int = 4, rate: float = 0.05, seed: int = 42):
-    """Class-weighted boosted classifier and an isotonic map fitted on out-of-fold scores."""
+TOGETHER = 4  # models that are fitted at the same time, as jobs of their own
+
+
+def side_by_side(work: Sequence[Callable]) -> list:
+    """Results of a handful of fits that do not depend on one another; each is a series of small distributed jobs."""
+    with ThreadPool(TOGETHER) as pool:
+        return pool.map(lambda f: f(), list(work))
+
+
+def fit_win_probability(df: DataFrame, features: Sequence[str], label: str, folds: int = 3, ident: str = "trade_id", trees: int = 300, depth: int = 4, rate: float = 0.05, seed: int = 42, weight: str | None = None):
+    """Class-weighted boosted classifier and an isotonic map fitted on out-of-fold scores; ``weight``: a column of row weights."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -117,19 +130,19 @@ def fit_win_probability(df: DataFrame, features: Sequence[str], label: str, fold
     from pyspark.ml.regression import IsotonicRegression
 
     share = df.agg(F.avg(F.col(label).cast("double"))).scalar()
-    d = df.withColumn("__w", F.when(F.col(label) == 1, 0.5 / F.nullif(share, F.lit(0.0))).otherwise(0.5 / F.nullif(1 - share, F.lit(0.0)))).withColumn("__fold", hash_long(F.lit(seed), F.col(ident)) % folds)
+    balance = F.when(F.col(label) == 1, 0.5 / F.nullif(share, F.lit(0.0))).otherwise(0.5 / F.nullif(1 - share, F.lit(0.0)))
+    d = cut(df.withColumn("__w", balance * (F.lit(1.0) if weight is None else F.col(weight))).withColumn("__fold", hash_long(F.lit(seed), F.col(ident)) % folds))
 
     def fit(part):
         gbt = GBTClassifier(featuresCol="features", labelCol=label, weightCol="__w", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed)
         return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), gbt]).fit(part)
 
+    *parts, whole = side_by_side([*(lambda k=k: fit(d.where(F.col("__fold") != k)) for k in range(folds)), lambda: fit(d)])
     held_out = None
-    for k in range(folds):
-        m = fit(d.where(F.col("__fold") != k))
+    for k, m in enumerate(parts):
         p = m.transform(d.where(F.col("__fold") == k)).select(vector_to_array("probability")[1].alias("score"), F.col(label).cast("double").alias("label"), F.col("__w").alias("w"))
         held_out = p if held_out is None else held_out.unionByName(p)
-    calibration = IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="p_win").fit(held_out)
-    return fit(d), calibration
+    return whole, IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="p_win").fit(held_out)
 
 
 def win_probability(model, calibration, df: DataFrame) -> DataFrame:
@@ -181,21 +194,46 @@ def top_features(importances: DataFrame, n: int = 10) -> DataFrame:
     return importances.orderBy(F.desc("importance"), "feature").limit(n)
 
 
-def walk_forward_fit(df: DataFrame, folds: list, features: Sequence[str], date: str, metric: str = "sortino", min_train: int = 50, min_test: int = 10, **gbt) -> DataFrame:
-    """Train per fold, search the threshold on the training rows, report the out-of-sample rows.
+@dataclass(frozen=True)
+class WalkForward:
+    """report: a row a fold, skipped ones included; pooled: the scored rows of all test windows; model and threshold of the last fit, None without a fold."""
+
+    report: DataFrame
+    pooled: DataFrame | None
+    model: object | None
+    threshold: float | None
+
+
+def walk_forward_fit(df: DataFrame, folds: Sequence[dict], features: Sequence[str], date: str, metric: str = "sortino", min_train: int = 50, min_test: int = 10, weight: str | None = None, penalty: float | None = None, r: str = "r", **gbt) -> WalkForward:
+    """Train per fold, search the threshold on the training rows, report the out-of-sample rows; fit once more on all rows.
 
-    The loop runs over the handful of folds; each fit and each scoring is a distributed job.
+    ``penalty`` weighs losses of the target so many times; thresholds and reports always take the real ``r``. A fold with
+    fewer than ``min_train`` or ``min_test`` rows is reported as skipped. Folds are a handful; they are fitted side by side,
+    each fit and scoring a distributed job.
     """
-    out = None
-    for f in folds:
-        train = df.where(F.col(date).between(F.lit(f["train_start"]), F.lit(f["train_end"])))
-        test = df.where(F.col(date).between(F.lit(f["test_start"]), F.lit(f["test_end"])))
-        sizes = df.agg(F.sum(F.when(F.col(date).between(F.lit(f["train_start"]), F.lit(f["train_end"])), 1).otherwise(0)), F.sum(F.when(F.col(date).between(F.lit(f["test_start"]), F.lit(f["test_end"])), 1).otherwise(0))).first()
-        if (sizes[0] or 0) < min_train or (sizes[1] or 0) < min_test:
-            continue
-        model = fit_regressor(train, features, **gbt)
-        t = search_threshold(model.transform(train), [], metric).first()
-        thr = float(t["threshold"]) if t else 0.0
-        res = evaluate_filter(model.transform(test), [], F.col("pred") >= thr).withColumns({"fold": F.lit(f["fold"]), "threshold": F.lit(thr)})
-        out = res if out is None else out.unionByName(res)
-    return out
+    label = "__target" if penalty is not None else r
+    d = cut(df.withColumn("__target", loss_penalty(r, penalty)) if penalty is not None else df)
+    inside = lambda f, w: F.col(date).between(F.lit(f[f"{w}_start"]), F.lit(f[f"{w}_end"]))
+    sizes = d.agg(F.lit(0), *[F.count(F.when(inside(f, w), 1)) for f in folds for w in ("train", "test")]).first()[1:]
+    sizes = list(zip(sizes[::2], sizes[1::2]))
+
+    def fitted(rows: DataFrame) -> tuple[object, float]:
+        model = fit_regressor(rows, features, label, weight, **gbt)
+        best = search_threshold(model.transform(rows), [], metric).first()
+        return model, float(best["threshold"]) if best else 0.0
+
+    used = [f for f, (n, m) in zip(folds, sizes) if n >= min_train and m >= min_test]
+    work = [lambda f=f: fitted(d.where(inside(f, "train"))) for f in used]
+    *models, last = side_by_side([*work, lambda: fitted(d)]) if used else [None]
+    keys = d.sparkSession.createDataFrame(
+        [(int(f["fold"]), "fitted" if f in used else "skipped", int(n), int(m)) for f, (n, m) in zip(folds, sizes)], "fold int, status string, n_train long, n_test long")
+    results = pooled = None
+    for f, (model, threshold) in zip(used, models):
+        mark = {"fold": F.lit(int(f["fold"])), "threshold": F.lit(threshold)}
+        scored = model.transform(d.where(inside(f, "test"))).drop("features").withColumns(mark)
+        res = evaluate_filter(scored, [], F.col("pred") >= threshold, r).withColumns(mark)
+        results = res if results is None else results.unionByName(res)
+        pooled = scored if pooled is None else pooled.unionByName(scored)
+    if results is None:
+        results = evaluate_filter(d.limit(0), [], F.lit(True), r).withColumns({"fold": F.lit(None).cast("int"), "threshold": F.lit(None).cast("double")})
+    return WalkForward(keys.join(results, "fold", "left"), pooled, *(last or (None, None)))

@@ -264,8 +264,6 @@ def model_rows(spark, sf):
         F.month("o_orderdate").cast("double").alias("month"), ((F.col("o_totalprice") - 250000.0) / 100000.0 + (F.col("o_orderkey") % 7) / 10.0).alias("r")).withColumn("win", (F.col("r") > 0).cast("int"))
 
 
-# The classifier's and the folds' queries fit 8 and more models; they keep few trees, as the README says.
-FEW = {"trees": 3, "depth": 3}
 _fitted: dict[tuple, object] = {}
 
 
@@ -286,14 +284,14 @@ def _(spark, sf):
 @query("fit_win_probability", "trade_id:i p_win:r")
 def _(spark, sf):
     d = model_rows(spark, sf)
-    model, calibration = E.fit_win_probability(d, FEATURES, "win", folds=3, **FEW)
+    model, calibration = E.fit_win_probability(d, FEATURES, "win", folds=3)
     return E.win_probability(model, calibration, d)
 
 
 @query("ensemble_score", "trade_id:i pred:r p_win:r score:r")
 def _(spark, sf):
     d = model_rows(spark, sf)
-    model, calibration = E.fit_win_probability(d, FEATURES, "win", folds=3, **FEW)
+    model, calibration = E.fit_win_probability(d, FEATURES, "win", folds=3)
     reg = regressor(spark, sf)
     both = E.win_probability(model, calibration, reg.transform(d).drop("features"))
     return both.withColumn("score", F.col("pred") * F.col("p_win"))
@@ -323,10 +321,10 @@ def _(spark, sf):
     return E.feature_share(E.feature_importance(regressor(spark, sf), names, spark))
 
 
-@query("walk_forward_fit", "fold:i threshold:r n_all:i n_taken:i taken_sortino:r all_sortino:r")
+@query("walk_forward_fit", "fold:i status:s n_train:i n_test:i threshold:r n_all:i n_taken:i taken_sortino:r all_sortino:r")
 def _(spark, sf):
     d = model_rows(spark, sf)
     folds = [f.asDict() for f in M.walk_forward_folds(d, "date", 36, 12, 1).orderBy("fold").collect()]  # a few rows
-    return E.walk_forward_fit(d, folds, FEATURES, "date", **FEW)
+    return E.walk_forward_fit(d, folds, FEATURES, "date").report
 
 
