@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from barloom.functions.scalar import div, hash_long, minute_of_day
 from barloom.operators.bars import session_tag
 from barloom.operators.clean import keep_first
+from barloom.operators.scan import with_ordinal
 
 
 def except_configs(new: DataFrame, stored: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -72,16 +73,25 @@ def record_digest(columns: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*columns)), 256)
 
 
-def ordered_digest(records: DataFrame, by: Sequence[str], digest: str, order: str) -> DataFrame:
-    """SHA-256 over a group's record digests in order, for groups (runs) whose trades fit one buffer."""
-    g = records.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(order, digest))).alias("__l"))
-    return g.select(*by, "n", F.sha2(F.concat_ws("", F.transform("__l", lambda x: x[digest])), 256).alias("digest"))
+RANGE = 4096  # records whose digests are digested together
+
+
+def ordered_digest(records: DataFrame, by: Sequence[str], digest: str, order: str, block: Column | None = None, size: int = RANGE) -> DataFrame:
+    """SHA-256 over the SHA-256 of each ``size`` record digests of a group in order; no buffer holds a group's records.
+
+    ``block``: monotone in ``order``, with a bounded number of records each (by default 65,536 consecutive numbers).
+    """
+    d = records.select(*by, order, F.col(digest).alias("__h"))
+    d = with_ordinal(d, list(by), [order], F.floor(F.col(order) / 65536) if block is None else block, "__k")
+    joined = lambda at: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, "__h"))), lambda x: x["__h"]), ""), 256)
+    ranges = d.groupBy(*by, F.floor((F.col("__k") - 1) / size).alias("__r")).agg(F.count(F.lit(1)).alias("n"), joined("__k").alias("__h"))
+    return ranges.groupBy(*by).agg(F.sum("n").alias("n"), joined("__r").alias("digest"))
 
 
 def fingerprint(trades: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Order-free fingerprint of a trade set: count and combined record hashes per group."""
-    h = F.xxhash64(F.to_json(F.struct(*columns)))
-    return trades.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("xor_hash"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("sum_hash"))
+    """Order-free fingerprint of a trade set: count and combined record hashes (parts of their MD5) per group."""
+    bits = lambda first, n: F.conv(F.substring(F.md5(F.to_json(F.struct(*columns))), first, n), 16, 10).cast("bigint")
+    return trades.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(bits(1, 12)).alias("xor_hash"), F.sum(bits(13, 8)).alias("sum_hash"))
 
 
 def first_difference(a: DataFrame, b: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -243,13 +243,18 @@ def _(spark, sf):
     return U.dedup_levels(lv, ["symbol"], "price", ["ts"])
 
 
-@query("trade_set_fingerprint", "run_id:i n:i digest:s", """SELECT run_id, count(*) AS n, sha256(string_agg(sha256('{"trade_id":' || trade_id || ',"direction":' || direction || ',"exit_reason":"' || exit_reason || '"}'), '' ORDER BY trade_id)) AS digest FROM trades GROUP BY 1""")
+RECORD = """'{"trade_id":' || trade_id || ',"direction":' || direction || ',"exit_reason":"' || exit_reason || '"}'"""
+
+
+@query("trade_set_fingerprint", "run_id:i n:i digest:s", f"""WITH d AS (SELECT run_id, trade_id, sha256({RECORD}) AS h, (row_number() OVER (PARTITION BY run_id ORDER BY trade_id) - 1) // {U.RANGE} AS k FROM trades),
+    r AS (SELECT run_id, k, count(*) AS n, sha256(string_agg(h, '' ORDER BY trade_id)) AS h FROM d GROUP BY 1, 2)
+    SELECT run_id, sum(n) AS n, sha256(string_agg(h, '' ORDER BY k)) AS digest FROM r GROUP BY 1""")
 def _(spark, sf):
     t = trades(spark, sf).withColumn("h", U.record_digest(["trade_id", "direction", "exit_reason"]))
     return U.ordered_digest(t, ["run_id"], "h", "trade_id")
 
 
-@query("fingerprint_unordered", "run_id:i n:i xor_hash:i sum_hash:i")
+@query("fingerprint_unordered", "run_id:i n:i xor_hash:i sum_hash:i", f"SELECT run_id, count(*) AS n, bit_xor(('0x' || substr(md5({RECORD}), 1, 12))::BIGINT) AS xor_hash, sum(('0x' || substr(md5({RECORD}), 13, 8))::BIGINT) AS sum_hash FROM trades GROUP BY 1")
 def _(spark, sf):
     return U.fingerprint(trades(spark, sf), ["run_id"], ["trade_id", "direction", "exit_reason"])
 
