@@ -5,10 +5,13 @@ from pyspark.sql import functions as F
 
 from barloom.functions import rmetrics as R
 from barloom.operators import evalml as E
-from barloom.operators import positions as PO
+from barloom.operators import indicators as I
 from barloom.operators import mlset as M
+from barloom.operators import patterns as P
+from barloom.operators import positions as PO
+from barloom.operators.audit import lookahead_audit
 from barloom.operators.joins import asof_join
-from barloom.plans.bindings import bars, r_trades, table, trades
+from barloom.plans.bindings import bars, r_trades, stored_bars, table, ticks, trades
 from barloom.plans.registry import cte, query
 from barloom.session import cut
 
@@ -161,6 +164,21 @@ def _(spark, sf):
     return d.agg(F.count(F.lit(1)).alias("n"), F.sum((seen > F.col("entry_ts")).cast("int")).alias("late"), F.sum(F.col("c_ts").isNull().cast("int")).alias("missing"))
 
 
+AUDITED = {
+    "sma_cross": lambda b: I.sma_cross(b, 5, 20), "bollinger": I.bollinger, "awesome_oscillator": I.awesome_oscillator, "donchian": lambda b: I.donchian(b, 20),
+    "rsi": I.rsi, "ema": lambda b: I.ema(b, 10), "heikin_ashi": I.heikin_ashi, "atr": I.atr, "candle_shape": P.candle_shape,
+}
+_UNTIL = "(SELECT time_bucket(INTERVAL 30 MINUTE, min(ts) + (max(ts) - min(ts)) / 2) FROM events)"
+
+
+@query("lookahead_audit_features", "feature:s n:i changed:i", "SELECT f AS feature, count(*) AS n, 0 AS changed FROM bars, (VALUES " + ", ".join(f"('{f}')" for f in AUDITED) + f") v(f) WHERE ts <= {_UNTIL} GROUP BY 1")
+def _(spark, sf):
+    """Every indicator on all bars and on the first half of them: no row of the first half may change."""
+    lo, hi = ticks(spark, sf).agg(F.min("ts"), F.max("ts")).first()
+    mid = lo + (hi - lo) / 2
+    return lookahead_audit(stored_bars(spark, sf), AUDITED, mid.replace(minute=mid.minute // 30 * 30, second=0, microsecond=0))
+
+
 # --- evaluation --------------------------------------------------------------------------------------
 
 @query("r_metrics", "config_idx:i " + MET, f"SELECT config_idx, {metrics_sql('r')} FROM r_trades GROUP BY 1")
