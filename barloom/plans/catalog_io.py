@@ -31,11 +31,7 @@ def _(spark, sf):
     b = bars(spark, sf)
     t = b.select(F.date_format("ts", "yyyy/MM/dd").alias("Date"), F.date_format("ts", "HH:mm:ss").alias(" Time"), F.col("open").alias(" Open"), F.col("high").alias(" High"), F.col("low").alias(" Low"), F.col("close").alias(" Last"), F.col("volume").alias(" Volume"), "symbol")
     t.write.partitionBy("symbol").option("header", "true").csv(path)
-    out = None
-    for s in [r[0] for r in b.select("symbol").distinct().collect()]:  # one feed per symbol
-        d = SB.read_bar_text(spark, f"{path}/symbol={s}", s)
-        out = d if out is None else out.unionByName(d)
-    return out
+    return SB.read_bar_text(spark, path)
 
 
 @query("read_daily", "symbol date:d close:r", "SELECT * FROM daily")

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Vendor column names and ours.
@@ -16,20 +16,31 @@ OPTIONAL = ("num_trades", "bid_volume", "ask_volume")
 NEW_YORK = "America/New_York"
 
 
-def read_bar_text(spark: SparkSession, path: str, symbol: str) -> DataFrame:
+def read_bar_text(spark: SparkSession, path: str | Sequence[str], symbol: str | None = None) -> DataFrame:
     """Vendor CSV as bars with New York wall-clock times; unreadable numbers become NULL.
 
-    ``ingest_id`` keeps file order for keep-first deduplication.
+    ``path`` may name files, folders or many of them, which are read at once; without ``symbol`` the feeds are told apart by
+    folders ``symbol=...``. ``ingest_id`` numbers the rows by file name and place in the file, whatever the order in which
+    Spark reads them, for keep-first deduplication.
     """
     raw = spark.read.option("header", "true").option("ignoreLeadingWhiteSpace", "true").option("ignoreTrailingWhiteSpace", "true").csv(path)
     names = {c: COLUMN_MAP[c.strip()] for c in raw.columns if c.strip() in COLUMN_MAP}
-    d = raw.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    feed = F.lit(symbol) if symbol is not None else F.col("symbol") if "symbol" in raw.columns else None
+    if feed is None:
+        raise ValueError("name the symbol, or keep each feed in a folder symbol=...")
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__row")]
+    d = raw.select(feed.cast("string").alias("symbol"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()], *place)
     missing = [c for c in ("date_raw", "time_raw", *REQUIRED) if c not in d.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; available {d.columns}")
     ts = F.to_timestamp_ntz(F.concat_ws(" ", F.trim("date_raw"), F.trim("time_raw")), F.lit("yyyy/MM/dd HH:mm:ss"))
     numbers = [F.expr(f"try_cast(trim({c}) AS double)").alias(c) for c in (*REQUIRED, *[o for o in OPTIONAL if o in d.columns])]
-    return d.select(F.lit(symbol).alias("symbol"), ts.alias("ts"), *numbers, F.monotonically_increasing_id().alias("ingest_id"))
+    split = ["__file", "__start"]
+    # A row a split of a file: its rows begin behind those of all splits before it.
+    sizes = d.groupBy(*split).agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select(*split, (F.sum("__n").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
+    d = d.join(before, split).withColumn("ingest_id", F.col("__before") + F.row_number().over(Window.partitionBy(*split).orderBy("__row")) - 1)
+    return d.select("symbol", ts.alias("ts"), *numbers, "ingest_id")
 
 
 def localize(bars: DataFrame, zone: str = NEW_YORK, keys: Sequence[str] = ("symbol",)) -> DataFrame:

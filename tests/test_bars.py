@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import bars as B
@@ -71,3 +72,26 @@ def test_localize_repeated_and_missing_hour(spark):
     df = spark.createDataFrame(rows, "ingest_id long, symbol string, ts timestamp_ntz, close double")
     got = [str(r.utc)[11:16] for r in SB.localize(df).orderBy("ingest_id").collect()]
     assert got == ["04:30", "05:30", "06:00", "06:30", "07:00"]
+
+
+def test_bar_text_of_several_files_keeps_their_order(spark, tmp_path):
+    head = "Date, Time, Open, High, Low, Last, Volume\n"
+    day = lambda k: f"2024/01/{2 + k // 300:02d}, {k // 60 % 5:02d}:{k % 60:02d}:00"
+    for symbol in ("AAA", "BBB"):
+        (tmp_path / f"symbol={symbol}").mkdir()
+        # The larger file is read first by Spark, the smaller one is the first by name; both hold the same times.
+        for name, n, price in (("a.csv", 400, 1.0), ("b.csv", 900, 2.0)):
+            (tmp_path / f"symbol={symbol}" / name).write_text(head + "".join(f"{day(k)}, {price}, {price}, {price}, {price}, {k}\n" for k in range(n)))
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        d = SB.read_bar_text(spark, str(tmp_path))
+        rows = d.orderBy("ingest_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
+    assert [r.ingest_id for r in rows] == list(range(2600))
+    assert [(r.symbol, r.open, r.volume) for r in rows] == [(s, p, float(k)) for s in ("AAA", "BBB") for n, p in ((400, 1.0), (900, 2.0)) for k in range(n)]
+    kept = C.keep_first(d, ["symbol", "ts"], ["ingest_id"]).where("open = 2.0").groupBy("symbol").count().collect()
+    assert {r.symbol: r["count"] for r in kept} == {"AAA": 500, "BBB": 500}
+    with pytest.raises(ValueError):
+        SB.read_bar_text(spark, str(tmp_path / "symbol=AAA"))
