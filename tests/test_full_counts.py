@@ -19,7 +19,7 @@ def test_regimes_are_refitted_as_often_as_the_operator_does(spark, sf, monkeypat
         bound = signature.bind(*args, **options)
         bound.apply_defaults()
         asked.append((bound.arguments["refits"], bound.arguments["iterations"]))
-        return args[0].select("symbol", "date", F.lit(1).alias("label"))
+        return args[0].select("symbol", "date", F.lit(1).alias("label"), F.lit(True).alias("in_sample"))
 
     monkeypatch.setattr(regime, "regime_labels", labels)
     for name in ("regime_labels", "vol_regime"):
