@@ -2,12 +2,13 @@
 
 A page is cut into flat blocks of text. A block is described by its words, its share of linked words, the same of its
 neighbours, and what its enclosing elements say of it; a decision tree, trained on a small labelled table of blocks,
-says which blocks belong to the article.
+says which blocks belong to the article. An element that holds the article itself says nothing, whatever its name.
 """
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from html import unescape
 
 import numpy as np
@@ -42,40 +43,66 @@ _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""",
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SILENT, _VOID, _INLINE, _OUTSIDE, _CUES = map(frozenset, (SILENT, VOID, INLINE, OUTSIDE, CUES))
+# First or last parts of names of states, first parts of names of an article's own parts.
+_STATES = frozenset("has no not with without is enabled disabled open opened closed active inactive visible hidden allowed layout".split())
+_PARTS = frozenset("entry post article content story page main".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Starting one of these ends an open one of the same kind, as the end tag may be left out.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 _BLOCK_ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
 def _cued(attributes: str) -> bool:
+    """Whether a class, id or role says that the element holds no article.
+
+    A name says so by its first or last part (``cookie-notice``, ``userComments``); names of a state (``has-sidebar``,
+    ``comment-open``) and of a part of the article (``entry-header``) don't.
+    """
     for found in _NAMED.findall(attributes):
-        if not _CUES.isdisjoint(_WORDS.findall(_CAMEL.sub(" ", found).lower())):
-            return True
+        for name in found.strip("\"'").split():
+            parts = _WORDS.findall(_CAMEL.sub(" ", name).lower())
+            if not parts or parts[0] in _STATES or parts[-1] in _STATES:
+                continue
+            if parts[-1] in ("header", "head", "title") and parts[0] in _PARTS:
+                continue
+            if parts[0] in _CUES or parts[-1] in _CUES:
+                return True
     return False
 
 
-def blocks(html: str) -> list[tuple[str, list[float]]]:
-    """The page's flat text blocks in order: (text, features). White space inside a block is one space."""
-    found: list[list] = []
+@dataclass
+class _Element:
+    tag: str
+    parent: int
+    cued: bool
+    words: int = 0
+    spans: bool = False  # the article's element is inside, or most of a page without one
+
+
+def _blocks_and_elements(html: str) -> tuple[list[tuple[str, int, int, float]], list[_Element]]:
+    """(text, element, words, linked share) of the page's flat blocks in order, and its elements, parents first."""
+    elements = [_Element("", -1, False)]
+    found: list[tuple[str, int, int, float]] = []
     text: list[str] = []
-    linked = 0
-    open_: list[tuple[str, bool, bool, bool, bool]] = []  # tag, in article, outside, cued, heading
-    silent = links = 0
+    open_ = [0]  # places in ``elements``
+    linked = silent = links = inline_p = 0
 
     def flush() -> None:
         nonlocal linked
         words = unescape("".join(text)).split()
         text.clear()
         if words:
-            _, article, outside, cued, heading = open_[-1] if open_ else ("", False, False, False, False)
-            found.append([" ".join(words), article, outside, cued, heading, len(words), min(1.0, linked / len(words))])
+            found.append((" ".join(words), open_[-1], len(words), min(1.0, linked / len(words))))
+            elements[open_[-1]].words += len(words)
         linked = 0
 
     def close(at: int) -> None:
-        nonlocal silent, links
-        for tag, *_ in open_[at:]:
+        nonlocal silent, links, inline_p
+        for k in open_[at:]:
+            tag = elements[k].tag
             silent -= tag in _SILENT
             links -= tag == "a"
+            inline_p -= tag == "p"
         del open_[at:]
 
     def say(part: str) -> None:
@@ -100,30 +127,67 @@ def blocks(html: str) -> list[tuple[str, list[float]]]:
         elif tag == "br":
             say(" ")
         if m.group("end"):
-            where = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == tag), None)
+            where = next((k for k in range(len(open_) - 1, 0, -1) if elements[open_[k]].tag == tag), None)
             if where is not None:
                 close(where)
             continue
         if tag == "body":
-            close(next((k for k, x in enumerate(open_) if x[0] == "head"), len(open_)))
+            close(next((k for k in range(1, len(open_)) if elements[open_[k]].tag == "head"), len(open_)))
         ends = _CLOSES.get(tag, ())
-        while open_ and (open_[-1][0] in ends or (tag in _BLOCK_ENDS_P and (open_[-1][0] == "p" or (open_[-1][0] in _INLINE and any(x[0] == "p" for x in open_))))):
+        while len(open_) > 1:
+            last = elements[open_[-1]].tag
+            if last not in ends and not (tag in _BLOCK_ENDS_P and (last == "p" or last in _INLINE and inline_p)):
+                break
             close(len(open_) - 1)
         attributes = m.group("attributes")
         if tag in _VOID or attributes.endswith("/"):
             continue
-        _, article, outside, cued, heading = open_[-1] if open_ else ("", False, False, False, False)
-        article = article or tag in ("article", "main")
-        outside = outside or (tag in _OUTSIDE and not (tag == "header" and article))
-        open_.append((tag, article, outside, cued or (tag not in ("html", "body", "article", "main") and _cued(attributes)), heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6")))
+        elements.append(_Element(tag, open_[-1], tag not in ("html", "body", "main") and tag not in _HEADINGS and _cued(attributes)))
+        open_.append(len(elements) - 1)
         silent += tag in _SILENT
         links += tag == "a"
+        inline_p += tag == "p"
     say(html[at:])
     flush()
+    return found, elements
+
+
+def _mark_wrappers(elements: list[_Element]) -> None:
+    """Marks the elements that hold the article whatever they are called: they and what encloses them judge nothing.
+
+    The article is the wordiest of the article and main elements with a tenth of the page's words, those without a cue first. On a page without any it
+    is in every element that holds more than half of the words, and a first heading if the page has one.
+    """
+    firsts = [e.tag == "h1" for e in elements]
+    for k in range(len(elements) - 1, 0, -1):
+        elements[elements[k].parent].words += elements[k].words
+        firsts[elements[k].parent] |= firsts[k]
+    articles = [k for k, e in enumerate(elements) if e.tag in ("article", "main") and 10 * e.words > elements[0].words]
+    if articles:
+        k = max(articles, key=lambda k: (not elements[k].cued, elements[k].words, -k))
+        while k >= 0:
+            elements[k].spans = True
+            k = elements[k].parent
+    else:
+        for e, first in zip(elements, firsts):
+            e.spans = 2 * e.words > elements[0].words and (first or not firsts[0])
+
+
+def blocks(html: str) -> list[tuple[str, list[float]]]:
+    """The page's flat text blocks in order: (text, features). White space inside a block is one space."""
+    found, elements = _blocks_and_elements(html)
+    _mark_wrappers(elements)
+    flags = [(False, False, False, False)]  # in article, outside, cued, heading
+    for e in elements[1:]:
+        article, outside, cued, heading = flags[e.parent]
+        judges = not e.spans
+        article = article or e.tag in ("article", "main")
+        outside = outside or (judges and e.tag in _OUTSIDE and not (e.tag == "header" and article))
+        flags.append((article, outside, cued or (judges and e.cued), heading or e.tag in _HEADINGS))
     out = []
-    for k, (words, *own) in enumerate(found):
-        before, after = (found[k - 1][-2:] if k else [0, 0.0]), (found[k + 1][-2:] if k + 1 < len(found) else [0, 0.0])
-        out.append((words, [float(x) for x in (*own, *before, *after)]))
+    for k, (words, element, *own) in enumerate(found):
+        before, after = (found[k - 1][2:] if k else (0, 0.0)), (found[k + 1][2:] if k + 1 < len(found) else (0, 0.0))
+        out.append((words, [float(x) for x in (*flags[element], *own, *before, *after)]))
     return out
 
 
@@ -131,24 +195,38 @@ def blocks(html: str) -> list[tuple[str, list[float]]]:
 # least and most linked share, label.
 KINDS = {
     "paragraph": ((1, 0, 0, 0), 1, 200, 0.0, 0.4, 1), "linked paragraph": ((1, 0, 0, 0), 1, 60, 0.4, 1.0, 1), "title": ((1, 0, 0, 1), 1, 14, 0.0, 1.0, 1),
-    "bare paragraph": ((0, 0, 0, 0), 1, 200, 0.0, 0.25, 1), "bare title": ((0, 0, 0, 1), 1, 14, 0.0, 0.3, 1),
-    "bare links": ((0, 0, 0, 0), 1, 12, 0.6, 1.0, 0), "menu": ((0, 1, 0, 0), 1, 6, 0.5, 1.0, 0), "outside": ((0, 1, 0, 0), 1, 80, 0.0, 0.6, 0),
+    "menu": ((0, 1, 0, 0), 1, 6, 0.5, 1.0, 0), "outside": ((0, 1, 0, 0), 1, 80, 0.0, 0.6, 0),
     "outside title": ((0, 1, 0, 1), 1, 8, 0.0, 1.0, 0), "cued": ((0, 0, 1, 0), 1, 120, 0.0, 1.0, 0), "cued title": ((0, 0, 1, 1), 1, 8, 0.0, 1.0, 0),
     "inner cued": ((1, 0, 1, 0), 1, 120, 0.0, 1.0, 0), "inner outside": ((1, 1, 0, 0), 1, 80, 0.0, 1.0, 0), "inner cued title": ((1, 0, 1, 1), 1, 8, 0.0, 1.0, 0),
     "outside cued": ((0, 1, 1, 0), 1, 80, 0.0, 1.0, 0),
+    # Of elements that say nothing: words, links and neighbours decide.
+    "prose": ((0, 0, 0, 0), 14, 200, 0.0, 0.3, 1), "line": ((0, 0, 0, 0), 1, 13, 0.0, 0.3, 1), "linked line": ((0, 0, 0, 0), 1, 10, 0.7, 1.0, 1),
+    "bare title": ((0, 0, 0, 1), 1, 14, 0.0, 0.3, 1), "link": ((0, 0, 0, 0), 1, 10, 0.7, 1.0, 0), "credit": ((0, 0, 0, 0), 2, 13, 0.0, 0.4, 0),
+    "list title": ((0, 0, 0, 1), 1, 5, 0.0, 0.3, 0),
 }
 # Pages as sequences of kinds; each is drawn several times.
-LAYOUTS = (
-    ("menu", "menu", "cued", "title", "paragraph", "paragraph", "linked paragraph", "paragraph", "outside"),
-    ("inner outside", "title", "paragraph", "inner cued", "paragraph", "paragraph", "inner cued title", "inner cued", "outside cued"),
-    ("cued title", "cued", "menu", "outside title", "bare title", "bare paragraph", "bare paragraph", "cued", "bare paragraph", "outside"),
-    ("bare links", "bare links", "bare title", "bare paragraph", "bare paragraph", "bare paragraph", "bare links", "outside"),
-    ("outside", "menu", "paragraph", "inner outside", "paragraph", "title", "paragraph", "outside title", "outside"),
-)
+LAYOUTS = tuple(tuple(x.split(", ")) for x in (
+    "menu, menu, cued, title, paragraph, paragraph, linked paragraph, paragraph, outside",
+    "inner outside, title, paragraph, inner cued, paragraph, paragraph, inner cued title, inner cued, outside cued",
+    "cued title, cued, menu, outside title, bare title, prose, prose, cued, prose, outside",
+    "outside, menu, paragraph, inner outside, paragraph, title, paragraph, outside title, outside",
+    "menu, menu, title, linked paragraph, linked paragraph, linked paragraph, title, linked paragraph, linked paragraph, title, title, paragraph, menu",
+    "title, title, linked paragraph, title, linked paragraph, title, paragraph, title, linked paragraph, linked paragraph, title",
+    "linked paragraph, paragraph, linked paragraph, title, linked paragraph, inner cued, linked paragraph, title, menu, menu",
+    "link, link, link, link, bare title, prose, prose, line, prose, linked line, prose, link, link, link, credit",
+    "link, link, bare title, line, prose, prose, bare title, prose, list title, link, link, link, credit",
+    "bare title, prose, line, line, line, prose, prose, link, link, link, link, link",
+    "link, link, link, credit, link, link, bare title, prose, linked line, prose, bare title, line, line, prose, list title, link, link",
+    "cued, bare title, prose, line, line, outside",
+    "link, cued, cued, bare title, prose, cued, line, cued title, cued, prose, cued title, cued, cued, link, cued",
+    "cued, cued, cued, prose, cued, prose, line, cued, cued title, cued, cued title, cued title, cued, cued",
+    "prose, linked line, prose, linked line, prose",
+    "line", "prose", "line, line", "prose, prose", "line, line, line",
+))
 
 
-def labelled_blocks(draws: int = 8, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of some 350 blocks of the LAYOUTS."""
+def labelled_blocks(draws: int = 12, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of some 1,800 blocks of the LAYOUTS."""
     rng = np.random.default_rng(seed)
     x, y = [], []
     for layout in LAYOUTS * draws:
@@ -169,7 +247,7 @@ def _gini(y: np.ndarray) -> float:
     return 2 * p * (1 - p) * len(y)
 
 
-def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 4):
+def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 4):
     """A binary decision tree: (feature, threshold, at most, above), or a leaf's share of positives."""
     if depth == 0 or len(y) < 2 * least or y.min() == y.max():
         return float(y.mean())
