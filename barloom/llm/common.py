@@ -42,7 +42,18 @@ def stored(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete tables that ``stored`` has written and that nothing reads any more. None is passed over."""
+    for table in tables:
+        if table is not None:
+            spark = table.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bind(value: Column, fn: Callable[[Column], Column]) -> Column:

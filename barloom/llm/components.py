@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import stored
+from barloom.llm.common import dropped, stored
 
 
 def _is_done(edges: DataFrame) -> bool:
@@ -14,7 +14,7 @@ def _is_done(edges: DataFrame) -> bool:
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
-    """(node, root): for every node of ``edges`` the smallest node it is connected with.
+    """(node, root), stored: for every node of ``edges`` the smallest node it is connected with.
 
     Each round hangs all larger neighbours of a node on its smallest neighbour (large star), then its smaller ones
     (small star), until all hang on a smallest node: a logarithmic number of rounds. Minima are aggregated before the shuffle, so
@@ -30,8 +30,12 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         large = larger.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: u's smaller neighbours, and u, go to the least of them.
         large = stored(large)
+        dropped(e)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v")
         e = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        dropped(large)
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    roots = stored(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()))
+    dropped(e)
+    return roots

@@ -234,7 +234,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = stored(fingerprints(docs, id_col, text_col, shingle, seed))
     distinct = stored(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = stored(components(hamming_links(distinct, most, seed=seed)))
+    roots = components(hamming_links(distinct, most, seed=seed))
     distinct = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = distinct.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(distinct.join(least, "root").select("fp", "component_id", "root"), "fp")
