@@ -88,3 +88,21 @@ def _(spark, sf):
 def _(spark, sf):
     t = live_ticks(spark, sf).select("symbol", "ts", F.col("price").alias("high"), F.col("price").alias("low"))
     return drain(L.stream_fvg(t), spark, "fvg")
+
+
+cte("passed", "SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE AS ts FROM events")
+
+
+@query("stream_gap_monitor_late", "symbol prev_ts ts gap:s", """SELECT symbol, prev_ts, ts, CASE WHEN floor((epoch(ts) - epoch(prev_ts)) / 60) <= 5 THEN 'minor' WHEN floor((epoch(ts) - epoch(prev_ts)) / 60) <= 360 THEN 'session' ELSE 'large' END AS gap FROM (
+    SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol ORDER BY ts) AS prev_ts FROM (SELECT DISTINCT symbol, ts FROM mb WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM mb)))
+    WHERE epoch(ts) - epoch(prev_ts) > 60 AND NOT hour(prev_ts) * 60 + minute(prev_ts) BETWEEN 955 AND 1085 AND isodow(prev_ts) <> 5""")
+def _(spark, sf):
+    return drain(L.stream_gap_monitor_late(live_minute_bars(spark, sf).select("symbol", "ts"), 1), spark, "gaps-late")
+
+
+@query("stream_fvg_ends", "symbol since ts direction:i near:r far:r", """WITH k AS (SELECT symbol, ts, price, row_number() OVER w AS n, lag(price, 2) OVER w AS h2 FROM ticks WHERE ts <= (SELECT ts FROM passed) WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id)),
+    z AS (SELECT symbol, n, ts, CASE WHEN h2 < price THEN 1 ELSE -1 END AS direction, h2 AS near, price AS far FROM k WHERE h2 <> price)
+    SELECT z.symbol, z.ts AS since, arg_min(k.ts, k.n) AS ts, direction, near, far FROM z JOIN k ON k.symbol = z.symbol AND k.n > z.n AND (k.price - near) * direction <= 0 GROUP BY z.symbol, z.n, z.ts, direction, near, far""")
+def _(spark, sf):
+    t = live_ticks(spark, sf).select("symbol", "ts", "event_id", F.col("price").alias("high"), F.col("price").alias("low"))
+    return drain(L.stream_fvg_ends(t), spark, "fvg-ends")

@@ -386,18 +386,33 @@ def _(spark, sf):
     return P.representative_trades(pnl(spark, sf), ["run_id"])
 
 
-@query("trade_windows", "trade_id:i n:i entry_index:i exit_index:i close_sum:r", """WITH t AS (SELECT t.trade_id, t.symbol, max(b.n) FILTER (b.ts <= t.entry_ts) AS e, max(b.n) FILTER (b.ts <= t.exit_ts) AS x FROM trades t JOIN nbars b ON b.symbol = t.symbol AND b.ts <= t.exit_ts GROUP BY 1, 2)
-    SELECT trade_id, count(*) AS n, any_value(e) - min(b.n) AS entry_index, any_value(x) - min(b.n) AS exit_index, sum(b.close) AS close_sum FROM t JOIN nbars b ON b.symbol = t.symbol AND b.n BETWEEN greatest(1, e - 25) AND x + 25 GROUP BY 1""")
-def _(spark, sf):
+def positioned(spark, sf):
+    """Trades with the positions of their entry and exit bars, and the bars with theirs."""
     b = with_ordinal(bars(spark, sf), ["symbol"], ["ts"], F.date_trunc("day", "ts"))
     pos = b.select("symbol", F.col("ts").alias("b_ts"), F.col("ord").alias("o"))
     t = trades(spark, sf).select("trade_id", "symbol", "entry_ts", "exit_ts")
     t = asof_join(t, pos, ["symbol"], "entry_ts", "b_ts", ["o"]).withColumnRenamed("o", "entry_ord")
     t = asof_join(t, pos, ["symbol"], "exit_ts", "b_ts", ["o"]).withColumnRenamed("o", "exit_ord")
-    d = X.trade_windows(t.where("entry_ord is not null"), b, 25)
+    return t.where("entry_ord is not null"), b
+
+
+@query("trade_windows", "trade_id:i n:i entry_index:i exit_index:i close_sum:r", """WITH t AS (SELECT t.trade_id, t.symbol, max(b.n) FILTER (b.ts <= t.entry_ts) AS e, max(b.n) FILTER (b.ts <= t.exit_ts) AS x FROM trades t JOIN nbars b ON b.symbol = t.symbol AND b.ts <= t.exit_ts GROUP BY 1, 2)
+    SELECT trade_id, count(*) AS n, any_value(e) - min(b.n) AS entry_index, any_value(x) - min(b.n) AS exit_index, sum(b.close) AS close_sum FROM t JOIN nbars b ON b.symbol = t.symbol AND b.n BETWEEN greatest(1, e - 25) AND x + 25 GROUP BY 1""")
+def _(spark, sf):
+    t, b = positioned(spark, sf)
+    d = X.trade_windows(t, b, 25)
     return d.select("trade_id", F.size("window").alias("n"), "entry_index", "exit_index", F.aggregate("window", F.lit(0.0), lambda a, x: a + x["close"]).alias("close_sum"))
 
 
+@query("trade_window_pieces", "trade_id:i piece:i place:i n:i entry_index:i exit_index:i first_close:r last_close:r", """WITH t AS (SELECT t.trade_id, t.symbol, max(b.n) FILTER (b.ts <= t.entry_ts) AS e, max(b.n) FILTER (b.ts <= t.exit_ts) AS x FROM trades t JOIN nbars b ON b.symbol = t.symbol AND b.ts <= t.exit_ts GROUP BY 1, 2), w AS (
+    SELECT trade_id, b.n, b.close, greatest(1, e - 25) AS lo, e, x FROM t JOIN nbars b ON b.symbol = t.symbol AND b.n BETWEEN greatest(1, e - 25) AND x + 25)
+    SELECT trade_id, n // 64 AS piece, min(n) - any_value(lo) AS place, count(*) AS n, any_value(e - lo) AS entry_index, any_value(x - lo) AS exit_index, arg_min(close, n) AS first_close, arg_max(close, n) AS last_close FROM w GROUP BY trade_id, n // 64""")
+def _(spark, sf):
+    t, b = positioned(spark, sf)
+    d = X.trade_window_pieces(t, b, 25, size=64)
+    return d.select("trade_id", "piece", "place", F.size("window").alias("n"), "entry_index", "exit_index", F.element_at("window", 1)["close"].alias("first_close"), F.element_at("window", -1)["close"].alias("last_close"))
+
+
 # --- exits -------------------------------------------------------------------------------------------
 
 cte("entries", """SELECT symbol, ts, cross_ AS direction, close AS entry_price, close - cross_ * 20 AS sl_price, close + cross_ * 30 AS tp_price, ts + INTERVAL 12 HOUR AS end_ts FROM sma WHERE cross_ <> 0""")
