@@ -226,7 +226,7 @@ LAYOUTS = tuple(tuple(x.split(", ")) for x in (
 
 
 def labelled_blocks(draws: int = 12, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of some 1,800 blocks of the LAYOUTS."""
+    """Features and labels of some 2,100 blocks of the LAYOUTS."""
     rng = np.random.default_rng(seed)
     x, y = [], []
     for layout in LAYOUTS * draws:
