@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from barloom.functions.scalar import col, minute_of_day
+from barloom.functions.scalar import col, ieee_div, minute_of_day
 from barloom.operators.bars import RTH_OPEN, SYM
 from barloom.operators.scan import ROWS_TO_HERE, affine, day_of, decay_chunk, decay_halo, framed
 
@@ -315,7 +315,7 @@ def interval_returns(bars: DataFrame, minutes: int, keys: Sequence[str] = SYM) -
     """Returns of equal intraday intervals from 09:30 and that of the interval before (same day)."""
     slot = F.floor((minute_of_day() - RTH_OPEN) / minutes)
     d = bars.where(minute_of_day().between(RTH_OPEN, 959)).groupBy(*keys, F.to_date("ts").alias("date"), slot.alias("slot")).agg(
-        (F.max_by("close", "ts") / F.min_by("open", "ts") - 1.0).alias("ret"), F.max("ts").alias("end_ts"))
+        (ieee_div(F.max_by("close", "ts"), F.min_by("open", "ts")) - 1.0).alias("ret"), F.max("ts").alias("end_ts"))
     return d.withColumn("prev_ret", F.lag("ret").over(Window.partitionBy(*keys, "date").orderBy("slot")))
 
 

@@ -2,6 +2,7 @@
 import math
 
 from barloom.operators import perf as P
+from barloom.operators import indicators as I
 from tests.fixtures import t
 
 
@@ -13,3 +14,10 @@ def test_excursions_of_trades_entered_at_zero(spark):
     assert math.isnan(got[1][0]) and got[1][1] == math.inf
     assert got[2][0] == math.inf and math.isnan(got[2][1])
     assert got[3] == (1.0, 1.0)
+
+
+def test_returns_of_intervals_that_open_at_zero(spark):
+    rows = [("A", t(f"2024-01-02 {at}:00"), float(o), float(c)) for at, o, c in (("09:30", 0, 2), ("10:00", 2, 3), ("11:00", 0, 0), ("12:30", 2, 3))]
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, open double, close double")
+    got = [r.ret for r in I.interval_returns(bars, 90).orderBy("slot").collect()]
+    assert got[0] == math.inf and math.isnan(got[1]) and got[2] == 0.5
