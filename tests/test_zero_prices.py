@@ -3,6 +3,7 @@ import math
 
 from barloom.operators import perf as P
 from barloom.operators import indicators as I
+from barloom.functions import scalar as S
 from tests.fixtures import t
 
 
@@ -21,3 +22,9 @@ def test_returns_of_intervals_that_open_at_zero(spark):
     bars = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, open double, close double")
     got = [r.ret for r in I.interval_returns(bars, 90).orderBy("slot").collect()]
     assert got[0] == math.inf and math.isnan(got[1]) and got[2] == 0.5
+
+
+def test_report_text_keeps_the_sign_of_what_rounds_to_zero(spark):
+    df = spark.createDataFrame([(-0.0004,), (-0.0,), (0.0,), (0.0004,), (-0.125,), (None,)], "x double")
+    got = [tuple(r) for r in df.select(S.fmt_pct("x"), S.fmt_number("x")).collect()]
+    assert got == [("-0.0%", "-0.00"), ("-0.0%", "-0.00"), ("0.0%", "0.00"), ("0.0%", "0.00"), ("-12.5%", "-0.12"), *got[5:]]
