@@ -28,3 +28,9 @@ def test_report_text_keeps_the_sign_of_what_rounds_to_zero(spark):
     df = spark.createDataFrame([(-0.0004,), (-0.0,), (0.0,), (0.0004,), (-0.125,), (None,)], "x double")
     got = [tuple(r) for r in df.select(S.fmt_pct("x"), S.fmt_number("x")).collect()]
     assert got == [("-0.0%", "-0.00"), ("-0.0%", "-0.00"), ("0.0%", "0.00"), ("0.0%", "0.00"), ("-12.5%", "-0.12"), *got[5:]]
+
+
+def test_log_returns_from_and_to_zero(spark):
+    df = spark.createDataFrame([(0.0, 2.0), (2.0, 0.0), (0.0, 0.0), (2.0, 2.0), (-1.0, 2.0), (None, 2.0)], "now double, before double")
+    got = [r[0] for r in df.select(S.log_return("now", "before")).collect()]
+    assert got[:2] == [-math.inf, math.inf] and math.isnan(got[2]) and got[3:] == [0.0, None, None]
