@@ -172,10 +172,14 @@ def best_execution(df: DataFrame, model, candidates: Sequence[dict], ident: str)
     return best.select(ident, "__b.*")
 
 
-def target_index(pred_r, tp_r, tp_next_r, n_candidates) -> Column:
-    """0 or 1: the second target when the predicted R reaches the midpoint between the first two."""
+def target_index(pred_r, tp_r, tp_next_r, n_candidates, risk=None) -> Column:
+    """0 or 1: the second target when the predicted R reaches the midpoint between the first two.
+
+    With ``risk`` the targets are distances in points: their midpoint is divided once, which rounds less than two quotients.
+    """
     usable = (col(n_candidates) > 1) & (col(pred_r) > 0) & (col(tp_r) > 0) & (col(tp_next_r) > 0)
-    return F.when(usable & (col(pred_r) >= (col(tp_r) + col(tp_next_r)) / 2.0), 1).otherwise(0)
+    midpoint = (col(tp_r) + col(tp_next_r)) / 2.0
+    return F.when(usable & (col(pred_r) >= (midpoint if risk is None else div(midpoint, risk))), 1).otherwise(0)
 
 
 def feature_importance(model, features: Sequence[str], spark) -> DataFrame:

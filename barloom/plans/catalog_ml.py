@@ -325,7 +325,7 @@ def _(spark, sf):
 def _(spark, sf):
     risk = F.abs(F.col("entry_price") - F.col("initial_sl_price"))
     r = (F.col("exit_price") - F.col("entry_price")) * F.col("direction") / risk
-    return trades(spark, sf).select("trade_id", E.target_index(r, 10 / risk, 14 / risk, F.col("trade_id") % 4).alias("idx"))
+    return trades(spark, sf).select("trade_id", E.target_index(r, F.lit(10.0), F.lit(14.0), F.col("trade_id") % 4, risk).alias("idx"))
 
 
 @query("top_features", "feature:s importance:r")

@@ -4,6 +4,8 @@ import math
 from barloom.operators import perf as P
 from barloom.operators import indicators as I
 from barloom.functions import scalar as S
+from barloom.operators import evalml as E
+from pyspark.sql import functions as F
 from tests.fixtures import t
 
 
@@ -34,3 +36,12 @@ def test_log_returns_from_and_to_zero(spark):
     df = spark.createDataFrame([(0.0, 2.0), (2.0, 0.0), (0.0, 0.0), (2.0, 2.0), (-1.0, 2.0), (None, 2.0)], "now double, before double")
     got = [r[0] for r in df.select(S.log_return("now", "before")).collect()]
     assert got[:2] == [-math.inf, math.inf] and math.isnan(got[2]) and got[3:] == [0.0, None, None]
+
+
+def test_target_at_the_midpoint(spark):
+    """12 points at a risk of about 7: 10 / risk and 14 / risk, each rounded, have a mean above 12 / risk for some risks."""
+    risks = [(7.0 + k * 2.0**-50,) for k in range(64)]
+    df = spark.createDataFrame(risks, "risk double")
+    assert any((10 / x + 14 / x) / 2 > 12 / x for x, in risks)
+    got = df.select(E.target_index(F.lit(12.0) / F.col("risk"), F.lit(10.0), F.lit(14.0), F.lit(2), F.col("risk"))).collect()
+    assert {r[0] for r in got} == {1}
