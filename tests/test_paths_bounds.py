@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from barloom.operators import resample as R
 
@@ -13,3 +14,10 @@ def test_only_what_lies_outside_walks_on():
     finally:
         R.mixed = walk
     assert sum(numbers) < 4 * 5 * sims.size * steps.size
+
+
+def test_segments_are_few(spark):
+    """A key's values are sent once a segment: 20,000 of them at 2,000 simulations to three, not to twenty."""
+    blocks = R.value_blocks(spark.range(20_000).select(F.lit("A").alias("k"), F.col("id").alias("i"), (F.col("id") % 7 - 3).cast("double").alias("x")), ["k"], ["i"], "x", block=F.floor(F.col("i") / 4096))
+    totals = R.simulated_paths(blocks, ["k"], 2000, 1000.0).totals
+    assert totals.select("seg").distinct().count() == 3
