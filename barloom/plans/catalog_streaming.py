@@ -2,10 +2,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from barloom.operators import bars as B
 from barloom.operators.clean import keep_last
-from barloom.plans.bindings import bars
+from barloom.plans.bindings import bars, table
 from barloom.plans.catalog_io import fresh
 from barloom.plans.registry import cte, query
 from barloom.streaming import live as L
@@ -13,14 +14,21 @@ from barloom.streaming import live as L
 
 def live_ticks(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return s.select(F.col("event_type").alias("symbol"), "ts", "event_id", "user_id", F.col("value").alias("price"))
+    return as_ticks(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
+
+
+def as_ticks(events):
+    return events.select(F.col("event_type").alias("symbol"), "ts", "event_id", "user_id", F.col("value").alias("price"))
 
 
 def live_minute_bars(spark, sf):
+    return minute_bars(live_ticks(spark, sf))
+
+
+def minute_bars(ticks):
     """Every tick as a one-print bar on its minute."""
     p = F.col("price")
-    return live_ticks(spark, sf).select("symbol", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("ts"), p.alias("open"), p.alias("high"), p.alias("low"), p.alias("close"), F.lit(1.0).alias("volume"))
+    return ticks.select("symbol", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("ts"), p.alias("open"), p.alias("high"), p.alias("low"), p.alias("close"), F.lit(1.0).alias("volume"))
 
 
 def drain(stream, spark, name: str):
@@ -30,6 +38,28 @@ def drain(stream, spark, name: str):
     return spark.read.schema(stream.schema).parquet(path)
 
 
+ARRIVAL = 400_000  # events of a micro-batch
+
+
+def drain_arrivals(build, spark, sf: str, name: str, rows: int = ARRIVAL):
+    """``drain`` of ``build(ticks)`` over the event table as a feed delivers it: some ``rows`` events after the other, in time order.
+
+    A file is one micro-batch however large it is, so queries that sort a batch or let it wait in their state would hold the
+    whole table. Here every range of time arrives and runs by itself, on the state of the one before.
+    """
+    events = table(spark, sf, "events")
+    path, staged = fresh(spark, name), fresh(spark, name + "-staged")
+    ranges = max(1, -(-events.count() // rows))
+    events.repartitionByRange(ranges, "ts").withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(staged)
+    stage = spark.read.schema(StructType([*events.schema, StructField("part", IntegerType())])).parquet(staged)
+    parts = sorted(r.part for r in stage.select("part").distinct().collect()) or [0]  # a number a range
+    for part in parts:
+        stage.where(F.col("part") == part).drop("part").write.mode("append").parquet(path + "-in")
+        stream = build(as_ticks(spark.readStream.schema(events.schema).parquet(path + "-in")))
+        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 def drain_updates(stream, spark, name: str, keys: list[str]):
     """Run an updating stream; every micro-batch is stored under its number and the newest row per key kept."""
     path = fresh(spark, name)
@@ -81,13 +111,12 @@ def _(spark, sf):
 @query("stream_gap_monitor", "symbol prev_ts ts gap:s", """SELECT symbol, prev_ts, ts, CASE WHEN floor((epoch(ts) - epoch(prev_ts)) / 60) <= 5 THEN 'minor' WHEN floor((epoch(ts) - epoch(prev_ts)) / 60) <= 360 THEN 'session' ELSE 'large' END AS gap FROM (
     SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol ORDER BY ts) AS prev_ts FROM (SELECT DISTINCT symbol, ts FROM mb)) WHERE epoch(ts) - epoch(prev_ts) > 60 AND NOT hour(prev_ts) * 60 + minute(prev_ts) BETWEEN 955 AND 1085 AND isodow(prev_ts) <> 5""")
 def _(spark, sf):
-    return drain(L.stream_gap_monitor(live_minute_bars(spark, sf).select("symbol", "ts"), 1), spark, "gaps")
+    return drain_arrivals(lambda t: L.stream_gap_monitor(minute_bars(t).select("symbol", "ts"), 1), spark, sf, "gaps")
 
 
 @query("stream_fvg", "symbol ts direction:i near:r far:r", """SELECT symbol, ts, CASE WHEN h2 < price THEN 1 ELSE -1 END AS direction, h2 AS near, price AS far FROM (SELECT symbol, ts, price, lag(price, 2) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS h2 FROM ticks) WHERE h2 <> price""")
 def _(spark, sf):
-    t = live_ticks(spark, sf).select("symbol", "ts", F.col("price").alias("high"), F.col("price").alias("low"))
-    return drain(L.stream_fvg(t), spark, "fvg")
+    return drain_arrivals(lambda t: L.stream_fvg(t.select("symbol", "ts", F.col("price").alias("high"), F.col("price").alias("low"))), spark, sf, "fvg")
 
 
 cte("passed", "SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE AS ts FROM events")
@@ -97,12 +126,11 @@ cte("passed", "SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE AS
     SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol ORDER BY ts) AS prev_ts FROM (SELECT DISTINCT symbol, ts FROM mb WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM mb)))
     WHERE epoch(ts) - epoch(prev_ts) > 60 AND NOT hour(prev_ts) * 60 + minute(prev_ts) BETWEEN 955 AND 1085 AND isodow(prev_ts) <> 5""")
 def _(spark, sf):
-    return drain(L.stream_gap_monitor_late(live_minute_bars(spark, sf).select("symbol", "ts"), 1), spark, "gaps-late")
+    return drain_arrivals(lambda t: L.stream_gap_monitor_late(minute_bars(t).select("symbol", "ts"), 1), spark, sf, "gaps-late")
 
 
 @query("stream_fvg_ends", "symbol since ts direction:i near:r far:r", """WITH k AS (SELECT symbol, ts, price, row_number() OVER w AS n, lag(price, 2) OVER w AS h2 FROM ticks WHERE ts <= (SELECT ts FROM passed) WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id)),
     z AS (SELECT symbol, n, ts, CASE WHEN h2 < price THEN 1 ELSE -1 END AS direction, h2 AS near, price AS far FROM k WHERE h2 <> price)
     SELECT z.symbol, z.ts AS since, arg_min(k.ts, k.n) AS ts, direction, near, far FROM z JOIN k ON k.symbol = z.symbol AND k.n > z.n AND (k.price - near) * direction <= 0 GROUP BY z.symbol, z.n, z.ts, direction, near, far""")
 def _(spark, sf):
-    t = live_ticks(spark, sf).select("symbol", "ts", "event_id", F.col("price").alias("high"), F.col("price").alias("low"))
-    return drain(L.stream_fvg_ends(t), spark, "fvg-ends")
+    return drain_arrivals(lambda t: L.stream_fvg_ends(t.select("symbol", "ts", "event_id", F.col("price").alias("high"), F.col("price").alias("low"))), spark, sf, "fvg-ends")
