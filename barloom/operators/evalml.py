@@ -1,17 +1,17 @@
 """Thresholds, votes, selections and models over scored trades."""
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.rmetrics import INF, VOTES, all_metrics
 from barloom.functions.scalar import col, div, hash_long
 from barloom.functions.trade import loss_penalty
+from barloom.operators.boosting import BoostedTrees, fit_trees
 from barloom.operators.scan import exact_quantiles
 from barloom.session import cut
 
@@ -100,66 +100,43 @@ def config_selection(val: DataFrame, test: DataFrame, threshold: float, top: int
 
 # --- models ------------------------------------------------------------------------------------------
 
-def fit_regressor(df: DataFrame, features: Sequence[str], label: str = "r", weight: str | None = None, trees: int = 300, depth: int = 4, rate: float = 0.05, subsample: float = 0.8, min_rows: int = 10, seed: int = 42):
-    """Gradient-boosted trees on R as a pipeline model."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
+def fit_regressor(df: DataFrame, features: Sequence[str], label: str = "r", weight: str | None = None, trees: int = 300, depth: int = 4, rate: float = 0.05, subsample: float = 0.8, min_rows: int = 10, seed: int = 42) -> BoostedTrees:
+    """Gradient-boosted trees on R; ``transform`` adds ``pred``."""
+    return fit_regressors(df, None, features, label, weight, trees, depth, rate, subsample, min_rows, seed)[0]
 
-    gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="pred", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, minInstancesPerNode=min_rows, seed=seed)
-    if weight:
-        gbt = gbt.setWeightCol(weight)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), gbt]).fit(df)
 
-
-TOGETHER = 4  # models that are fitted at the same time, as jobs of their own
-
-
-def side_by_side(work: Sequence[Callable]) -> list:
-    """Results of a handful of fits that do not depend on one another; each is a series of small distributed jobs."""
-    with ThreadPool(TOGETHER) as pool:
-        return pool.map(lambda f: f(), list(work))
+def fit_regressors(df: DataFrame, models: Sequence[Column] | None, features: Sequence[str], label: str = "r", weight: str | None = None, trees: int = 300, depth: int = 4, rate: float = 0.05, subsample: float = 0.8, min_rows: int = 10, seed: int = 42) -> list[BoostedTrees]:
+    """A regressor on the rows of each of ``models``, all fitted in the same jobs."""
+    return fit_trees(df, features, label, weight, trees, depth, rate, subsample, min_rows, seed, models=models)
 
 
 def fit_win_probability(df: DataFrame, features: Sequence[str], label: str, folds: int = 3, ident: str = "trade_id", trees: int = 300, depth: int = 4, rate: float = 0.05, seed: int = 42, weight: str | None = None):
     """Class-weighted boosted classifier and an isotonic map fitted on out-of-fold scores; ``weight``: a column of row weights."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import IsotonicRegression
 
     share = df.agg(F.avg(F.col(label).cast("double"))).scalar()
     balance = F.when(F.col(label) == 1, 0.5 / F.nullif(share, F.lit(0.0))).otherwise(0.5 / F.nullif(1 - share, F.lit(0.0)))
     d = cut(df.withColumn("__w", balance * (F.lit(1.0) if weight is None else F.col(weight))).withColumn("__fold", hash_long(F.lit(seed), F.col(ident)) % folds))
 
-    def fit(part):
-        gbt = GBTClassifier(featuresCol="features", labelCol=label, weightCol="__w", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed)
-        return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), gbt]).fit(part)
-
-    *parts, whole = side_by_side([*(lambda k=k: fit(d.where(F.col("__fold") != k)) for k in range(folds)), lambda: fit(d)])
+    rows = [*[F.col("__fold") != k for k in range(folds)], F.lit(True)]
+    *parts, whole = fit_trees(d, features, label, "__w", trees, depth, rate, 1.0, 1, seed, classify=True, models=rows)
     held_out = None
     for k, m in enumerate(parts):
-        p = m.transform(d.where(F.col("__fold") == k)).select(vector_to_array("probability")[1].alias("score"), F.col(label).cast("double").alias("label"), F.col("__w").alias("w"))
+        p = d.where(F.col("__fold") == k).select(m.probability().alias("score"), F.col(label).cast("double").alias("label"), F.col("__w").alias("w"))
         held_out = p if held_out is None else held_out.unionByName(p)
-    return whole, IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="p_win").fit(held_out)
-
+    return whole, IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="p_win").fit(cut(held_out))
 
-def win_probability(model, calibration, df: DataFrame) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
 
-    raw = model.transform(df).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
-    return calibration.transform(raw)
+def win_probability(model: BoostedTrees, calibration, df: DataFrame) -> DataFrame:
+    return calibration.transform(df.withColumn("score", model.probability()))
 
 
-def save_model(model, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: BoostedTrees, path: str) -> None:
+    model.save(SparkSession.active(), path)
 
 
-def load_model(path: str):
-    from pyspark.ml import PipelineModel
-
-    return PipelineModel.load(path)
+def load_model(path: str) -> BoostedTrees:
+    return BoostedTrees.load(SparkSession.active(), path)
 
 
 def best_execution(df: DataFrame, model, candidates: Sequence[dict], ident: str) -> DataFrame:
@@ -183,9 +160,8 @@ def target_index(pred_r, tp_r, tp_next_r, n_candidates, risk=None) -> Column:
 
 
 def feature_importance(model, features: Sequence[str], spark) -> DataFrame:
-    """Importances of a fitted pipeline as rows (one per feature name)."""
-    values = model.stages[-1].featureImportances.toArray()
-    return spark.createDataFrame(pd.DataFrame({"feature": list(features), "importance": [float(v) for v in values]}))
+    """Importances of a fitted model as rows (one per feature name)."""
+    return spark.createDataFrame(pd.DataFrame({"feature": list(features), "importance": model.importances}))
 
 
 def feature_share(importances: DataFrame) -> DataFrame:
@@ -212,8 +188,7 @@ def walk_forward_fit(df: DataFrame, folds: Sequence[dict], features: Sequence[st
     """Train per fold, search the threshold on the training rows, report the out-of-sample rows; fit once more on all rows.
 
     ``penalty`` weighs losses of the target so many times; thresholds and reports always take the real ``r``. A fold with
-    fewer than ``min_train`` or ``min_test`` rows is reported as skipped. Folds are a handful; they are fitted side by side,
-    each fit and scoring a distributed job.
+    fewer than ``min_train`` or ``min_test`` rows is reported as skipped. Folds are a handful; they are fitted in the same jobs.
     """
     label = "__target" if penalty is not None else r
     d = cut(df.withColumn("__target", loss_penalty(r, penalty)) if penalty is not None else df)
@@ -221,20 +196,20 @@ def walk_forward_fit(df: DataFrame, folds: Sequence[dict], features: Sequence[st
     sizes = d.agg(F.lit(0), *[F.count(F.when(inside(f, w), 1)) for f in folds for w in ("train", "test")]).first()[1:]
     sizes = list(zip(sizes[::2], sizes[1::2]))
 
-    def fitted(rows: DataFrame) -> tuple[object, float]:
-        model = fit_regressor(rows, features, label, weight, **gbt)
-        best = search_threshold(model.transform(rows), [], metric).first()
+    used = [f for f, (n, m) in zip(folds, sizes) if n >= min_train and m >= min_test]
+    trained = [*[inside(f, "train") for f in used], F.lit(True)] if used else []
+
+    def fitted(model: BoostedTrees, rows: Column) -> tuple[BoostedTrees, float]:
+        best = search_threshold(model.transform(d.where(rows)), [], metric).first()
         return model, float(best["threshold"]) if best else 0.0
 
-    used = [f for f, (n, m) in zip(folds, sizes) if n >= min_train and m >= min_test]
-    work = [lambda f=f: fitted(d.where(inside(f, "train"))) for f in used]
-    *models, last = side_by_side([*work, lambda: fitted(d)]) if used else [None]
+    *models, last = [fitted(m, rows) for m, rows in zip(fit_regressors(d, trained, features, label, weight, **gbt), trained)] if used else [None]
     keys = d.sparkSession.createDataFrame(
         [(int(f["fold"]), "fitted" if f in used else "skipped", int(n), int(m)) for f, (n, m) in zip(folds, sizes)], "fold int, status string, n_train long, n_test long")
     results = pooled = None
     for f, (model, threshold) in zip(used, models):
         mark = {"fold": F.lit(int(f["fold"])), "threshold": F.lit(threshold)}
-        scored = model.transform(d.where(inside(f, "test"))).drop("features").withColumns(mark)
+        scored = model.transform(d.where(inside(f, "test"))).withColumns(mark)
         res = evaluate_filter(scored, [], F.col("pred") >= threshold, r).withColumns(mark)
         results = res if results is None else results.unionByName(res)
         pooled = scored if pooled is None else pooled.unionByName(scored)

@@ -311,7 +311,7 @@ def _(spark, sf):
     d = model_rows(spark, sf)
     model, calibration = E.fit_win_probability(d, FEATURES, "win", folds=3)
     reg = regressor(spark, sf)
-    both = E.win_probability(model, calibration, reg.transform(d).drop("features"))
+    both = E.win_probability(model, calibration, reg.transform(d))
     return both.withColumn("score", F.col("pred") * F.col("p_win"))
 
 
