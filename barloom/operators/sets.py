@@ -63,7 +63,9 @@ def filter_meta(trades: DataFrame, bars: DataFrame, keys: Sequence[str] = ("symb
     t = trades.withColumns({"__d": F.to_date("entry_ts"), "session": session_tag("entry_ts")}).join(fair, [*keys, "__d", "session"], "left")
     s, e, tp, f = F.col("session"), F.col("entry_price"), F.col("initial_tp_price"), F.col("__fair")
     start = F.when(s == "ASIA", 1200).when(s == "LONDON", 120).when(s == "NY", 570)
-    inside = (s != "OFF") & (F.col("direction") * (f - e) > 0) & (F.col("direction") * (tp - f) > 0)
+    # Prices are compared as they are: a NaN counts as the largest number, where a difference with it would be above 0 both ways.
+    up, down = (F.col("direction") == 1) & (e < f) & (tp > f), (F.col("direction") == -1) & (e > f) & (tp < f)
+    inside = (s != "OFF") & (up | down)
     return t.withColumns({
         "elapsed": F.coalesce(minute_of_day("entry_ts") - start, F.lit(0)),
         "beyond": F.coalesce(F.when(inside, div(F.abs(f - e), F.abs(tp - e))), F.lit(float("inf")))}).drop("__d", "__fair")
