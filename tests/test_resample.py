@@ -136,3 +136,27 @@ def test_blocks_of_days(spark):
 def test_registered_at_full_counts(spark, sf):
     assert (catalog_stats.SIMS, catalog_stats.PERMS) == (2000, 5000)
     assert {r.n for r in entry.queries()["bootstrap_trades"](spark, sf).groupBy("symbol").agg(F.count("*").alias("n")).collect()} == {2000}
+
+
+def test_intervals_leave_out_undefined_simulations(spark):
+    rows = [("A", k, float(k), None if k else 2.0, float("nan") if k % 2 else float(k)) for k in range(101)] + [("B", k, None, None, None) for k in range(3)]
+    sims = spark.createDataFrame(rows, "symbol string, sim long, mean double, profit_factor double, sharpe double")
+    got = {r.symbol: r for r in R.confidence_intervals(sims, ["symbol"], ["mean", "profit_factor", "sharpe"]).collect()}
+    assert (got["A"].mean_lo, got["A"].mean_hi, got["A"].sharpe_lo, got["A"].sharpe_hi) == pytest.approx((2.5, 97.5, 2.5, 97.5))
+    assert (got["A"].profit_factor_lo, got["A"].profit_factor_hi) == (0.0, 0.0) and set(got["B"][1:]) == {0.0}
+
+
+def test_moments_against_the_draws(spark):
+    values, df = frame(spark, {"A": 301, "B": 12})
+    df = df.union(spark.createDataFrame([("C", i, DAY + dt.timedelta(minutes=i), 0.1) for i in range(40)], df.schema))
+    blocks = blocks_of(df)
+    got = {(r.symbol, r.sim): r for r in R.simulated_paths(blocks, ["symbol"], 40, 0.0, steps=64).moments().collect()}
+    for k, v in values.items():
+        x = v[R.with_replacement(code_of(blocks, k), np.arange(40), np.arange(len(v)), len(v))]
+        assert [got[k, s].mean for s in range(40)] == pytest.approx(x.mean(axis=1)) and [got[k, s].sd for s in range(40)] == pytest.approx(x.std(axis=1))
+    assert {got["C", s].sd for s in range(40)} == {0.0}
+
+
+def test_intervals_hold_the_sharpe_of_all_trading_days(spark, sf):
+    assert {"sharpe_lo", "sharpe_hi"} <= set(entry.queries()["bootstrap_ci"](spark, sf).columns)
+    assert catalog_stats.sharpes(spark, sf).groupBy("symbol").agg(F.count("sharpe").alias("n")).where("n < 1900").isEmpty()
